@@ -67,12 +67,15 @@ def bucketed_dense_rank(
 
     # bucket edges at approximate quantiles of the distinct values
     probs = [i / buckets for i in range(1, buckets)]
-    rel_err = 1.0 / (4 * buckets)
-    edges = sorted({q for q in present.approxQuantile("_v", probs, rel_err) if math.isfinite(q)})
-    splits = [-math.inf, *edges, math.inf]
-    n_buckets = len(splits) - 1
-    bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(present)
-    asc_bucket = F.col("_b").cast("int")
+    quantiles = present.approxQuantile("_v", probs, 1.0 / (4 * buckets)) if probs else []
+    edges = sorted({q for q in quantiles if math.isfinite(q)})
+    n_buckets = len(edges) + 1
+    if edges:
+        splits = [-math.inf, *edges, math.inf]
+        bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(present)
+        asc_bucket = F.col("_b").cast("int")
+    else:
+        bucketed, asc_bucket = present, F.lit(0)
     bucket = (F.lit(n_buckets - 1) - asc_bucket) if descending else asc_bucket
     bucketed = bucketed.select(value, bucket.alias("_bucket"))
 

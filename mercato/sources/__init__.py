@@ -8,6 +8,7 @@ or CSV) goes through :mod:`mercato.sources.files`.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,21 @@ class Tables:
     payments: DataFrame
 
 
-def load_tables(spark: SparkSession, path: str) -> Tables:
+# Plans (not data) of loaded tables, per application and folder. A Tables bundle
+# is a set of lazy DataFrames; reusing it saves re-reading file footers and
+# re-analysing the adapter for every report. Each action still scans the files.
+_LOADED: dict[tuple[str, str], Tables] = {}
+
+
+def load_tables(spark: SparkSession, path: str, reuse: bool = True) -> Tables:
     from mercato.sources import files, generated
 
+    key = (spark.sparkContext.applicationId, os.path.abspath(path))
+    if reuse and key in _LOADED:
+        return _LOADED[key]
     if generated.looks_generated(path):
-        return generated.load(spark, path)
-    return files.load(spark, path)
+        tables = generated.load(spark, path)
+    else:
+        tables = files.load(spark, path)
+    _LOADED[key] = tables
+    return tables
