@@ -8,11 +8,15 @@ of the key: every distinct timestamp ``t`` with multiplicity ``m`` contributes
 ``(t, t)`` ``m - 1`` times. So:
 
 1. collapse rows to distinct ``(key, ts)`` with multiplicity (map-side combine);
-2. previous distinct timestamp, two levels: a LAG inside ``(key, day)``, whose
-   size is bounded by the distinct timestamps of one day; for the first timestamp
-   of a day, the last timestamp of the key's previous active day (a LAG over one
-   row per (key, day), bounded by the calendar span);
-3. the ``m - 1`` repeats are generated in chunks of at most ``chunk`` rows, and
+2. one window pass partitioned by ``(key, day)`` gives the previous timestamp
+   inside the day and the day's last timestamp; its partitions are bounded by the
+   distinct timestamps of one key in one day, not by the key's history. This
+   table is checkpointed (shared ``spark.checkpoint.dir``): the three outputs
+   below all read it, so the upstream joins run once and lineage is cut;
+3. for the first timestamp of a day, the previous one is the last timestamp of
+   the key's previous active day: a LAG over one row per (key, day), bounded by
+   the calendar span;
+4. the ``m - 1`` repeats are generated in chunks of at most ``chunk`` rows, and
    the chunks are spread by a shuffle, so no single row expands without bound.
 """
 
@@ -21,33 +25,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.session import checkpoint_dir
+
 DEFAULT_CHUNK = 4096
 
 
 def previous_event(
-    df: DataFrame, key: str, ts: str, prev: str = "previous", chunk: int = DEFAULT_CHUNK
+    df: DataFrame,
+    key: str,
+    ts: str,
+    prev: str = "previous",
+    chunk: int = DEFAULT_CHUNK,
+    checkpoint: bool = True,
 ) -> DataFrame:
     """Rows ``(key, prev, ts)``: one per input row except each key's first, as LAG gives."""
-    distinct = df.groupBy(key, ts).agg(F.count(F.lit(1)).alias("_m")).withColumn(
-        "_day", F.to_date(ts)
+    distinct = df.groupBy(key, ts).agg(F.count(F.lit(1)).alias("_m"))
+    day = Window.partitionBy(key, "_day")
+    per_day = (
+        distinct.withColumn("_day", F.to_date(ts))
+        .withColumn("_prev_in_day", F.lag(ts).over(day.orderBy(ts)))
+        .withColumn("_day_last", F.max(ts).over(day))
     )
+    if checkpoint:
+        checkpoint_dir(df.sparkSession)
+        per_day = per_day.checkpoint(eager=True)
 
-    in_day = Window.partitionBy(key, "_day").orderBy(ts)
-    with_prev_in_day = distinct.withColumn("_prev_in_day", F.lag(ts).over(in_day))
-
-    day_ends = distinct.groupBy(key, "_day").agg(F.max(ts).alias("_day_last"))
-    by_day = Window.partitionBy(key).orderBy("_day")
-    prev_day_end = day_ends.select(
-        key, "_day", F.lag("_day_last").over(by_day).alias("_prev_day_last")
+    within_day = per_day.where(F.col("_prev_in_day").isNotNull()).select(
+        key, F.col("_prev_in_day").alias(prev), ts
     )
 
-    stitched = with_prev_in_day.join(prev_day_end, [key, "_day"]).withColumn(
-        prev, F.coalesce("_prev_in_day", "_prev_day_last")
+    by_day = Window.partitionBy(key).orderBy("_day")
+    day_starts = (
+        per_day.where(F.col("_prev_in_day").isNull())
+        .withColumn(prev, F.lag("_day_last").over(by_day))
+        .where(F.col(prev).isNotNull())
+        .select(key, prev, ts)
     )
 
-    steps = stitched.where(F.col(prev).isNotNull()).select(key, prev, ts)
-
-    repeated = stitched.where(F.col("_m") > 1).withColumn("_extra", F.col("_m") - 1)
+    repeated = per_day.where(F.col("_m") > 1).withColumn("_extra", F.col("_m") - 1)
     n_chunks = F.ceil(F.col("_extra") / F.lit(chunk)).cast("int")
     chunks = repeated.select(
         key, ts, "_extra", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("_c")
@@ -57,4 +72,4 @@ def previous_event(
         key, F.col(ts).alias(prev), ts, F.explode(F.sequence(F.lit(1), size)).alias("_r")
     ).drop("_r")
 
-    return steps.unionByName(repeats)
+    return within_day.unionByName(day_starts).unionByName(repeats)

@@ -9,6 +9,9 @@ every row in one task. Two levels give the same sums in parallel:
   row per block, joined back by broadcast. Its size is the number of blocks,
   which is bounded by the calendar span (one row per month), not by the data.
 
+The input is read twice (block sums and the in-block window); it is checkpointed
+first (shared ``spark.checkpoint.dir``) so the joins that produced it run once.
+
 The order key must be unique (one row per day here), as it is in the reports:
 with ties a ROWS frame has no defined order anyway.
 """
@@ -18,9 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.session import checkpoint_dir
+
 
 def running_total(
-    df: DataFrame, order_by: str, value: str, out: str, block: Column
+    df: DataFrame,
+    order_by: str,
+    value: str,
+    out: str,
+    block: Column,
+    checkpoint: bool = True,
 ) -> DataFrame:
     """``df`` plus ``out`` = running sum of ``value`` in ``order_by`` order.
 
@@ -28,6 +38,9 @@ def running_total(
     skipped as SQL ``SUM`` does; the running sum is NULL until the first non-NULL.
     """
     blocked = df.withColumn("_block", block)
+    if checkpoint:
+        checkpoint_dir(df.sparkSession)
+        blocked = blocked.checkpoint(eager=True)
     upto_here = Window.partitionBy("_block").orderBy(order_by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

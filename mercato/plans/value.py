@@ -72,17 +72,24 @@ def repeat_aov_by_seller(t: Tables) -> DataFrame:
 
 
 def repeat_aov_by_category(t: Tables) -> DataFrame:
-    """Mean order total of repeat persons' orders per category, each order once per category."""
-    rov = _repeat_order_value(t)
+    """Mean order total of repeat persons' orders per category, each order once per category.
+
+    Lines of repeat orders carry their order total; (order, product) and then
+    (order, category) are de-duplicated before the mean, as the reference's
+    DISTINCT bridge does. The repeat order values are referenced once.
+    """
     order_products = (
         t.items.select("order_id", "product_id")
-        .join(rov.select("order_id"), "order_id", "left_semi")
+        .join(_repeat_order_value(t), "order_id")
+        .distinct()
+    )
+    order_categories = (
+        with_category(order_products, t)
+        .select("order_id", "product_category", "order_total")
         .distinct()
     )
-    order_categories = with_category(order_products, t).select("order_id", "product_category").distinct()
     return (
-        order_categories.join(rov, "order_id")
-        .groupBy("product_category")
+        order_categories.groupBy("product_category")
         .agg(
             mean_money(F.sum("order_total"), F.count("order_total")).alias(
                 "AOV_from_repeat_customers"
