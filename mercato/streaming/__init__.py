@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reports this library reproduces are batch queries only: no streams,
+watermarks, event-time windows or stateful operators occur in them (SURVEY
+§2.2, "Set ops, streaming, UDFs"). A streaming variant would be an operator the
+source does not have, so none is provided. The batch reports take any
+DataFrames, so a ``foreachBatch`` sink can call them on micro-batches if a
+deployment needs that.
+"""
