@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions import as_money, day_gap, mean_money, percent_basis_points, percent_raw
+from mercato.functions import as_money, day_gap, mean_money, percent_raw
 from mercato.functions.money import floor_div
 from mercato.operators.gaps import previous_event
 from mercato.operators.ranking import bucketed_dense_rank
+from mercato.operators.shares import share_of_total_decimal
 from mercato.operators.segments import (
     PERSON,
     delivered,
@@ -167,13 +168,8 @@ def order_frequency_buckets(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("number_of_customers")
     )
     # at most four rows: the grand total is a window over the whole (tiny) result
-    everyone = F.sum("number_of_customers").over(Window.partitionBy())
-    share = (
-        percent_basis_points(F.col("number_of_customers"), everyone).cast("decimal(7,0)")
-        / F.lit(100)
-    ).cast("decimal(5,2)")
     return (
-        groups.withColumn("percentage", share)
+        share_of_total_decimal(groups, "number_of_customers", "percentage")
         .orderBy("_sort")
         .select("order_frequency_group", "number_of_customers", "percentage")
     )

@@ -8,11 +8,12 @@ one such order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions import as_money, mean_money, percent_2dp, weekday_name
+from mercato.functions import as_money, mean_money, weekday_name
 from mercato.operators.running import running_total
+from mercato.operators.shares import share_of_total
 from mercato.operators.segments import (
     PERSON,
     delivered,
@@ -131,13 +132,16 @@ def revenue_by_payment_type(t: Tables) -> DataFrame:
         F.sum("_value").alias("_total"), F.count(F.lit(1)).alias("total_orders")
     )
     # one row per payment type: the grand total is a window over a handful of rows
-    everything = F.sum("_total").over(Window.partitionBy())
-    return per_type.select(
-        "payment_type",
-        as_money(F.col("_total")).alias("total_revenue"),
-        "total_orders",
-        percent_2dp(F.col("_total"), everything, money=True).alias("revenue_share_percent"),
-    ).orderBy(F.desc("total_revenue"), "payment_type")
+    return (
+        share_of_total(per_type, "_total", "revenue_share_percent", money=True)
+        .select(
+            "payment_type",
+            as_money(F.col("_total")).alias("total_revenue"),
+            "total_orders",
+            "revenue_share_percent",
+        )
+        .orderBy(F.desc("total_revenue"), "payment_type")
+    )
 
 
 def revenue_by_weekday(t: Tables) -> DataFrame:

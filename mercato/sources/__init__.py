@@ -24,6 +24,11 @@ class Tables:
     sellers: DataFrame
     payments: DataFrame
 
+    def register_views(self, prefix: str = "") -> None:
+        """Expose the seven tables as session temp views for ad-hoc Spark SQL."""
+        for name, frame in vars(self).items():
+            frame.createOrReplaceTempView(f"{prefix}{name}")
+
 
 # Plans (not data) of loaded tables, per application and folder. A Tables bundle
 # is a set of lazy DataFrames; reusing it saves re-reading file footers and
