@@ -16,6 +16,12 @@ row is copied to the ``S`` block pairs it takes part in, and each join key then
 holds at most about ``block_items`` rows per side. Ordinary baskets have ``S=1``
 and are not copied. Each item pair still meets exactly once (in block pair
 ``(block(A), block(B))``), so the counts are exact; nothing is capped or sampled.
+
+Attaching ``d`` to each (basket, item) row is an equi-join on the basket against
+one row per basket; a hot basket is a single skewed key there, which AQE's
+skew-join split spreads over several tasks (or the size table is broadcast when
+AQE measures it small). The quadratic part never depends on AQE: it is the block
+split above.
 """
 
 from __future__ import annotations
