@@ -30,11 +30,8 @@ def delivered(orders: DataFrame) -> DataFrame:
 
 
 def order_totals(items: DataFrame) -> DataFrame:
-    """One row per order that has lines: ``order_revenue`` (price + freight), ``order_lines``."""
-    return items.groupBy("order_id").agg(
-        F.sum(line_revenue(True)).alias("order_revenue"),
-        F.count(F.lit(1)).alias("order_lines"),
-    )
+    """One row per order that has lines: ``order_revenue`` (sum of price + freight)."""
+    return items.groupBy("order_id").agg(F.sum(line_revenue(True)).alias("order_revenue"))
 
 
 def orders_of_persons(t: Tables, delivered_only: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mercato.functions import as_money, line_revenue, percent_2dp, percent_raw
 from mercato.operators.segments import (
     PERSON,
-    delivered,
+    delivered_lines,
     orders_of_persons,
     repeat_lines,
     repeat_orders,
@@ -153,10 +153,9 @@ def seller_repeat_dependency(t: Tables) -> DataFrame:
     two rounded sums, as the reference does.
     """
     flagged_orders = repeat_orders(t).withColumn("_is_repeat", F.lit(True))
-    lines = t.items.join(delivered(t.orders).select("order_id"), "order_id", "left_semi")
     rev = line_revenue()
     per_seller = (
-        lines.join(flagged_orders, "order_id", "left")
+        delivered_lines(t).join(flagged_orders, "order_id", "left")
         .groupBy("seller_id")
         .agg(
             F.round(F.sum(rev), 2).alias("_total"),
