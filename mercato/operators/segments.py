@@ -29,9 +29,11 @@ def delivered(orders: DataFrame) -> DataFrame:
     return orders.where(F.col("order_status") == DELIVERED)
 
 
-def order_totals(items: DataFrame) -> DataFrame:
+def order_totals(t: Tables) -> DataFrame:
     """One row per order that has lines: ``order_revenue`` (sum of price + freight)."""
-    return items.groupBy("order_id").agg(F.sum(line_revenue(True)).alias("order_revenue"))
+    if "order_totals" in t.shared:
+        return t.shared["order_totals"]
+    return t.items.groupBy("order_id").agg(F.sum(line_revenue(True)).alias("order_revenue"))
 
 
 def orders_of_persons(t: Tables, delivered_only: bool = True) -> DataFrame:
@@ -42,12 +44,12 @@ def orders_of_persons(t: Tables, delivered_only: bool = True) -> DataFrame:
 
 def order_values(t: Tables, delivered_only: bool = True) -> DataFrame:
     """Orders that have lines, with person and total: ``order_revenue``."""
-    return orders_of_persons(t, delivered_only).join(order_totals(t.items), "order_id")
+    return orders_of_persons(t, delivered_only).join(order_totals(t), "order_id")
 
 
 def delivered_order_revenue(t: Tables) -> DataFrame:
     """Delivered orders that have lines, with ``order_revenue`` (no customer join)."""
-    return delivered(t.orders).join(order_totals(t.items), "order_id")
+    return delivered(t.orders).join(order_totals(t), "order_id")
 
 
 def delivered_lines(t: Tables) -> DataFrame:
@@ -70,12 +72,16 @@ def person_order_counts(t: Tables, delivered_only: bool, with_items: bool) -> Da
 
 def repeat_persons(t: Tables, delivered_only: bool = True, with_items: bool = False) -> DataFrame:
     """Persons with more than one order under the chosen definition (one row each)."""
+    if delivered_only and not with_items and "repeat_persons" in t.shared:
+        return t.shared["repeat_persons"]
     counts = person_order_counts(t, delivered_only, with_items)
     return counts.where(F.col("total_orders") > 1).select(PERSON)
 
 
 def repeat_orders(t: Tables) -> DataFrame:
     """Delivered orders placed by repeat persons (definition (c)): ``order_id``."""
+    if "repeat_orders" in t.shared:
+        return t.shared["repeat_orders"]
     person_orders = orders_of_persons(t).select("order_id", PERSON)
     rc = repeat_persons(t)
     return person_orders.join(rc, PERSON, "left_semi").select("order_id")

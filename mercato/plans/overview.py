@@ -31,7 +31,7 @@ def _state_revenue(t: Tables) -> DataFrame:
     # lines -> order totals first, so the customer join runs on orders, not lines
     return (
         delivered(t.orders)
-        .join(order_totals(t.items), "order_id")
+        .join(order_totals(t), "order_id")
         .join(t.customers, "customer_id")
         .groupBy("customer_state")
         .agg(

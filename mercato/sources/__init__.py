@@ -9,10 +9,12 @@ or CSV) goes through :mod:`mercato.sources.files`.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercato.schema import TABLE_NAMES
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -23,10 +25,17 @@ class Tables:
     translation: DataFrame
     sellers: DataFrame
     payments: DataFrame
+    # Optional intermediates built once for a run of many reports (see
+    # mercato.plans.suite); report functions use them when present.
+    shared: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+
+    def frames(self) -> dict[str, DataFrame]:
+        """The seven base tables by logical name."""
+        return {name: getattr(self, name) for name in TABLE_NAMES}
 
     def register_views(self, prefix: str = "") -> None:
         """Expose the seven tables as session temp views for ad-hoc Spark SQL."""
-        for name, frame in vars(self).items():
+        for name, frame in self.frames().items():
             frame.createOrReplaceTempView(f"{prefix}{name}")
 
 

@@ -14,7 +14,7 @@ SAMPLE = ["revenue_by_state", "customer_revenue_rank", "delivery_gap_days", "top
 
 
 def _write(tables, root, fmt):
-    for name, frame in vars(tables).items():
+    for name, frame in tables.frames().items():
         writer = frame.coalesce(1).write.mode("error")
         if fmt == "csv":
             writer.option("header", True).csv(str(root / f"{name}.csv"))
@@ -31,8 +31,8 @@ def test_file_tables_round_trip(spark, micro, tmp_path, fmt):
 
 
 def test_file_names_mapping(spark, micro, tmp_path):
-    renamed = {name: f"export_{name}" for name in vars(micro)}
-    for name, frame in vars(micro).items():
+    renamed = {name: f"export_{name}" for name in micro.frames()}
+    for name, frame in micro.frames().items():
         frame.coalesce(1).write.parquet(str(tmp_path / f"{renamed[name]}.parquet"))
     tables = files.load(spark, str(tmp_path), names=renamed)
     assert [tuple(r) for r in REPORTS["orders_by_state"](tables).collect()] == GOLDEN[
@@ -51,7 +51,7 @@ def test_register_views(spark, micro):
 def test_generated_adapter_facts(spark):
     assert generated.looks_generated(SF01)
     t = load_tables(spark, SF01)
-    counts = {name: frame.count() for name, frame in vars(t).items()}
+    counts = {name: frame.count() for name, frame in t.frames().items()}
     assert counts == {
         "customers": 1500,
         "orders": 15000,
