@@ -40,3 +40,25 @@ def test_run_suite_collects_everything(spark):
     timings = run_suite(spark, SF001, sink=lambda name, df: seen.setdefault(name, df.count()))
     assert set(seen) == set(REPORTS)
     assert "_shared" in timings and all(v >= 0 for v in timings.values())
+
+
+GLOBAL_AGGREGATES = {
+    "repeat_customer_pct",
+    "avg_orders_repeat",
+    "avg_revenue_repeat",
+    "avg_revenue_one_time",
+}
+
+
+def test_every_report_on_empty_tables(micro):
+    import dataclasses
+
+    empty = dataclasses.replace(
+        micro, **{name: frame.limit(0) for name, frame in micro.frames().items()}
+    )
+    for name, report in REPORTS.items():
+        rows = report(empty).collect()
+        if name in GLOBAL_AGGREGATES:
+            assert len(rows) == 1 and all(v is None for v in rows[0]), name
+        else:
+            assert rows == [], name
