@@ -1,0 +1,66 @@
+"""Exact rounding helpers against Python's decimal ROUND_HALF_UP (many values per job)."""
+
+from __future__ import annotations
+
+import random
+from decimal import ROUND_HALF_UP, Decimal
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from mercato.functions.money import mean_money, percent_2dp, percent_basis_points
+
+CENT = Decimal("0.01")
+
+
+def _cases(seed: int, n: int):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        k = rng.choice([1, 2, 3, 7, 8, 200, rng.randint(1, 10**6), rng.randint(1, 10**12)])
+        total = Decimal(rng.randint(0, 10**14)) / 100
+        out.append((total, k))
+    # exact half-cent ties and their neighbours
+    out += [(Decimal("118.01"), 2), (Decimal("118.03"), 2), (Decimal("0.05"), 2), (Decimal("0.01"), 2)]
+    out += [(Decimal("99999999999999.99"), 3), (Decimal("0.00"), 5)]
+    return out
+
+
+def test_mean_money_is_half_up(spark):
+    rows = _cases(1, 3000)
+    schema = T.StructType(
+        [T.StructField("total", T.DecimalType(18, 2)), T.StructField("k", T.LongType())]
+    )
+    df = spark.createDataFrame(rows, schema).select(
+        "total", "k", mean_money(F.col("total"), F.col("k")).alias("m")
+    )
+    for r in df.collect():
+        expected = (r.total / r.k).quantize(CENT, rounding=ROUND_HALF_UP)
+        assert r.m == float(expected), (r.total, r.k, r.m, expected)
+
+
+def test_percentages_are_half_up(spark):
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 10**9), rng.randint(1, 10**9)) for _ in range(3000)]
+    rows = [(min(a, b), b) for a, b in rows] + [(1, 3), (2, 3), (1, 8), (1, 16), (0, 5), (5, 5)]
+    df = spark.createDataFrame(rows, "a long, b long").select(
+        "a",
+        "b",
+        percent_2dp(F.col("a"), F.col("b")).alias("p"),
+        percent_basis_points(F.col("a"), F.col("b")).alias("bp"),
+    )
+    for r in df.collect():
+        exact = (Decimal(100 * r.a) / Decimal(r.b)).quantize(CENT, rounding=ROUND_HALF_UP)
+        assert r.p == float(exact), (r.a, r.b, r.p, exact)
+        assert Decimal(r.bp) == exact * 100
+
+
+def test_money_percent_and_zero_denominator(spark):
+    schema = "part decimal(18,2), whole decimal(18,2)"
+    rows = [(Decimal("33.00"), Decimal("49.50")), (Decimal("1.00"), Decimal("0.00"))]
+    got = (
+        spark.createDataFrame(rows, schema)
+        .select(percent_2dp(F.col("part"), F.col("whole"), money=True).alias("p"))
+        .collect()
+    )
+    assert [r.p for r in got] == [66.67, None]
