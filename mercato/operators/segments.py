@@ -38,6 +38,8 @@ def order_totals(t: Tables) -> DataFrame:
 
 def orders_of_persons(t: Tables, delivered_only: bool = True) -> DataFrame:
     """Orders with the person who placed them (and the state of that customer id)."""
+    if delivered_only and "delivered_person_orders" in t.shared:
+        return t.shared["delivered_person_orders"]
     orders = delivered(t.orders) if delivered_only else t.orders
     return orders.join(t.customers, "customer_id")
 
@@ -92,6 +94,15 @@ def repeat_lines(t: Tables) -> DataFrame:
     return t.items.join(repeat_orders(t), "order_id", "left_semi")
 
 
+def named_products(t: Tables) -> DataFrame:
+    """``(product_id, product_category_name_english)`` for products with a translated category."""
+    if "named_products" in t.shared:
+        return t.shared["named_products"]
+    return t.products.join(t.translation, "product_category_name").select(
+        "product_id", "product_category_name_english"
+    )
+
+
 def with_category(df: DataFrame, t: Tables, alias: str = "product_category") -> DataFrame:
     """Attach the English category through products and the translation (inner joins).
 
@@ -99,7 +110,5 @@ def with_category(df: DataFrame, t: Tables, alias: str = "product_category") ->
     reference's inner joins. ``df`` should already be aggregated to the product
     (or order-product) grain so this join runs on few rows.
     """
-    named = t.products.join(t.translation, "product_category_name").select(
-        "product_id", F.col("product_category_name_english").alias(alias)
-    )
+    named = named_products(t).withColumnRenamed("product_category_name_english", alias)
     return df.join(named, "product_id")

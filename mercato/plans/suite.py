@@ -6,9 +6,11 @@ run of the whole catalogue (what the reference's scripts do) those order- and
 person-level intermediates are built once, written with ``checkpoint()`` into
 the shared ``spark.checkpoint.dir``, and every report reads them:
 
-* ``order_totals``   one row per order with lines: revenue (a quarter of the lines)
-* ``repeat_persons`` persons with more than one delivered order
-* ``repeat_orders``  delivered orders of those persons
+* ``order_totals``            one row per order with lines: revenue
+* ``delivered_person_orders`` delivered orders with the person and state of the buyer
+* ``named_products``          product id -> English category name
+* ``repeat_persons``          persons with more than one delivered order
+* ``repeat_orders``           delivered orders of those persons
 
 Each is far smaller than the order lines, so writing it once costs less than a
 second scan-and-shuffle of the lines, and the checkpoint cuts lineage: a lost
@@ -23,7 +25,13 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.operators.segments import order_totals, repeat_orders, repeat_persons
+from mercato.operators.segments import (
+    named_products,
+    order_totals,
+    orders_of_persons,
+    repeat_orders,
+    repeat_persons,
+)
 from mercato.plans import REPORTS
 from mercato.session import checkpoint_dir
 from mercato.sources import Tables, load_tables
@@ -33,10 +41,16 @@ def with_shared_intermediates(t: Tables) -> Tables:
     spark = t.orders.sparkSession
     checkpoint_dir(spark)
     shared: dict[str, DataFrame] = {}
-    shared["order_totals"] = order_totals(t).checkpoint(eager=True)
-    shared["repeat_persons"] = repeat_persons(t).checkpoint(eager=True)
-    staged = dataclasses.replace(t, shared=dict(shared))
-    shared["repeat_orders"] = repeat_orders(staged).checkpoint(eager=True)
+
+    def keep(name: str, build: Callable[[Tables], DataFrame]) -> None:
+        # each step may read the intermediates built before it
+        shared[name] = build(dataclasses.replace(t, shared=dict(shared))).checkpoint(eager=True)
+
+    keep("order_totals", order_totals)
+    keep("delivered_person_orders", orders_of_persons)
+    keep("named_products", named_products)
+    keep("repeat_persons", repeat_persons)
+    keep("repeat_orders", repeat_orders)
     return dataclasses.replace(t, shared=shared)
 
 
