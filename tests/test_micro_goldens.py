@@ -113,3 +113,19 @@ def test_golden_in_order(micro, name):
 def test_golden_unordered(micro, name):
     rows = {tuple(r) for r in REPORTS[name](micro).collect()}
     assert rows == UNORDERED[name]
+
+
+@pytest.mark.parametrize(
+    "delivered_only, with_items, expected",
+    [
+        (False, False, {"P1", "P4", "P5"}),  # (a) every status, any order
+        (False, True, {"P1", "P4"}),  # (b) every status, orders with lines
+        (True, False, {"P1", "P5"}),  # (c) delivered, any order
+        (True, True, {"P1"}),  # (d) delivered, orders with lines
+    ],
+)
+def test_four_repeat_definitions(micro, delivered_only, with_items, expected):
+    from mercato.operators.segments import repeat_persons
+
+    got = {r[0] for r in repeat_persons(micro, delivered_only, with_items).collect()}
+    assert got == expected
