@@ -1,0 +1,58 @@
+"""Checkpoint folder policy: use the cluster's shared folder, never invent one on a cluster."""
+
+from __future__ import annotations
+
+import pytest
+
+from mercato.session import checkpoint_dir
+
+
+class _Conf:
+    def __init__(self, values):
+        self.values = values
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+
+class _Context:
+    def __init__(self, master, current=None, conf=None):
+        self.master = master
+        self.current = current
+        self.conf = conf or {}
+
+    def getCheckpointDir(self):
+        return self.current
+
+    def setCheckpointDir(self, path):
+        self.current = path
+
+    def getConf(self):
+        return _Conf(self.conf)
+
+
+class _Session:
+    def __init__(self, context, conf=None):
+        self.sparkContext = context
+        self.conf = _Conf(conf or {})
+
+
+def test_existing_folder_is_kept():
+    s = _Session(_Context("yarn", current="hdfs://nn/ckpt/app-1"))
+    assert checkpoint_dir(s) == "hdfs://nn/ckpt/app-1"
+
+
+def test_configured_shared_folder_is_used():
+    s = _Session(_Context("yarn"), conf={"spark.checkpoint.dir": "s3a://bucket/ckpt"})
+    assert checkpoint_dir(s) == "s3a://bucket/ckpt"
+
+
+def test_cluster_without_folder_refuses_a_local_one():
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(_Session(_Context("k8s://https://api:443")))
+
+
+def test_local_mode_without_folder_gets_a_temporary_one():
+    ctx = _Context("local[4]")
+    path = checkpoint_dir(_Session(ctx))
+    assert path and "mercato-ckpt-" in path
