@@ -72,3 +72,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
         )
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="mercato-ckpt-"))
     return sc.getCheckpointDir()
+
