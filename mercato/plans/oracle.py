@@ -59,8 +59,11 @@ PRELUDE: dict[str, str] = {
 _DEPENDS = {"m_orders": ("m_last_ship",)}
 
 
-def _with_prelude(ctes: str, body: str) -> str:
+def _with_prelude(ctes: str, body: str, prelude: bool = True) -> str:
     text = ctes + body
+    if not prelude:
+        # the m_* names then refer to logical tables registered under those names
+        return ("WITH " + ctes.strip() + "\n" if ctes.strip() else "") + body.strip()
     needed = [name for name in PRELUDE if re.search(rf"\b{name}\b", text)]
     for name in list(needed):
         for dep in _DEPENDS.get(name, ()):
@@ -519,5 +522,9 @@ ORDER BY revenue DESC"""),
 }
 
 
-def oracle_statements() -> dict[str, str]:
-    return {name: _with_prelude(ctes, body) for name, (ctes, body) in STATEMENTS.items()}
+def oracle_statements(prelude: bool = True) -> dict[str, str]:
+    """Statements over the raw generated tables (with the adapter prelude), or, with
+    ``prelude=False``, over logical tables registered as ``m_customers`` ... ``m_payments``."""
+    return {
+        name: _with_prelude(ctes, body, prelude) for name, (ctes, body) in STATEMENTS.items()
+    }
