@@ -10,6 +10,9 @@ together. Everything is a projection of a scan except two things:
   removes the join altogether (``EliminateOuterJoin`` on distinct keys) and the
   lines are not scanned for it.
 * the category translation is a ``DISTINCT`` over ``part``.
+
+Code-to-label mappings are built so that filters on the label reach the scan
+(see :func:`_code_map`).
 """
 
 from __future__ import annotations
@@ -39,10 +42,16 @@ def looks_generated(path: str) -> bool:
 
 
 def _code_map(code: F.Column, pairs, other: str) -> F.Column:
-    expr = None
-    for raw, label in pairs:
-        expr = F.when(code == raw, label) if expr is None else expr.when(code == raw, label)
-    return expr.otherwise(other)
+    """``CASE code WHEN raw THEN label ... ELSE other END`` (a NULL code gives ``other``).
+
+    Written as nested two-way CASEs on null-safe equality: then a filter such as
+    ``order_status = 'delivered'`` simplifies to ``o_orderstatus <=> 'F'`` and is
+    pushed into the parquet scan, which a multi-branch CASE on ``=`` prevents.
+    """
+    expr = F.lit(other)
+    for raw, label in reversed(pairs):
+        expr = F.when(code.eqNullSafe(raw), label).otherwise(expr)
+    return expr
 
 
 def _money(c: F.Column) -> F.Column:
