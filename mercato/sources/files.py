@@ -32,6 +32,8 @@ def read_table(
     if fmt == "csv":
         # every column read as text, then cast: no inference pass over the data
         df = spark.read.option("header", True).option("inferSchema", False).csv(location)
+        # exports written with a UTF-8 byte-order mark carry it in the first header name
+        df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
     else:
         df = spark.read.parquet(location)
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -75,3 +75,12 @@ def test_generated_adapter_facts(spark):
     delivered = t.orders.where("order_status = 'delivered'")
     assert delivered.count() == 4933
     assert delivered.where("order_delivered_customer_date IS NULL").count() == 74
+
+
+def test_csv_header_with_byte_order_mark(spark, tmp_path):
+    path = tmp_path / "sellers.csv"
+    path.write_text("\ufeffseller_id,seller_city\ns1,x\ns2,y\n", encoding="utf-8")
+    from mercato.schema import logical_schemas
+
+    df = files.read_table(spark, str(path), "csv", logical_schemas()["sellers"])
+    assert df.columns == ["seller_id"] and sorted(r[0] for r in df.collect()) == ["s1", "s2"]
