@@ -24,6 +24,11 @@ def share_of_total(df: DataFrame, value: str, out: str, money: bool = False) ->
 
 
 def share_of_total_decimal(df: DataFrame, value: str, out: str) -> DataFrame:
-    """``out`` = ``CAST(100.0 * value / sum(value) AS DECIMAL(5,2))`` (half up)."""
+    """``out`` = ``CAST(100.0 * value / sum(value) AS DECIMAL(5,2))`` (half up).
+
+    The value is the exact ``DECIMAL(5,2)`` share (the cast fails on overflow as the
+    SQL cast does); like every other rounded figure it is delivered as ``double``.
+    """
     basis_points = percent_basis_points(F.col(value), grand_total(value))
-    return df.withColumn(out, (basis_points.cast("decimal(7,0)") / F.lit(100)).cast("decimal(5,2)"))
+    share = (basis_points.cast("decimal(7,0)") / F.lit(100)).cast("decimal(5,2)")
+    return df.withColumn(out, share.cast("double"))

@@ -308,9 +308,9 @@ grouped AS (
     GROUP BY 1, 2
 )""", f"""
 SELECT order_frequency_group, number_of_customers,
-       CAST(CAST({_half_up('10000 * CAST(number_of_customers AS HUGEINT)',
-                           'CAST(SUM(number_of_customers) OVER () AS HUGEINT)')}
-                 AS DECIMAL(7,0)) / 100 AS DECIMAL(5,2)) AS percentage
+       CAST(CAST(CAST({_half_up('10000 * CAST(number_of_customers AS HUGEINT)',
+                                'CAST(SUM(number_of_customers) OVER () AS HUGEINT)')}
+                      AS DECIMAL(7,0)) / 100 AS DECIMAL(5,2)) AS DOUBLE) AS percentage
 FROM grouped
 ORDER BY sort_key"""),
     # ---- section 3 ----

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from decimal import Decimal
-
 import pytest
 
 from mercato.plans import REPORTS
@@ -60,7 +58,7 @@ GOLDEN = {
         ("P2", T("2017-11-30 12:00"), T("2017-11-30 12:00"), 0),
         ("P4", T("2018-02-08 12:00"), T("2018-02-08 12:00"), 0),
     ],
-    "order_frequency_buckets": [("1 Order", 3, Decimal("60.00")), ("2 Orders", 2, Decimal("40.00"))],
+    "order_frequency_buckets": [("1 Order", 3, 60.0), ("2 Orders", 2, 40.0)],
     "repeat_items_by_category": [("bed_bath_table", 3), ("health_beauty", 2)],
     "repeat_orders_by_seller": [("s1", 2), ("s2", 2)],
     "repeat_customers_by_state": [("AC", 2), ("RJ", 1), ("SP", 1)],
