@@ -20,6 +20,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a sort-merge join whose build side is measured under 64 MB per partition runs
+    # as a shuffled hash join: no sort of either side, memory bounded per task
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
     # checkpointed intermediates are deleted once their DataFrames are collected
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
