@@ -3,6 +3,7 @@
     python -m mercato list
     python -m mercato run revenue_by_state --data /root/testdata/sf0.1 --show 20
     python -m mercato run customer_spend --data DIR --out OUT --format parquet
+    python -m mercato suite --data DIR --out OUT     # every report, OUT/<report>/
 
 ``--master`` defaults to the session already configured by ``spark-submit``
 (or ``local[*]`` when run directly). Writing uses the ``errorifexists`` mode
@@ -27,6 +28,12 @@ def main(argv: list[str] | None = None) -> int:
     run_p.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     run_p.add_argument("--mode", default="errorifexists")
     run_p.add_argument("--master", default=None)
+    suite_p = sub.add_parser("suite", help="run every report, sharing intermediates")
+    suite_p.add_argument("--data", required=True)
+    suite_p.add_argument("--out", required=True, help="folder; one sub-folder per report")
+    suite_p.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
+    suite_p.add_argument("--mode", default="errorifexists")
+    suite_p.add_argument("--master", default=None)
     args = parser.parse_args(argv)
 
     from mercato.plans import REPORTS
@@ -34,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "list":
         print("\n".join(REPORTS))
         return 0
-    if args.report not in REPORTS:
+    if args.command == "run" and args.report not in REPORTS:
         print(f"unknown report {args.report!r}; see 'python -m mercato list'", file=sys.stderr)
         return 2
 
@@ -42,16 +49,30 @@ def main(argv: list[str] | None = None) -> int:
 
     from mercato.plans import run
 
-    builder = SparkSession.builder.appName(f"mercato-{args.report}")
+    builder = SparkSession.builder.appName(f"mercato-{getattr(args, 'report', 'suite')}")
     if args.master:
         builder = builder.master(args.master)
     spark = builder.getOrCreate()
-    df = run(spark, args.data, args.report)
-    if args.out:
+
+    def write(df, path: str) -> None:
         writer = df.write.mode(args.mode)
         if args.format == "csv":
             writer = writer.option("header", True)
-        getattr(writer, args.format)(args.out)
+        getattr(writer, args.format)(path)
+
+    if args.command == "suite":
+        from mercato.plans.suite import run_suite
+
+        timings = run_suite(
+            spark, args.data, sink=lambda name, df: write(df, f"{args.out.rstrip('/')}/{name}")
+        )
+        for name, sec in timings.items():
+            print(f"{name}\t{sec:.2f}s")
+        return 0
+
+    df = run(spark, args.data, args.report)
+    if args.out:
+        write(df, args.out)
     else:
         df.show(args.show, truncate=False)
     return 0
