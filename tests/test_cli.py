@@ -6,6 +6,7 @@ from conftest import SF001
 
 from mercato.__main__ import main
 from mercato.plans import REPORTS
+from mercato.sources import load_tables
 
 
 def test_list(capsys):
@@ -29,4 +30,4 @@ def test_suite_writes_every_report(spark, tmp_path):
     written = sorted(p.name for p in out.iterdir())
     assert written == sorted(REPORTS)
     got = spark.read.option("header", True).csv(str(out / "orders_by_state")).count()
-    assert got == REPORTS["orders_by_state"](__import__("mercato.sources", fromlist=["x"]).load_tables(spark, SF001)).count()
+    assert got == REPORTS["orders_by_state"](load_tables(spark, SF001)).count()
