@@ -72,7 +72,11 @@ def bucketed_dense_rank(
     n_buckets = len(edges) + 1
     if edges:
         splits = [-math.inf, *edges, math.inf]
-        bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(present)
+        # NaN (largest in Spark's order) goes to an extra bucket after the last edge
+        bucketizer = Bucketizer(
+            splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep"
+        )
+        bucketed = bucketizer.transform(present)
         asc_bucket = F.col("_b").cast("int")
     else:
         bucketed, asc_bucket = present, F.lit(0)

@@ -56,6 +56,21 @@ def test_bucketed_dense_rank_equals_window(skewed_values, descending, buckets):
     assert _rows(got.select("k", "v", F.col("r").cast("int"))) == _rows(expected)
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_bucketed_dense_rank_on_doubles_with_nan_and_infinity(spark, descending):
+    rng = random.Random(9)
+    specials = [float("nan"), float("inf"), float("-inf"), None, 0.0, -0.0]
+    rows = [(i, rng.choice(specials) if i % 7 == 0 else rng.uniform(-1e6, 1e6)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    order = F.col("v").desc() if descending else F.col("v").asc()
+    expected = df.withColumn("r", F.dense_rank().over(Window.orderBy(order)))
+    got = bucketed_dense_rank(df, "v", "r", descending=descending, buckets=16)
+    key = lambda r: (r[0], r[2])  # noqa: E731  (NaN != NaN, compare ids and ranks)
+    assert sorted(map(key, got.select("k", "v", F.col("r").cast("int")).collect())) == sorted(
+        map(key, expected.collect())
+    )
+
+
 def test_bucketed_dense_rank_without_checkpoint(skewed_values):
     got = bucketed_dense_rank(skewed_values, "v", "r", buckets=8, checkpoint=False)
     expected = skewed_values.withColumn("r", F.dense_rank().over(Window.orderBy(F.desc("v"))))
