@@ -38,8 +38,15 @@ def previous_event(
     chunk: int = DEFAULT_CHUNK,
     checkpoint: bool = True,
 ) -> DataFrame:
-    """Rows ``(key, prev, ts)``: one per input row except each key's first, as LAG gives."""
-    distinct = df.groupBy(key, ts).agg(F.count(F.lit(1)).alias("_m"))
+    """Rows ``(key, prev, ts)`` with ``prev`` not NULL, as ``LAG`` followed by
+    ``WHERE prev IS NOT NULL`` gives: one per input row except each key's first.
+
+    A NULL timestamp is never anyone's previous event under that filter (it sorts
+    first, so it only precedes a key's earliest real timestamp, whose pair is then
+    dropped), so rows with a NULL ``ts`` are left out up front.
+    """
+    known = df.where(F.col(ts).isNotNull())
+    distinct = known.groupBy(key, ts).agg(F.count(F.lit(1)).alias("_m"))
     day = Window.partitionBy(key, "_day")
     per_day = (
         distinct.withColumn("_day", F.to_date(ts))
@@ -47,7 +54,7 @@ def previous_event(
         .withColumn("_day_last", F.max(ts).over(day))
     )
     if checkpoint:
-        checkpoint_dir(df.sparkSession)
+        checkpoint_dir(known.sparkSession)
         per_day = per_day.checkpoint(eager=True)
 
     within_day = per_day.where(F.col("_prev_in_day").isNotNull()).select(

@@ -136,6 +136,7 @@ def events(spark):
         t = base + dt.timedelta(hours=6 * rng.randint(0, 400))
         rows.append((key, t))
     rows += [("dup", base)] * 9  # one timestamp many times
+    rows += [("hot", None), ("hot", None), ("nulls_only", None)]  # NULL timestamps
     return spark.createDataFrame(rows, "key string, ts timestamp_ntz")
 
 
