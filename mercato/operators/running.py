@@ -57,8 +57,7 @@ def running_total(
         F.when(F.col("_within").isNull() & F.col("_offset").isNull(), F.lit(None))
         .otherwise(F.coalesce("_within", F.lit(0)) + F.coalesce("_offset", F.lit(0)))
     )
-    return (
-        within.join(F.broadcast(offsets), "_block")
-        .withColumn(out, total)
-        .drop("_block", "_within", "_offset")
-    )
+    # null-safe: a NULL order key forms its own block, first in ascending order
+    offsets = offsets.withColumnRenamed("_block", "_ob")
+    joined = within.join(F.broadcast(offsets), within["_block"].eqNullSafe(offsets["_ob"]))
+    return joined.withColumn(out, total).drop("_block", "_ob", "_within", "_offset")

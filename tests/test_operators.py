@@ -26,7 +26,8 @@ from mercato.operators import (
 
 
 def _rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    # repr as the sort key: rows may hold NULLs next to dates or numbers
+    return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
 @pytest.fixture(scope="module")
@@ -116,6 +117,16 @@ def test_running_total_equals_window(spark):
     assert _rows(got.select("day", "v", "run")) == _rows(expected)
 
 
+def test_running_total_with_null_order_key(spark):
+    df = spark.createDataFrame(
+        [(None, 4), (dt.date(2020, 1, 5), 1), (dt.date(2020, 3, 1), 2)], "day date, v int"
+    )
+    frame = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    expected = df.withColumn("run", F.sum("v").over(frame))
+    got = running_total(df, "day", "v", "run", F.trunc("day", "month"))
+    assert _rows(got.select("day", "v", "run")) == _rows(expected)
+
+
 def test_running_total_leading_nulls(spark):
     df = spark.createDataFrame(
         [(dt.date(2020, 1, 1), None), (dt.date(2020, 2, 1), None), (dt.date(2020, 2, 3), 5)],
