@@ -46,7 +46,11 @@ def orders_of_persons(t: Tables, delivered_only: bool = True) -> DataFrame:
 
 def order_values(t: Tables, delivered_only: bool = True) -> DataFrame:
     """Orders that have lines, with person and total: ``order_revenue``."""
-    return orders_of_persons(t, delivered_only).join(order_totals(t), "order_id")
+    if delivered_only and "delivered_person_orders" in t.shared:
+        return t.shared["delivered_person_orders"].join(order_totals(t), "order_id")
+    orders = delivered(t.orders) if delivered_only else t.orders
+    # the order-keyed join first: on order-bucketed tables it needs no shuffle
+    return orders.join(order_totals(t), "order_id").join(t.customers, "customer_id")
 
 
 def delivered_order_revenue(t: Tables) -> DataFrame:

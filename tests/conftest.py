@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,7 +18,11 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[*]", 8, app_name="mercato-tests")
+    # catalog tables of the tests go to a fresh scratch folder, not the working dir
+    warehouse = tempfile.mkdtemp(prefix="run-warehouse-", dir="/tmp")
+    session = build_session(
+        "local[*]", 8, app_name="mercato-tests", extra={"spark.sql.warehouse.dir": warehouse}
+    )
     yield session
     session.stop()
 
