@@ -13,6 +13,11 @@ headline value is the sum of the medians (every report standalone).
 ``suite_sec`` is one further measurement: the whole catalogue run as a suite
 (``mercato.plans.suite``), with the order totals and repeat sets built once and
 checkpointed, then every report reading them. Skip it with BENCH_SUITE=0.
+
+``bucketed_sec`` is the whole catalogue (one pass) over the same tables saved
+once with ``mercato.sources.bucketed`` (bucketed on their join keys, into a fresh
+scratch warehouse); ``bucketed_write_sec`` is that one-time write. Skip with
+BENCH_BUCKETED=0.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -37,7 +43,13 @@ def main() -> None:
     from mercato.plans import REPORTS, run
     from mercato.session import build_session
 
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="mercato-bench")
+    warehouse = tempfile.mkdtemp(prefix="run-bench-warehouse-", dir="/tmp")
+    spark = build_session(
+        f"local[{cpus}]",
+        shuffle_partitions=cpus,
+        app_name="mercato-bench",
+        extra={"spark.sql.warehouse.dir": warehouse},
+    )
     names = only or list(REPORTS)
 
     def once(name: str) -> float:
@@ -58,6 +70,20 @@ def main() -> None:
         run_suite(spark, sf_dir)
         suite_sec = round(time.perf_counter() - t0, 3)
 
+    bucketed_sec = bucketed_write_sec = None
+    if os.environ.get("BENCH_BUCKETED", "1") != "0" and not only:
+        from mercato.sources import load_tables
+        from mercato.sources.bucketed import load_bucketed, write_bucketed
+
+        t0 = time.perf_counter()
+        write_bucketed(load_tables(spark, sf_dir), "mercato_bench", cpus)
+        bucketed_write_sec = round(time.perf_counter() - t0, 3)
+        tables = load_bucketed(spark, "mercato_bench")
+        t0 = time.perf_counter()
+        for name in REPORTS:
+            REPORTS[name](tables).write.format("noop").mode("overwrite").save()
+        bucketed_sec = round(time.perf_counter() - t0, 3)
+
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
@@ -70,6 +96,8 @@ def main() -> None:
                 "cpus": cpus,
                 "runs": runs,
                 "suite_sec": suite_sec,
+                "bucketed_sec": bucketed_sec,
+                "bucketed_write_sec": bucketed_write_sec,
             }
         )
     )
