@@ -4,6 +4,8 @@
     python -m mercato run revenue_by_state --data /root/testdata/sf0.1 --show 20
     python -m mercato run customer_spend --data DIR --out OUT --format parquet
     python -m mercato suite --data DIR --out OUT     # every report, OUT/<report>/
+    python -m mercato layout --data DIR --database DB --buckets 2048
+    python -m mercato suite --database DB --out OUT  # read the bucketed tables
 
 ``--master`` defaults to the session already configured by ``spark-submit``
 (or ``local[*]`` when run directly). Writing uses the ``errorifexists`` mode
@@ -22,19 +24,30 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("list", help="list the report names")
     run_p = sub.add_parser("run", help="run one report")
     run_p.add_argument("report")
-    run_p.add_argument("--data", required=True, help="folder with the input tables")
+    run_p.add_argument("--data", help="folder with the input tables")
+    run_p.add_argument("--database", help="catalog database written by 'layout'")
     run_p.add_argument("--show", type=int, default=20, help="rows to print when not writing")
     run_p.add_argument("--out", help="write the result to this path instead of printing")
     run_p.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     run_p.add_argument("--mode", default="errorifexists")
     run_p.add_argument("--master", default=None)
     suite_p = sub.add_parser("suite", help="run every report, sharing intermediates")
-    suite_p.add_argument("--data", required=True)
+    suite_p.add_argument("--data")
+    suite_p.add_argument("--database", help="catalog database written by 'layout'")
     suite_p.add_argument("--out", required=True, help="folder; one sub-folder per report")
     suite_p.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     suite_p.add_argument("--mode", default="errorifexists")
     suite_p.add_argument("--master", default=None)
+    layout_p = sub.add_parser("layout", help="save the tables bucketed on their join keys")
+    layout_p.add_argument("--data", required=True)
+    layout_p.add_argument("--database", required=True)
+    layout_p.add_argument("--buckets", type=int, required=True)
+    layout_p.add_argument("--mode", default="errorifexists")
+    layout_p.add_argument("--master", default=None)
     args = parser.parse_args(argv)
+    if args.command in ("run", "suite") and bool(args.data) == bool(args.database):
+        print("give exactly one of --data and --database", file=sys.stderr)
+        return 2
 
     from mercato.plans import REPORTS
 
@@ -47,13 +60,23 @@ def main(argv: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
-    from mercato.plans import run
+    from mercato.sources import load_tables
+    from mercato.sources.bucketed import load_bucketed, write_bucketed
 
     builder = SparkSession.builder.appName(f"mercato-{getattr(args, 'report', 'suite')}")
     if args.master:
         builder = builder.master(args.master)
     spark = builder.getOrCreate()
 
+    if args.command == "layout":
+        write_bucketed(load_tables(spark, args.data), args.database, args.buckets, args.mode)
+        return 0
+
+    def tables():
+        if args.database:
+            return load_bucketed(spark, args.database)
+        return load_tables(spark, args.data)
+
     def write(df, path: str) -> None:
         writer = df.write.mode(args.mode)
         if args.format == "csv":
@@ -61,16 +84,16 @@ def main(argv: list[str] | None = None) -> int:
         getattr(writer, args.format)(path)
 
     if args.command == "suite":
-        from mercato.plans.suite import run_suite
+        from mercato.plans.suite import run_tables
 
-        timings = run_suite(
-            spark, args.data, sink=lambda name, df: write(df, f"{args.out.rstrip('/')}/{name}")
+        timings = run_tables(
+            tables(), sink=lambda name, df: write(df, f"{args.out.rstrip('/')}/{name}")
         )
         for name, sec in timings.items():
             print(f"{name}\t{sec:.2f}s")
         return 0
 
-    df = run(spark, args.data, args.report)
+    df = REPORTS[args.report](tables())
     if args.out:
         write(df, args.out)
     else:

@@ -59,6 +59,15 @@ def run_suite(
     path: str,
     names: Iterable[str] | None = None,
     sink: Callable[[str, DataFrame], None] | None = None,
+) -> dict[str, float]:
+    """Load the tables of ``path`` and run :func:`run_tables` on them."""
+    return run_tables(load_tables(spark, path), names, sink)
+
+
+def run_tables(
+    t: Tables,
+    names: Iterable[str] | None = None,
+    sink: Callable[[str, DataFrame], None] | None = None,
 ) -> dict[str, float]:
     """Build the shared intermediates, then every report; returns seconds per step.
 
@@ -68,7 +77,7 @@ def run_suite(
     sink = sink or (lambda _name, df: df.write.format("noop").mode("overwrite").save())
     timings: dict[str, float] = {}
     t0 = time.perf_counter()
-    tables = with_shared_intermediates(load_tables(spark, path))
+    tables = with_shared_intermediates(t)
     timings["_shared"] = time.perf_counter() - t0
     for name in names or REPORTS:
         t1 = time.perf_counter()

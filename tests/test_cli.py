@@ -31,3 +31,15 @@ def test_suite_writes_every_report(spark, tmp_path):
     assert written == sorted(REPORTS)
     got = spark.read.option("header", True).csv(str(out / "orders_by_state")).count()
     assert got == REPORTS["orders_by_state"](load_tables(spark, SF001)).count()
+
+
+def test_layout_then_suite_from_the_catalog(spark, tmp_path):
+    assert main(["layout", "--data", SF001, "--database", "mercato_cli_test", "--buckets", "4",
+                 "--mode", "overwrite"]) == 0
+    out = tmp_path / "from_db"
+    assert main(["suite", "--database", "mercato_cli_test", "--out", str(out)]) == 0
+    assert sorted(p.name for p in out.iterdir()) == sorted(REPORTS)
+
+
+def test_data_or_database_required():
+    assert main(["suite", "--out", "/tmp/unused"]) == 2
