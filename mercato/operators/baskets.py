@@ -41,8 +41,15 @@ def pair_counts(
     count: str = "times_together",
     block_items: int = DEFAULT_BLOCK_ITEMS,
 ) -> DataFrame:
-    qty = df.groupBy(basket, item).agg(F.count(F.lit(1)).alias("_q"))
-    sizes = qty.groupBy(basket).agg(F.count(F.lit(1)).alias("_d"))
+    # a NULL item never pairs (NULL < x is unknown); saying so up front also keeps
+    # the two branches below identical below their shuffles (the static planner
+    # then reuses the aggregate's shuffle; AQE may still plan them as two stages)
+    known = df.where(F.col(basket).isNotNull() & F.col(item).isNotNull())
+    qty = known.groupBy(basket, item).agg(F.count(F.lit(1)).alias("_q"))
+    # basket size measured in lines (sum of multiplicities, >= distinct items, so a
+    # block never holds more than block_items items); reading _q keeps this branch's
+    # (basket, item) aggregate identical to the pair branch's
+    sizes = qty.groupBy(basket).agg(F.sum("_q").alias("_d"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("_d") / F.lit(block_items))).cast("int")
     sized = (
         qty.join(sizes, basket)
