@@ -10,8 +10,8 @@ so lines are first aggregated to one row per (basket, item), map-side combined.
 
 Skew: the self-join on the basket key emits ``d^2 / 2`` candidate pairs for a
 basket with ``d`` distinct items, all in the task that owns the basket. Big
-baskets are therefore split into ``S = ceil(d / block_items)`` blocks by a hash
-of the item; the pair of blocks ``(b1, b2)`` becomes part of the join key, each
+baskets are therefore split into ``S = ceil(n / block_items)`` blocks by a hash
+of the item, where ``n >= d`` is the basket's number of lines; the pair of blocks ``(b1, b2)`` becomes part of the join key, each
 row is copied to the ``S`` block pairs it takes part in, and each join key then
 holds at most about ``block_items`` rows per side. Ordinary baskets have ``S=1``
 and are not copied. Each item pair still meets exactly once (in block pair
