@@ -42,8 +42,8 @@ def pair_counts(
     block_items: int = DEFAULT_BLOCK_ITEMS,
 ) -> DataFrame:
     # a NULL item never pairs (NULL < x is unknown); saying so up front also keeps
-    # the two branches below identical below their shuffles (the static planner
-    # then reuses the aggregate's shuffle; AQE may still plan them as two stages)
+    # the two branches below identical, so Spark reuses the aggregate's shuffle and
+    # the lines are scanned once
     known = df.where(F.col(basket).isNotNull() & F.col(item).isNotNull())
     qty = known.groupBy(basket, item).agg(F.count(F.lit(1)).alias("_q"))
     # basket size measured in lines (sum of multiplicities, >= distinct items, so a
