@@ -100,3 +100,27 @@ def test_aqe_splits_hot_keys_and_results_stay_exact(spark, skewed_dir, skewed_du
         assert r["values_match"] and r["spark_rows"] == r["oracle_rows"], r
         split_reads += df._jdf.queryExecution().executedPlan().toString().count("skewed")
     assert split_reads > 0
+
+
+def test_rank_join_splits_a_hot_value(spark, forced_skew):
+    import random
+    from decimal import Decimal
+
+    from pyspark.sql import Window
+
+    from mercato.operators import bucketed_dense_rank
+
+    rng = random.Random(1)
+    rows = [
+        (f"k{i}", Decimal("500.00") if i % 3 == 0 else Decimal(rng.randint(0, 10**6)) / 100)
+        for i in range(60000)
+    ]
+    df = spark.createDataFrame(rows, "k string, v decimal(18,2)").repartition(8)
+    got = bucketed_dense_rank(df, "v", "r", buckets=16).select(
+        "k", F.col("r").cast("int").alias("r")
+    )
+    ranks = sorted(map(tuple, got.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    window = df.withColumn("r", F.dense_rank().over(Window.orderBy(F.desc("v"))))
+    assert ranks == sorted(map(tuple, window.select("k", "r").collect()))
+    assert "isFinalPlan=true" in plan and plan.count("skewed") > 0
