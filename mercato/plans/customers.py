@@ -53,15 +53,19 @@ def repeat_customer_pct(t: Tables) -> DataFrame:
     )
 
 
-def avg_orders_repeat(t: Tables) -> DataFrame:
-    """Mean order count of repeat persons, as an integer average (truncated)."""
+def avg_orders_repeat(t: Tables, truncate: bool = True) -> DataFrame:
+    """Mean order count of repeat persons.
+
+    By default an integer average (truncated), as the reference's ``AVG`` over an
+    integer column gives; ``truncate=False`` returns the exact mean as ``double``.
+    """
     counts = person_order_counts(t, delivered_only=False, with_items=False)
     repeat = counts.where(F.col("total_orders") > 1)
-    return repeat.agg(
-        floor_div(F.sum("total_orders"), F.count("total_orders"))
-        .cast("bigint")
-        .alias("avg_order_repeat_customers")
-    )
+    if truncate:
+        mean = floor_div(F.sum("total_orders"), F.count("total_orders")).cast("bigint")
+    else:
+        mean = F.avg("total_orders")
+    return repeat.agg(mean.alias("avg_order_repeat_customers"))
 
 
 def _person_revenue_all_statuses(t: Tables) -> DataFrame:

@@ -127,3 +127,10 @@ def test_four_repeat_definitions(micro, delivered_only, with_items, expected):
 
     got = {r[0] for r in repeat_persons(micro, delivered_only, with_items).collect()}
     assert got == expected
+
+
+def test_exact_mean_option_for_repeat_order_count(micro):
+    from mercato.plans.customers import avg_orders_repeat
+
+    (row,) = avg_orders_repeat(micro, truncate=False).collect()
+    assert row[0] == pytest.approx(7 / 3)
