@@ -1,8 +1,9 @@
 """All 36 reports stay exact when one person and one order hold a third of the rows.
 
 The skewed copy is derived from the sf0.001 tables with Spark: every third order is
-moved to one customer key (a hot person), and every third order line is moved to
-one order key (a hot basket with many distinct products). Both engines then read
+moved to one customer key (a hot person), every third order line is moved to one
+order key (a hot basket with many distinct products), and a third of the lines to
+one seller key (a hot seller). Both engines then read
 the same files. The large tables are written as several files, so the shuffles
 have several map outputs and AQE can split a skewed partition.
 """
@@ -18,6 +19,7 @@ from __spark_entry__ import oracle_sql, queries
 
 HOT_CUSTOMER = 7
 HOT_ORDER = 11
+HOT_SELLER = 3
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +40,11 @@ def skewed_dir(spark, tmp_path_factory):
         F.when(F.col("l_partkey") % 3 == 0, F.lit(HOT_ORDER).cast("bigint")).otherwise(
             F.col("l_orderkey")
         ),
+    ).withColumn(
+        "l_suppkey",
+        F.when(F.col("l_linenumber") % 3 == 1, F.lit(HOT_SELLER).cast("bigint")).otherwise(
+            F.col("l_suppkey")
+        ),
     ).repartition(8).write.parquet(str(root / "lineitem.parquet"))
     return str(root)
 
@@ -51,6 +58,8 @@ def test_fixture_is_skewed(spark, skewed_dir):
     lines = spark.read.parquet(f"{skewed_dir}/lineitem.parquet")
     hot = lines.where(F.col("l_orderkey") == HOT_ORDER).count()
     assert hot * 4 > lines.count()
+    hot_seller = lines.where(F.col("l_suppkey") == HOT_SELLER).count()
+    assert hot_seller * 4 > lines.count()
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
