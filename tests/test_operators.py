@@ -168,3 +168,27 @@ def test_top_k_per_group(spark):
     df = spark.createDataFrame(rows, "g string, id int, score int")
     got = top_k_per_group(df, ["g"], [F.desc("score"), F.asc("id")], k=2)
     assert sorted(tuple(r) for r in got.collect()) == [("a", 6, 6), ("a", 13, 6), ("b", 0, 3), ("b", 1, 3)]
+
+
+def test_pair_counts_with_null_items_and_baskets(spark):
+    rows = [("b1", "x"), ("b1", None), ("b1", "y"), (None, "x"), (None, "y"), ("b2", None)]
+    rows += [("b2", "x"), ("b2", "y"), ("b2", "y"), ("b3", "z")]
+    df = spark.createDataFrame(rows, "basket string, item string")
+    a, b = df.alias("a"), df.alias("b")
+    naive = (
+        a.join(b, (F.col("a.basket") == F.col("b.basket")) & (F.col("a.item") < F.col("b.item")))
+        .groupBy(F.col("a.item").alias("item_1"), F.col("b.item").alias("item_2"))
+        .agg(F.count(F.lit(1)).alias("times_together"))
+    )
+    got = pair_counts(df, "basket", "item", block_items=1)
+    assert _rows(got) == _rows(naive) == [("x", "y", 3)]
+
+
+def test_running_total_with_an_all_null_block(spark):
+    rows = [(dt.date(2020, 1, 3), 2), (dt.date(2020, 2, 1), None), (dt.date(2020, 2, 9), None)]
+    rows += [(dt.date(2020, 3, 4), 5), (dt.date(2020, 3, 5), None), (dt.date(2020, 4, 1), 1)]
+    df = spark.createDataFrame(rows, "day date, v int")
+    frame = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    expected = df.withColumn("run", F.sum("v").over(frame))
+    got = running_total(df, "day", "v", "run", F.trunc("day", "month"))
+    assert _rows(got.select("day", "v", "run")) == _rows(expected)
