@@ -48,3 +48,21 @@ def test_matches_oracle_sf001(spark, duck01, name):
     r = compare(spark, SF01, name, queries(), oracle_sql(), duck01)
     assert r["spark_rows"] == r["oracle_rows"], r
     assert r["values_match"], r
+
+
+SF1 = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def duck1():
+    return duck(SF1)
+
+
+@pytest.mark.skipif(
+    os.environ.get("MERCATO_SF01") != "1", reason="set MERCATO_SF01=1 to check sf0.1 as well"
+)
+@pytest.mark.parametrize("name", NAMES)
+def test_matches_oracle_sf01(spark, duck1, name):
+    r = compare(spark, SF1, name, queries(), oracle_sql(), duck1)
+    assert r["spark_rows"] == r["oracle_rows"], r
+    assert r["values_match"], r
