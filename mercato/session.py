@@ -58,7 +58,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     laptops) gets a fresh folder under the system temp dir, because on a
     cluster a machine-local folder would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side context; the server's setting applies
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir()
     if current:
         return current

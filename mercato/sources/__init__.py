@@ -48,7 +48,7 @@ _LOADED: dict[tuple[str, str], Tables] = {}
 def load_tables(spark: SparkSession, path: str, reuse: bool = True) -> Tables:
     from mercato.sources import files, generated
 
-    key = (spark.sparkContext.applicationId, os.path.abspath(path))
+    key = (spark.conf.get("spark.app.id", None) or str(id(spark)), os.path.abspath(path))
     if reuse and key in _LOADED:
         return _LOADED[key]
     if generated.looks_generated(path):

@@ -56,3 +56,19 @@ def test_local_mode_without_folder_gets_a_temporary_one():
     ctx = _Context("local[4]")
     path = checkpoint_dir(_Session(ctx))
     assert path and "mercato-ckpt-" in path
+
+
+class _ConnectSession:
+    """A session without a driver-side SparkContext, as Spark Connect gives."""
+
+    def __init__(self, conf=None):
+        self.conf = _Conf(conf or {})
+
+    @property
+    def sparkContext(self):
+        raise RuntimeError("no SparkContext in Spark Connect")
+
+
+def test_connect_session_uses_the_server_setting():
+    assert checkpoint_dir(_ConnectSession({"spark.checkpoint.dir": "s3a://b/ckpt"})) == "s3a://b/ckpt"
+    assert checkpoint_dir(_ConnectSession()) == ""
