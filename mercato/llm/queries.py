@@ -6,15 +6,19 @@ and derives the digest columns of its contract from what the operator returns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.llm.exact_dedup import exact_dedup
 from mercato.llm.mixing import mix_plan
-from mercato.llm.shared import read_table
+from mercato.llm.packing import pack
+from mercato.llm.shared import read_table, work_path
 from mercato.llm.sharding import shard
+from mercato.llm.token_files import read_token_files, write_token_files
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +26,22 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "tokens")
+    write_token_files(read_table(spark, sf_dir, "documents"), path)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = pa.array([zlib.crc32(x.as_buffer()) for x in b.column("ids")], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), sums], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return read_token_files(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op5_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +53,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
+    "op4_token_files": op4_token_files,
+    "op5_order_packing": op5_order_packing,
     "op6_stratified_shards": op6_stratified_shards,
     "op8_exact_dedup": op8_exact_dedup,
 }
