@@ -42,6 +42,8 @@ END_ID = 0
 SENTENCE_CUT, INNER_CUT = 1, 8
 #: Cost of a window, and the shortest power of two that is sought.
 WINDOW_COST, LEAST_POWER = 8, 64
+#: Least distance of the sentence ends that are considered, on average.
+LEAST_STEP = 8
 #: Distance of the cuts allowed inside a sentence longer than a window.
 INNER_STEP = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -59,19 +61,20 @@ def sentence_end_ids(vocabulary: str) -> np.ndarray:
 
 def allowed_cuts(ids: np.ndarray, ends: np.ndarray, marks: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the stream may be cut, 0 first, and their penalties."""
+    n = len(ids)
+    is_end, allowed, inner = np.zeros(n + 1, bool), np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    is_end[ends] = True
     after = np.flatnonzero(marks[np.minimum(ids, len(marks) - 1)]) + 1
-    cuts = np.union1d(np.union1d(after, ends), [0])
-    gaps = np.diff(cuts)
-    if (gaps > window).any():
-        steps = [np.arange(cuts[i] + INNER_STEP, cuts[i + 1], INNER_STEP) for i in np.flatnonzero(gaps > window)]
-        inner = np.concatenate(steps)
-        cuts = np.union1d(cuts, inner)
-    else:
-        inner = np.zeros(0, np.int64)
-    penalty = np.full(len(cuts), SENTENCE_CUT, np.int64)
-    penalty[np.isin(cuts, inner, assume_unique=True)] = INNER_CUT
-    penalty[np.isin(cuts, ends)] = 0
-    penalty[0] = 0
+    # of sentence ends that crowd together the last in each stretch of LEAST_STEP ids
+    allowed[after[np.append(np.diff(after // LEAST_STEP) > 0, True)] if len(after) else after] = True
+    allowed |= is_end
+    allowed[0] = True
+    cuts = np.flatnonzero(allowed)
+    for i in np.flatnonzero(np.diff(cuts) > window):
+        inner[cuts[i] + INNER_STEP : cuts[i + 1] : INNER_STEP] = True
+    if inner.any():
+        cuts = np.flatnonzero(allowed | inner)
+    penalty = np.where(is_end[cuts] | (cuts == 0), 0, np.where(inner[cuts], INNER_CUT, SENTENCE_CUT))
     return cuts, penalty
 
 

@@ -36,6 +36,8 @@ from mercato.llm.tokens import BATCH_BYTES, batches_of_bytes, default_vocabulary
 END_ID = 2
 BLOCK_IDS = 1 << 18
 NO_ID = -(1 << 63)
+#: Bytes a writer holds before it puts a row group into its file.
+ROW_GROUP = 16 << 20
 #: Lengths of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
@@ -94,7 +96,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     # texts are encoded once; counting, ranging and coding read the ids
     encoded = work_path(spark, "ids")
-    _encode(docs, id_col, text_col, vocabulary or default_vocabulary(), end_id).write.parquet(encoded)
+    _encode(docs, id_col, text_col, vocabulary or default_vocabulary(), end_id).write.option("parquet.block.size", ROW_GROUP).parquet(encoded)
     ids = spark.read.schema("doc_id long, ids binary, n long").parquet(encoded)
     counts = ids.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # at most the vocabulary: its size bounds what the driver and each task hold
@@ -126,7 +128,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     # the hash parts rows that share an id, so that no range is one id's alone
     ranged = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "ids")
-    ranged.mapInArrow(blocks, "part long, block long, doc_ids binary, counts binary, control binary, data binary").write.parquet(f"{path}/blocks")
+    ranged.mapInArrow(blocks, "part long, block long, doc_ids binary, counts binary, control binary, data binary").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 
-#: Words a worker remembers (about 110 MB); when full, rarer ones are encoded
+#: Words a worker remembers (about 130 MB); when full, rarer ones are encoded
 #: once for each batch they occur in.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
 #: Text that is encoded in one go.
 BATCH_BYTES = 4 << 20
 #: Words that go through the library in one string.
@@ -34,8 +35,14 @@ class Encoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import numpy as np
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        # the same model without the library's own word cache, which costs more than it saves here
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.tokenizer.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
         self.tokenizer.encode_special_tokens = True
         self.cache_words = cache_words
         self.later: dict[str, bytes] = {}  # ids of words with the space before them
