@@ -116,8 +116,8 @@ class Packer:
         #: What is not yet in a window: (doc_id, ids, start in the document, tokens of the document).
         self.held: list[tuple[int | None, np.ndarray, int, int]] = []
 
-    def add(self, doc_ids: list, coded: list[bytes], last: bool = False) -> list[tuple]:
-        docs = self.held + [(d, (x := np.frombuffer(c, "<u4")), 0, len(x)) for d, c in zip(doc_ids, coded)]
+    def add(self, doc_ids: list, coded: list[bytes], last: bool = False, dtype: str = "<u4") -> list[tuple]:
+        docs = self.held + [(d, (x := np.frombuffer(c, dtype)), 0, len(x)) for d, c in zip(doc_ids, coded)]
         if not docs:
             return []
         ids = np.concatenate([d[1] for d in docs])
@@ -147,12 +147,12 @@ class Packer:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = vocabulary or default_vocabulary()
-    end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, marks = encoder(path), sentence_end_ids(path)
+        end = np.array([end_id], enc.dtype).tobytes()
         packer = Packer(TaskContext.get().partitionId() << 36, marks, window)
 
         def table(pieces: list[tuple]) -> pa.RecordBatch:
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             keys = batch.column(0).to_pylist()
             for a, b in batches_of_bytes([len(t) for t in texts], BATCH_BYTES):
-                yield table(packer.add(keys[a:b], [x + end for x in enc.encode(texts[a:b])]))
+                yield table(packer.add(keys[a:b], [x + end for x in enc.encode(texts[a:b])], dtype=enc.dtype))
         yield table(packer.add([], [], last=True))
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)

@@ -13,14 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.llm.bitsliced import top_k
 from mercato.llm.exact_dedup import exact_dedup
+from mercato.llm.html_text import extract
+from mercato.llm.langid import fit, identify
 from mercato.llm.mixing import mix_plan
 from mercato.llm.packing import pack
 from mercato.llm.shared import read_table, work_path
 from mercato.llm.sharding import shard
+from mercato.llm.simhash import simhash_dedup
 from mercato.llm.token_files import read_token_files, write_token_files
 
 
+def op2_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -46,20 +55,56 @@ def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: text without markup, the language their markup declares, their
+    host. The text models come from the labelled documents."""
+    model = fit(read_table(spark, sf_dir, "documents").select("text", "lang"))
+    declared = F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1)
+    host = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/:?#]+)", 1)
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "html", F.nullif(declared, F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"))
+    return identify(pages, model, "page_id", "html", "declared", "host", markup=True)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(read_table(spark, sf_dir, "documents"), digest_all=True)
     return found.withColumnRenamed("full_hash", "text_sha256")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bitsliced_topk": op2_bitsliced_topk,
     "op3_source_mixing": op3_source_mixing,
     "op4_token_files": op4_token_files,
     "op5_order_packing": op5_order_packing,
     "op6_stratified_shards": op6_stratified_shards,
+    "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_simhash": op9_simhash,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL = {
+    "op2_bitsliced_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY rank <= 5""",
     "op3_source_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size

@@ -39,7 +39,7 @@ NO_ID = -(1 << 63)
 #: Bytes a writer holds before it puts a row group into its file.
 ROW_GROUP = 16 << 20
 #: Lengths of the four ids of each control byte.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -56,39 +56,39 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` ranks of ``pack``."""
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    ends = np.cumsum(lengths)
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    starts = ends - lengths
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    raw = np.frombuffer(data, np.uint8)
     out = raw[starts].astype(np.uint32)
     for k in range(1, int(lengths.max(initial=1))):
-        out |= np.where(lengths > k, raw[starts + k], 0).astype(np.uint32) << np.uint32(8 * k)
+        longer = np.flatnonzero(lengths > k)
+        out[longer] |= raw[starts[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
 def _encode(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> DataFrame:
-    end = np.uint32(end_id).astype("<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             ids, texts = batch.column(0), ["" if t is None else t for t in batch.column(1).to_pylist()]
             for a, b in batches_of_bytes([len(t) for t in texts], BATCH_BYTES):
                 coded = [x + end for x in enc.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(coded, pa.binary()), pa.array([len(x) // 4 for x in coded], pa.int64())], ["doc_id", "ids", "n"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(coded, pa.binary()), pa.array([len(x) // len(end) for x in coded], pa.int64())], ["doc_id", "ids", "n"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n long")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            found = np.bincount(np.frombuffer(x.as_py(), "<u4"))
-            if len(found) > len(total):
-                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-            total[: len(found)] += found
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
+def _counted(dtype: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=len(total))
+            found[: len(total)] += total
+            total = found
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
+
+    return run
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> None:
@@ -96,9 +96,12 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     # texts are encoded once; counting, ranging and coding read the ids
     encoded = work_path(spark, "ids")
-    _encode(docs, id_col, text_col, vocabulary or default_vocabulary(), end_id).write.option("parquet.block.size", ROW_GROUP).parquet(encoded)
+    vocabulary = vocabulary or default_vocabulary()
+    dtype = encoder(vocabulary).dtype
+    width = np.dtype(dtype).itemsize
+    _encode(docs, id_col, text_col, vocabulary, end_id).write.option("parquet.block.size", ROW_GROUP).parquet(encoded)
     ids = spark.read.schema("doc_id long, ids binary, n long").parquet(encoded)
-    counts = ids.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.select("ids").mapInArrow(_counted(dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # at most the vocabulary: its size bounds what the driver and each task hold
     order = np.array([r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()], np.int64)
     spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(order)), pa.int64()), "id": pa.array(order, pa.int64())})).coalesce(1).write.parquet(f"{path}/ranks")
@@ -111,18 +114,18 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         part, block, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def out() -> pa.RecordBatch:
-            control, data = pack(rank_of[np.concatenate([np.frombuffer(x, "<u4") for _, x in held])])
-            keys, counts = np.array([k for k, _ in held], np.int64), np.array([len(x) // 4 for _, x in held], np.int64)
+            control, data = pack(rank_of[np.frombuffer(b"".join(x for _, x in held), dtype)])
+            keys, counts = np.array([k for k, _ in held], np.int64), np.array([len(x) // width for _, x in held], np.int64)
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in (part, block, keys.tobytes(), counts.tobytes(), control, data)], ["part", "block", "doc_ids", "counts", "control", "data"])
 
         for batch in batches:
             for key, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = x.as_py()
-                if held and size + len(x) // 4 > BLOCK_IDS:
+                if held and size + len(x) // width > BLOCK_IDS:
                     yield out()
                     block, held, size = block + 1, [], 0
                 held.append((NO_ID if key is None else key, x))
-                size += len(x) // 4
+                size += len(x) // width
         if held:
             yield out()
 

@@ -14,9 +14,9 @@ import functools
 import itertools
 import json
 
-#: Words a worker remembers (about 130 MB); when full, rarer ones are encoded
+#: Words a worker remembers (about 80 MB); when full, rarer ones are encoded
 #: once for each batch they occur in.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Text that is encoded in one go.
 BATCH_BYTES = 4 << 20
 #: Words that go through the library in one string.
@@ -30,7 +30,8 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit unsigned bytes."""
+    """Ids of texts as little-endian unsigned bytes, two an id if the vocabulary
+    allows it, else four (``dtype``)."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import numpy as np
@@ -44,6 +45,7 @@ class Encoder:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.tokenizer.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
         self.tokenizer.encode_special_tokens = True
+        self.dtype = "<u2" if max(model["vocab"].values()) < 1 << 16 else "<u4"
         self.cache_words = cache_words
         self.later: dict[str, bytes] = {}  # ids of words with the space before them
         spaced = [i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]
@@ -54,7 +56,7 @@ class Encoder:
         import numpy as np
 
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words, each with a space before it: they are joined, and the
@@ -64,11 +66,11 @@ class Encoder:
         out: list[bytes] = []
         for at in range(0, len(words), JOINED_WORDS):
             part = words[at : at + JOINED_WORDS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.spaced[np.minimum(ids, len(self.spaced) - 1)])
             if len(cuts) == len(part):
-                raw, ends = ids.tobytes(), np.append(cuts[1:], len(ids))
-                out.extend(raw[4 * a : 4 * b] for a, b in zip(cuts.tolist(), ends.tolist()))
+                raw, cuts = ids.tobytes(), (ids.itemsize * np.append(cuts, len(ids))).tolist()
+                out.extend(raw[a:b] for a, b in zip(cuts, cuts[1:]))
             else:
                 out.extend(self.whole([" " + w for w in part]))
         return out
