@@ -254,7 +254,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def fp_of(texts):
         import pandas as pd
 
-        return pd.Series([fingerprint(t, words) for t in texts]).astype("uint64").view("int64") if len(texts) else pd.Series([], dtype="int64")
+        return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
 
     rows = save(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[id_col].cast("long").alias("__id"), F.pandas_udf(fp_of, "long")(docs[text_col].cast("string")).alias("fp")), "fingerprinted")
     groups = save(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "groups")
