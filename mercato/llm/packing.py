@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.tokens import BATCH_BYTES, batches_of_bytes, default_vocabulary, encoder
+from mercato.llm.tokens import default_vocabulary, encoder, in_batches
 
 WINDOW = 1024
 END_ID = 0
@@ -160,10 +160,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], [c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            keys = batch.column(0).to_pylist()
-            for a, b in batches_of_bytes([len(t) for t in texts], BATCH_BYTES):
-                yield table(packer.add(keys[a:b], [x + end for x in enc.encode(texts[a:b])], dtype=enc.dtype))
+            for ids, texts in in_batches(batch.column(0), batch.column(1)):
+                yield table(packer.add(ids.to_pylist(), [x + end for x in enc.encode(texts)], dtype=enc.dtype))
         yield table(packer.add([], [], last=True))
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)

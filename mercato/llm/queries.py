@@ -22,9 +22,15 @@ from mercato.llm.packing import pack
 from mercato.llm.shared import read_table, work_path
 from mercato.llm.sharding import shard
 from mercato.llm.simhash import simhash_dedup
+from mercato.llm.suffix_dedup import remove_repeats
 from mercato.llm.token_files import read_token_files, write_token_files
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -80,6 +86,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bitsliced_topk": op2_bitsliced_topk,
     "op3_source_mixing": op3_source_mixing,
     "op4_token_files": op4_token_files,

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mercato.llm.shared import work_path
-from mercato.llm.tokens import BATCH_BYTES, batches_of_bytes, default_vocabulary, encoder
+from mercato.llm.tokens import default_vocabulary, encoder, in_batches
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
@@ -70,10 +70,9 @@ def _encode(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int)
         enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            ids, texts = batch.column(0), ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for a, b in batches_of_bytes([len(t) for t in texts], BATCH_BYTES):
-                coded = [x + end for x in enc.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(coded, pa.binary()), pa.array([len(x) // len(end) for x in coded], pa.int64())], ["doc_id", "ids", "n"])
+            for ids, texts in in_batches(batch.column(0), batch.column(1)):
+                coded = [x + end for x in enc.encode(texts)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(coded, pa.binary()), pa.array([len(x) // len(end) for x in coded], pa.int64())], ["doc_id", "ids", "n"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n long")
 

@@ -14,11 +14,11 @@ import functools
 import itertools
 import json
 
-#: Words a worker remembers (about 80 MB); when full, rarer ones are encoded
+#: Words a worker remembers (about 50 MB); when full, rarer ones are encoded
 #: once for each batch they occur in.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Text that is encoded in one go.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Words that go through the library in one string.
 JOINED_WORDS = 10_000
 
@@ -77,23 +77,19 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        words = list(itertools.chain.from_iterable(split))
-        ids = list(map(self.later.get, words))
-        starts = list(itertools.accumulate(map(len, split), initial=0))
-        for at, first in zip(starts, self.whole([w[0] for w in split])):
-            ids[at] = first
-        missing = [i for i, x in enumerate(ids) if x is None]
-        new = {words[i] for i in missing}
+        ids = {w: self.later.get(w) for w in set(itertools.chain.from_iterable(w[1:] for w in split))}
+        new = [w for w, x in ids.items() if x is None]
         cut = [w for w in new if w and not w[0].isspace()]
         found = dict(zip(cut, self._words(cut)))
-        odd = len(cut) < len(new)  # a space beside other white space
-        for i in missing:
-            ids[i] = found.get(words[i])
+        ids.update(found)
         self.later.update(itertools.islice(found.items(), max(0, self.cache_words - len(self.later))))
+        odd = {w for w in new if w not in found}  # a space beside other white space
         out: list[bytes] = []
-        for text, a, b in zip(texts, starts, starts[1:]):
-            part = ids[a:b]
-            out.append(self.whole([text])[0] if odd and None in part else b"".join(part))
+        for text, words, first in zip(texts, split, self.whole([w[0] for w in split])):
+            if odd and not odd.isdisjoint(words[1:]):
+                out.append(self.whole([text])[0])
+            else:
+                out.append(first + b"".join(map(ids.__getitem__, words[1:])))
         return out
 
 
@@ -103,13 +99,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches_of_bytes(sizes: list[int], most: int):
-    """Slices of consecutive rows with about ``most`` bytes together."""
+def in_batches(ids, texts, most: int = BATCH_BYTES):
+    """(ids, texts) of consecutive rows with about ``most`` bytes together; null
+    texts are empty. Both are Arrow columns and are turned into Python objects
+    slice by slice."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     at, total = 0, 0
-    for i, n in enumerate(sizes):
-        if total and total + n > most:
-            yield at, i
+    for i, n in enumerate([*sizes, 0]):
+        if i == len(sizes) or (total and total + n > most):
+            if i > at:
+                yield ids.slice(at, i - at), ["" if t is None else t for t in texts.slice(at, i - at).to_pylist()]
             at, total = i, 0
         total += n
-    if at < len(sizes):
-        yield at, len(sizes)
