@@ -40,6 +40,8 @@ from mercato.llm.shared import attach, save, work_path
 LENGTH, SPAN, GRAM = 400, 256, 8
 CORE = LENGTH - SPAN + 1
 BATCHES = 4
+#: Contexts of one core that are compared in one task (30 MB at most).
+GROUPED_CONTEXTS = 50_000
 #: Text that is indexed in one go.
 CHUNK_BYTES = 2 << 20
 #: Bits of the broadcast bitmap of documents: 2 MB whatever the input.
@@ -220,24 +222,59 @@ def _of_texts(keyed: DataFrame, facts: DataFrame, copies: DataFrame, how: str) -
     return attach(keyed.drop("hit"), save(weighed, "weighed"), ["key", "n"], "m", ["id"], how)
 
 
-def _windows(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a text's border suffixes: (h, key, n, s, alone)."""
-    digest = xxhash.xxh3_64_intdigest
+PIECES = "core long, key long, n int, s int, w int, off int, c long, large boolean, content binary"
+
+
+def _pieces(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of every border suffix's windows."""
     seen: set[int] = set()  # copies within a task have the same windows
+    names = [x.split()[0] for x in PIECES.split(", ")]
     for r in records:
+        rows = []
         for raw, key, n, borders in zip(*(r.column(i).to_pylist() for i in range(4))):
             if key in seen:
                 continue
             if len(seen) < 1_000_000:
                 seen.add(key)
-            h, at, alone = [], [], []
-            for x in borders:
-                for s in range(x["s"], x["s"] + x["w"] + 1):
-                    h.append(digest(raw[s : s + LENGTH], x["s"] + x["off"] - s))
-                    at.append(s)
-                alone += [x["c"] == 1] * (x["w"] + 1)
-            size = len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.full(size, key, np.int64)), pa.array(np.full(size, n, np.int32)), pa.array(np.array(at, np.int32)), pa.array(np.array(alone, bool))], ["h", "key", "n", "s", "alone"])
+            rows += [(x["core"], key, n, x["s"], x["w"], x["off"], x["c"], x["k"] > GROUPED_CONTEXTS, raw[x["s"] : x["s"] + x["w"] + LENGTH]) for x in borders]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*rows)) or [[]] * len(kinds), kinds)], names)
+
+
+def window_hashes(core: int, content: bytes, w: int, off: int) -> list[int]:
+    """A number for each window of a border suffix, equal for equal windows."""
+    digest = xxhash.xxh3_64_intdigest
+    seed = (core ^ 0x5BD1E995) & 0xFFFFFFFFFFFF
+    return [digest(content[i : i + LENGTH], seed + off - i) for i in range(w + 1)]
+
+
+def _resolve(table: pa.Table) -> pa.Table:
+    """Runs of repeated windows among the border suffixes of some cores."""
+    rows = {x[1:4] + (x[0],): x for x in zip(*(table.column(c).to_pylist() for c in ("core", "key", "n", "s", "w", "off", "c", "content")))}
+    rows = list(rows.values())  # copies gave some twice
+    hashes = [window_hashes(core, content, w, off) for core, _, _, _, w, off, _, content in rows]
+    h = np.array([x for part in hashes for x in part], np.uint64)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), bool)
+    twice[order] = np.append(same, False) | np.append(False, same) if len(h) else same
+    out, at = [], 0
+    for (_, key, n, s, w, _, c, _), part in zip(rows, hashes):
+        marks = np.concatenate([[0], twice[at : at + len(part)], [0]]).astype(np.int8)
+        at += len(part)
+        if c == 1:
+            edges = np.diff(marks)
+            out += [(key, n, s + a, s + b - 1 + LENGTH) for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist())]
+    kinds = [("key", pa.int64()), ("n", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]
+    return pa.table({name: pa.array(list(col), kind) for (name, kind), col in zip(kinds, list(zip(*out)) or [[]] * 4)})
+
+
+def _windows(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the border suffixes as a row: (h, key, n, s, alone)."""
+    for r in records:
+        for core, key, n, s, w, off, c, content in zip(*(r.column(x).to_pylist() for x in ("core", "key", "n", "s", "w", "off", "c", "content"))):
+            h = np.array(window_hashes(core, content, w, off), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(w + 1, key, np.int64)), pa.array(np.full(w + 1, n, np.int32)), pa.array(np.arange(s, s + w + 1, dtype=np.int32)), pa.array(np.full(w + 1, c == 1))], ["h", "key", "n", "s", "alone"])
 
 
 def _cut(id_first: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,12 +316,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     inner = attach(hits, contexts.filter("c >= 2").select("core", "ctx", "c"), ["core", "ctx"], "c", ["key", "s"], "inner").select("key", "n", "s", (F.col("s") + F.col("w") + LENGTH).alias("e"))
     # several contexts of one core, some of them alone: borders
     mixed = save(contexts.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("least")).filter("k >= 2 and least = 1").select("core", "k"), "mixed")
-    borders = save(attach(contexts, mixed, ["core"], "k", ["ctx"], "inner").select("r.*", "c").groupBy("key", "n").agg(F.collect_list(F.struct("s", "w", "off", "c")).alias("borders")), "borders")
+    borders = attach(contexts, mixed, ["core"], "k", ["ctx"], "inner").select("core", "c", "k", "r.*")
+    borders = save(borders.groupBy("key", "n").agg(F.collect_list(F.struct("core", "s", "w", "off", "c", "k")).alias("borders")), "borders")
     texts = _of_texts(_marked(keyed, borders).filter("hit"), borders, copies, "inner").select("raw", "key", "n", "borders")
-    windows = save(texts.mapInArrow(_windows, "h long, key long, n int, s int, alone boolean"), "windows")
+    pieces = save(texts.mapInArrow(_pieces, PIECES), "pieces")
+    outer = pieces.filter("not large").groupBy(F.pmod("core", F.lit(8 * shards))).applyInArrow(_resolve, "key long, n int, s int, e int")
+    # cores with very many contexts: their windows are counted as rows, so that no task holds them all
+    windows = save(pieces.filter("large").mapInArrow(_windows, "h long, key long, n int, s int, alone boolean"), "windows")
     place = F.struct("key", "n", "s")
     twice = windows.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("m")).filter("a != b").select("h", "m")
-    outer = attach(windows.filter("alone"), save(twice, "twice"), ["h"], "m", ["key", "s"], "inner").select("key", "n", "s", (F.col("s") + LENGTH).alias("e"))
+    outer = outer.unionByName(attach(windows.filter("alone"), save(twice, "twice"), ["h"], "m", ["key", "s"], "inner").select("key", "n", "s", (F.col("s") + LENGTH).alias("e")))
 
     runs = whole.unionByName(inner).unionByName(outer)
     spans = save(runs.groupBy("key", "n").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")

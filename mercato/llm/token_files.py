@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.shared import work_path
+from mercato.llm.shared import save, work_path
 from mercato.llm.tokens import default_vocabulary, encoder, in_batches
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
 NO_ID = -(1 << 63)
+#: Up to so many blocks their places in the sequence (a few MB) are broadcast.
+BROADCAST_BLOCKS = 100_000
 #: Bytes a writer holds before it puts a row group into its file.
 ROW_GROUP = 16 << 20
 #: Lengths of the four ids of each control byte.
@@ -167,6 +169,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return blocks.join(bases, ["part", "block"]).select("base", "doc_ids", "counts", "control", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    bases = save(bases, "bases")
+    small = bases.count() <= BROADCAST_BLOCKS
+    return blocks.join(F.broadcast(bases) if small else bases, ["part", "block"]).select("base", "doc_ids", "counts", "control", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
