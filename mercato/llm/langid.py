@@ -69,7 +69,10 @@ class Model:
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Trigram models from rows (text, lang): a sample by hash of the text."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.lower(F.trim("lang")).alias("lang")).filter("text is not null and lang is not null and lang <> ''")
-    sample = rows.orderBy(F.xxhash64("text")).limit(sample_rows)
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    # only hashes are sorted; one text of each of the smallest is the sample
+    least = hashed.select("h").distinct().orderBy("h").limit(sample_rows).agg(F.max("h").alias("h")).first()["h"]
+    sample = save(hashed.filter(F.col("h") <= F.lit(least)).dropDuplicates(["h"]).select("text", "lang"), "sample")
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
