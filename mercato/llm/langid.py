@@ -12,7 +12,7 @@ languages; rows it wins are rejected. The text models are fitted on a bounded
 sample of labelled rows (``SAMPLE_ROWS``); everything else covers all rows.
 
 Defined cases: a null or letterless text gives no text evidence, so declaration
-and host decide; a null or unheard-of declaration counts as a value of its own;
+and host decide and the row is kept; a null or unheard-of declaration counts as a value of its own;
 a null host is a host of its own; ties go to the earlier language by code point;
 repeated rows are scored alike; without labelled rows every row is ``unknown``
 and kept; an empty table gives an empty result.
@@ -171,6 +171,10 @@ def fused(evidence: DataFrame, model: Model, hosts: DataFrame, declared: np.ndar
     names = F.array(*[F.lit(x) for x in [*model.languages, UNKNOWN]])
     by_declared = F.array(*[_numbers(row) for row in declared])
     total = F.zip_with(F.zip_with("__text", "__prior", lambda x, p: x + p), F.get(by_declared, F.col("__said")), lambda x, p: x + p)
+    # a text without letters is no evidence against the languages
+    silent = (F.array_max("__text") == 0) & (F.array_min("__text") == 0)
+    known = F.slice(total, 1, len(model.languages))
+    total = F.when(silent & F.lit(bool(model.languages)), F.concat(known, F.array(F.lit(float("-inf"))))).otherwise(total)
     rows = rows.withColumn("__post", _posterior(total))
     pick = lambda c: F.get(names, (F.array_position(c, F.array_max(c)) - 1).cast("int"))
     return rows.select("*", pick(F.col("__post")).alias("__lang"), F.array_max("__post").alias("__p"), pick(F.col("__text")).alias("__text_lang"))
