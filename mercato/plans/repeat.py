@@ -71,7 +71,7 @@ def repeat_pct_by_state(t: Tables) -> DataFrame:
         _flag_repeat(state_persons, t)
         .groupBy("customer_state")
         .agg(
-            F.count(F.lit(1)).alias("total_customers"),
+            F.count(PERSON).alias("total_customers"),
             F.count("_is_repeat").alias("repeat_customers"),
         )
         .withColumn(
@@ -100,7 +100,7 @@ def repeat_pct_by_category(t: Tables) -> DataFrame:
         _flag_repeat(person_categories, t)
         .groupBy("product_category_name_english")
         .agg(
-            F.count(F.lit(1)).alias("total_customers"),
+            F.count(PERSON).alias("total_customers"),
             F.count("_is_repeat").alias("repeat_customers"),
         )
         .withColumn(

@@ -42,7 +42,8 @@ def _repeat_order_value(t: Tables) -> DataFrame:
 
 def aov_by_segment(t: Tables) -> DataFrame:
     """Mean order value of repeat vs one-time persons (two-level aggregate, no join back)."""
-    per_person = _order_value(t).groupBy(PERSON).agg(
+    known = _order_value(t).filter(F.col(PERSON).isNotNull())
+    per_person = known.groupBy(PERSON).agg(
         F.count("order_id").alias("_orders"),
         F.sum("order_total").alias("_total"),
         F.count("order_total").alias("_valued"),

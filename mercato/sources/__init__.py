@@ -8,9 +8,9 @@ or CSV) goes through :mod:`mercato.sources.files`.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.schema import TABLE_NAMES
@@ -39,21 +39,25 @@ class Tables:
             frame.createOrReplaceTempView(f"{prefix}{name}")
 
 
-# Plans (not data) of loaded tables, per application and folder. A Tables bundle
-# is a set of lazy DataFrames; reusing it saves re-reading file footers and
-# re-analysing the adapter for every report. Each action still scans the files.
-_LOADED: dict[tuple[str, str], Tables] = {}
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's own file systems hold ``path`` (local, hdfs://, s3a://, ...)."""
+    try:
+        # the schema of a text source is fixed: this lists the path, no more
+        return spark.read.text(path).schema is not None
+    except AnalysisException:
+        return False
 
 
-def load_tables(spark: SparkSession, path: str, reuse: bool = True) -> Tables:
+def load_tables(
+    spark: SparkSession, path: str, names: dict[str, str] | None = None
+) -> Tables:
+    """The seven logical tables under ``path``, listed anew on every call.
+
+    ``names`` maps logical tables to the file stems of an export (not used for
+    the generated star schema).
+    """
     from mercato.sources import files, generated
 
-    key = (spark.conf.get("spark.app.id", None) or str(id(spark)), os.path.abspath(path))
-    if reuse and key in _LOADED:
-        return _LOADED[key]
-    if generated.looks_generated(path):
-        tables = generated.load(spark, path)
-    else:
-        tables = files.load(spark, path)
-    _LOADED[key] = tables
-    return tables
+    if names is None and generated.looks_generated(spark, path):
+        return generated.load(spark, path)
+    return files.load(spark, path, names)

@@ -8,21 +8,23 @@ public marketplace export (one CSV per table, header row) can be read as it is.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.schema import TABLE_NAMES, logical_schemas
-from mercato.sources import Tables
-
-
-def _find(path: str, stem: str) -> tuple[str, str]:
-    for fmt in ("parquet", "csv"):
-        for candidate in (os.path.join(path, f"{stem}.{fmt}"), os.path.join(path, stem)):
-            if os.path.exists(candidate) and (fmt == "parquet" or candidate.endswith(".csv")):
-                return candidate, fmt
+from mercato.sources import Tables, exists
+
+
+def _find(spark: SparkSession, path: str, stem: str) -> tuple[str, str]:
+    base = path.rstrip("/")
+    for candidate, fmt in (
+        (f"{base}/{stem}.parquet", "parquet"),
+        (f"{base}/{stem}", "parquet"),
+        (f"{base}/{stem}.csv", "csv"),
+    ):
+        if exists(spark, candidate):
+            return candidate, fmt
     raise FileNotFoundError(f"no parquet or csv table '{stem}' under {path}")
 
 
@@ -49,6 +51,6 @@ def load(
     schemas = logical_schemas(id_type)
     frames = {}
     for table in TABLE_NAMES:
-        location, fmt = _find(path, names[table])
+        location, fmt = _find(spark, path, names[table])
         frames[table] = read_table(spark, location, fmt, schemas[table])
     return Tables(**frames)

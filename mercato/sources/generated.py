@@ -17,13 +17,11 @@ Code-to-label mappings are built so that filters on the label reach the scan
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.schema import MONEY
-from mercato.sources import Tables
+from mercato.sources import Tables, exists
 
 # fixed values of the adapter (FIXTURES.md A)
 PERSON_ALIAS_MODULUS = 10  # every 10th customer key is a second id of key + 1
@@ -37,8 +35,8 @@ OTHER_PAYMENT = "voucher"
 RAW_TABLES = ("customer", "nation", "orders", "lineitem", "part", "supplier")
 
 
-def looks_generated(path: str) -> bool:
-    return all(os.path.exists(os.path.join(path, f"{t}.parquet")) for t in RAW_TABLES)
+def looks_generated(spark: SparkSession, path: str) -> bool:
+    return all(exists(spark, f"{path.rstrip('/')}/{t}.parquet") for t in RAW_TABLES)
 
 
 def _code_map(code: F.Column, pairs, other: str) -> F.Column:
@@ -60,7 +58,7 @@ def _money(c: F.Column) -> F.Column:
 
 def load(spark: SparkSession, path: str) -> Tables:
     def raw(name: str) -> DataFrame:
-        return spark.read.parquet(os.path.join(path, f"{name}.parquet"))
+        return spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
 
     customer, nation = raw("customer"), raw("nation")
     orders, lineitem = raw("orders"), raw("lineitem")

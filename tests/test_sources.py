@@ -49,7 +49,7 @@ def test_register_views(spark, micro):
 
 
 def test_generated_adapter_facts(spark):
-    assert generated.looks_generated(SF01)
+    assert generated.looks_generated(spark, SF01)
     t = load_tables(spark, SF01)
     counts = {name: frame.count() for name, frame in t.frames().items()}
     assert counts == {
@@ -84,3 +84,31 @@ def test_csv_header_with_byte_order_mark(spark, tmp_path):
 
     df = files.read_table(spark, str(path), "csv", logical_schemas()["sellers"])
     assert df.columns == ["seller_id"] and sorted(r[0] for r in df.collect()) == ["s1", "s2"]
+
+
+def test_uris_and_appended_rows(spark, tmp_path):
+    """A folder named by URI is read, and every load lists it anew."""
+    import shutil
+
+    for name in generated.RAW_TABLES:
+        (tmp_path / f"{name}.parquet").mkdir()
+        shutil.copy(f"{SF01}/{name}.parquet", tmp_path / f"{name}.parquet" / "part-0.parquet")
+    uri = f"file://{tmp_path}"
+    before = load_tables(spark, uri).orders.count()
+    spark.read.parquet(f"{SF01}/orders.parquet").limit(50).write.mode("append").parquet(f"{uri}/orders.parquet")
+    assert load_tables(spark, uri).orders.count() == before + 50
+
+
+def test_null_persons_are_not_counted(spark):
+    from dataclasses import replace
+
+    from mercato.plans import REPORTS
+    from pyspark.sql import functions as F
+
+    t = load_tables(spark, SF01)
+    t = replace(t, customers=t.customers.withColumn("customer_unique_id", F.when(F.pmod(F.xxhash64("customer_id"), F.lit(7)) != 0, F.col("customer_unique_id"))))
+    known = t.orders.filter("order_status = 'delivered'").join(t.customers.filter("customer_unique_id is not null"), "customer_id")
+    want = {r[0]: r[1] for r in known.groupBy("customer_state").agg(F.countDistinct("customer_unique_id")).collect()}
+    got = {r["customer_state"]: r["total_customers"] for r in REPORTS["repeat_pct_by_state"](t).collect()}
+    assert {k: v for k, v in got.items() if v} == want
+    assert REPORTS["aov_by_segment"](t).collect() == REPORTS["aov_by_segment"](replace(t, customers=t.customers.filter("customer_unique_id is not null"))).collect()
