@@ -43,13 +43,20 @@ BATCHES = 4
 #: Contexts of one core that are compared in one task (30 MB at most).
 GROUPED_CONTEXTS = 50_000
 #: Text that is indexed in one go.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: Bits of the broadcast bitmap of documents: 2 MB whatever the input.
 BITMAP_BITS = 1 << 23
 ENTRY = np.dtype([("core", "<i8"), ("ctx", "<i8"), ("key", "<i8"), ("n", "<i4"), ("s", "<i4"), ("w", "u1"), ("off", "u1")])
 ROWS = "core long, ctx long, key long, n int, s int, w int, off int"
 
 
+def _slices(records: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: what a task holds as Python objects at once."""
+    for r in records:
+        for at in range(0, r.num_rows, rows):
+            yield r.slice(at, rows)
+
+
 def key_of(raw: bytes) -> int:
     """The text's hash as a signed number."""
     return int.from_bytes(xxhash.xxh3_64_digest(raw), "little", signed=True)
@@ -200,7 +207,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, key, n): with the text's hash and its length in bytes."""
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in records:
+        for r in _slices(records):
             raw = [(t.as_py() or "").encode("utf-8", "replace") for t in r.column(1)]
             yield pa.RecordBatch.from_arrays([r.column(0), pa.array(raw, pa.binary()), pa.array([key_of(x) for x in raw], pa.int64()), pa.array([len(x) for x in raw], pa.int32())], ["id", "raw", "key", "n"])
 
@@ -229,7 +236,7 @@ def _pieces(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of every border suffix's windows."""
     seen: set[int] = set()  # copies within a task have the same windows
     names = [x.split()[0] for x in PIECES.split(", ")]
-    for r in records:
+    for r in _slices(records):
         rows = []
         for raw, key, n, borders in zip(*(r.column(i).to_pylist() for i in range(4))):
             if key in seen:
@@ -277,9 +284,9 @@ def _windows(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(w + 1, key, np.int64)), pa.array(np.full(w + 1, n, np.int32)), pa.array(np.arange(s, s + w + 1, dtype=np.int32)), pa.array(np.full(w + 1, c == 1))], ["h", "key", "n", "s", "alone"])
 
 
-def _cut(id_first: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without their spans: id, n_bytes, n_removed, n_spans, kept."""
-    for r in id_first:
+    for r in _slices(records):
         out = []
         for raw, spans in zip(r.column(1).to_pylist(), r.column(2).to_pylist()):
             runs: list[list[int]] = []
