@@ -6,6 +6,12 @@
     python -m mercato suite --data DIR --out OUT     # every report, OUT/<report>/
     python -m mercato layout --data DIR --database DB --buckets 2048
     python -m mercato suite --database DB --out OUT  # read the bucketed tables
+    python -m mercato run customer_spend --data DIR --names orders=ORDERS items=LINES
+    python -m mercato run customer_spend --database DB --names orders=ORDERS
+
+``--names`` maps logical tables to file stems under ``--data`` or to tables of
+``--database``, which are then cast to the schema like files; without it
+``--database`` holds tables written by 'layout'.
 
 ``--master`` defaults to the session already configured by ``spark-submit``
 (or ``local[*]`` when run directly). Writing uses the ``errorifexists`` mode
@@ -44,13 +50,20 @@ def main(argv: list[str] | None = None) -> int:
     layout_p.add_argument("--buckets", type=int, required=True)
     layout_p.add_argument("--mode", default="errorifexists")
     layout_p.add_argument("--master", default=None)
+    for p in (run_p, suite_p, layout_p):
+        p.add_argument("--names", nargs="+", default=[], metavar="TABLE=NAME", help="names of the input's tables")
     args = parser.parse_args(argv)
     if args.command in ("run", "suite") and bool(args.data) == bool(args.database):
         print("give exactly one of --data and --database", file=sys.stderr)
         return 2
 
     from mercato.plans import REPORTS
+    from mercato.schema import TABLE_NAMES
 
+    names = dict(pair.partition("=")[::2] for pair in getattr(args, "names", []))
+    if not all(table in TABLE_NAMES and name for table, name in names.items()):
+        print(f"--names takes TABLE=NAME with TABLE one of {', '.join(TABLE_NAMES)}", file=sys.stderr)
+        return 2
     if args.command == "list":
         print("\n".join(REPORTS))
         return 0
@@ -62,6 +75,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from mercato.sources import load_tables
     from mercato.sources.bucketed import load_bucketed, write_bucketed
+    from mercato.sources.files import load_catalog
 
     builder = SparkSession.builder.appName(f"mercato-{getattr(args, 'report', 'suite')}")
     if args.master:
@@ -69,13 +83,13 @@ def main(argv: list[str] | None = None) -> int:
     spark = builder.getOrCreate()
 
     if args.command == "layout":
-        write_bucketed(load_tables(spark, args.data), args.database, args.buckets, args.mode)
+        write_bucketed(load_tables(spark, args.data, names or None), args.database, args.buckets, args.mode)
         return 0
 
     def tables():
         if args.database:
-            return load_bucketed(spark, args.database)
-        return load_tables(spark, args.data)
+            return load_catalog(spark, args.database, names) if names else load_bucketed(spark, args.database)
+        return load_tables(spark, args.data, names or None)
 
     def write(df, path: str) -> None:
         writer = df.write.mode(args.mode)

@@ -17,11 +17,10 @@ holds at most about ``block_items`` rows per side. Ordinary baskets have ``S=1``
 and are not copied. Each item pair still meets exactly once (in block pair
 ``(block(A), block(B))``), so the counts are exact; nothing is capped or sampled.
 
-Attaching ``d`` to each (basket, item) row is an equi-join on the basket against
-one row per basket; a hot basket is a single skewed key there, which AQE's
-skew-join split spreads over several tasks (or the size table is broadcast when
-AQE measures it small). The quadratic part never depends on AQE: it is the block
-split above.
+Only baskets of more than ``block_items`` lines enter the size table; all others
+have ``S = 1`` without a match. The table is left-joined on the basket and a salt
+of the item, with its few rows repeated once a salt, so a hot basket is dealt over
+``SALTS`` join keys. Neither that join nor the quadratic part depends on AQE.
 """
 
 from __future__ import annotations
@@ -30,6 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ITEMS = 2048
+#: Join keys that the items of one basket are dealt over when its size is attached.
+SALT_BITS = 6
+SALTS = 1 << SALT_BITS
 
 
 def pair_counts(
@@ -49,11 +51,17 @@ def pair_counts(
     # basket size measured in lines (sum of multiplicities, >= distinct items, so a
     # block never holds more than block_items items); reading _q keeps this branch's
     # (basket, item) aggregate identical to the pair branch's
-    sizes = qty.groupBy(basket).agg(F.sum("_q").alias("_d"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("_d") / F.lit(block_items))).cast("int")
+    sizes = qty.groupBy(basket).agg(F.sum("_q").alias("_d")).where(F.col("_d") > block_items)
+    split = sizes.select(
+        basket,
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
+        F.ceil(F.col("_d") / F.lit(block_items)).cast("int").alias("_s"),
+    )
+    # the salt takes the hash's upper bits, the block its remainder: they are independent
     sized = (
-        qty.join(sizes, basket)
-        .withColumn("_s", blocks)
+        qty.withColumn("_salt", F.shiftrightunsigned(F.xxhash64(item), 64 - SALT_BITS).cast("int"))
+        .join(split, [basket, "_salt"], "left")
+        .withColumn("_s", F.coalesce("_s", F.lit(1)))
         .withColumn("_blk", F.pmod(F.xxhash64(item), F.col("_s")).cast("int"))
     )
     every_block = F.explode(F.sequence(F.lit(0), F.col("_s") - 1))

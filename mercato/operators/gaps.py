@@ -12,7 +12,8 @@ of the key: every distinct timestamp ``t`` with multiplicity ``m`` contributes
    inside the day and the day's last timestamp; its partitions are bounded by the
    distinct timestamps of one key in one day, not by the key's history. This
    table is checkpointed (shared ``spark.checkpoint.dir``): the three outputs
-   below all read it, so the upstream joins run once and lineage is cut;
+   below all read it, so the upstream joins run once and lineage is cut (without
+   such a folder, or with ``checkpoint=False``, they run from lineage);
 3. for the first timestamp of a day, the previous one is the last timestamp of
    the key's previous active day: a LAG over one row per (key, day), bounded by
    the calendar span;
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.session import checkpoint_dir
+from mercato.session import cut_lineage
 
 DEFAULT_CHUNK = 4096
 
@@ -53,9 +54,7 @@ def previous_event(
         .withColumn("_prev_in_day", F.lag(ts).over(day.orderBy(ts)))
         .withColumn("_day_last", F.max(ts).over(day))
     )
-    if checkpoint:
-        checkpoint_dir(known.sparkSession)
-        per_day = per_day.checkpoint(eager=True)
+    per_day = cut_lineage(per_day, checkpoint)
 
     within_day = per_day.where(F.col("_prev_in_day").isNotNull()).select(
         key, F.col("_prev_in_day").alias(prev), ts

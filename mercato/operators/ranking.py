@@ -5,7 +5,8 @@ into one task (``Exchange SinglePartition``). :func:`bucketed_dense_rank` gives
 the same numbers with the work spread over range buckets of the value:
 
 1. the input is checkpointed (shared ``spark.checkpoint.dir``) so the steps below
-   re-read it instead of recomputing its joins, and lineage is cut;
+   re-read it instead of recomputing its joins, and lineage is cut (without such a
+   folder, or with ``checkpoint=False``, they run from the input's lineage);
 2. the distinct values are cut into buckets at approximate quantiles (one small
    driver round trip for the bucket edges) -- the bucket is a pure function of
    the value, so equal values never split;
@@ -33,7 +34,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.session import checkpoint_dir
+from mercato.session import cut_lineage
 
 
 def _default_buckets(df: DataFrame) -> int:
@@ -54,10 +55,7 @@ def bucketed_dense_rank(
     NULL sorts lowest (last when descending, first when ascending), as the SQL
     engines of the reference do.
     """
-    spark = df.sparkSession
-    if checkpoint:
-        checkpoint_dir(spark)
-        df = df.checkpoint(eager=True)
+    df = cut_lineage(df, checkpoint)
     buckets = buckets or _default_buckets(df)
 
     values = df.select(value).distinct()

@@ -10,7 +10,8 @@ every row in one task. Two levels give the same sums in parallel:
   which is bounded by the calendar span (one row per month), not by the data.
 
 The input is read twice (block sums and the in-block window); it is checkpointed
-first (shared ``spark.checkpoint.dir``) so the joins that produced it run once.
+first (shared ``spark.checkpoint.dir``) so the joins that produced it run once,
+unless ``checkpoint=False`` or no shared folder is named.
 
 The order key must be unique (one row per day here), as it is in the reports:
 with ties a ROWS frame has no defined order anyway.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.session import checkpoint_dir
+from mercato.session import cut_lineage
 
 
 def running_total(
@@ -37,10 +38,7 @@ def running_total(
     ``block`` must be a non-decreasing function of ``order_by``. NULL values are
     skipped as SQL ``SUM`` does; the running sum is NULL until the first non-NULL.
     """
-    blocked = df.withColumn("_block", block)
-    if checkpoint:
-        checkpoint_dir(df.sparkSession)
-        blocked = blocked.checkpoint(eager=True)
+    blocked = cut_lineage(df.withColumn("_block", block), checkpoint)
     upto_here = Window.partitionBy("_block").orderBy(order_by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -84,13 +84,29 @@ def repeat_persons(t: Tables, delivered_only: bool = True, with_items: bool = Fa
     return counts.where(F.col("total_orders") > 1).select(PERSON)
 
 
+def one_time_orders(person_orders: DataFrame) -> DataFrame:
+    """``order_id`` of each person whose orders are that one (its repeated rows count once)."""
+    ids = person_orders.groupBy(PERSON).agg(
+        F.min("order_id").alias("order_id"), F.max("order_id").alias("_last")
+    )
+    return ids.where(F.col("order_id") == F.col("_last")).select("order_id")
+
+
+def of_repeat_persons(person_orders: DataFrame) -> DataFrame:
+    """The rows of ``person_orders`` whose known person has more than one order in it.
+
+    One-time orders are taken out by their id, so a person with very many orders
+    is only a map-side combined group, never a join key.
+    """
+    known = person_orders.where(F.col(PERSON).isNotNull())
+    return known.join(one_time_orders(known), "order_id", "left_anti")
+
+
 def repeat_orders(t: Tables) -> DataFrame:
     """Delivered orders placed by repeat persons (definition (c)): ``order_id``."""
     if "repeat_orders" in t.shared:
         return t.shared["repeat_orders"]
-    person_orders = orders_of_persons(t).select("order_id", PERSON)
-    rc = repeat_persons(t)
-    return person_orders.join(rc, PERSON, "left_semi").select("order_id")
+    return of_repeat_persons(orders_of_persons(t).select("order_id", PERSON)).select("order_id")
 
 
 def repeat_lines(t: Tables) -> DataFrame:

@@ -93,14 +93,14 @@ def avg_revenue_one_time(t: Tables) -> DataFrame:
     )
 
 
-def customer_revenue_rank(t: Tables) -> DataFrame:
+def customer_revenue_rank(t: Tables, checkpoint: bool = True) -> DataFrame:
     """Dense rank of persons by rounded delivered revenue, highest first."""
     revenue = (
         order_values(t)
         .groupBy(PERSON)
         .agg(F.round(F.sum("order_revenue"), 2).alias("_lifetime"))
     )
-    ranked = bucketed_dense_rank(revenue, "_lifetime", "revenue_rank", descending=True)
+    ranked = bucketed_dense_rank(revenue, "_lifetime", "revenue_rank", checkpoint=checkpoint)
     return ranked.select(
         PERSON,
         F.col("_lifetime").cast("double").alias("lifetime_revenue"),
@@ -126,13 +126,14 @@ def _person_deliveries(t: Tables) -> DataFrame:
     )
 
 
-def delivery_gap_days(t: Tables) -> DataFrame:
+def delivery_gap_days(t: Tables, checkpoint: bool = True) -> DataFrame:
     """Days between consecutive delivery dates of each person (first delivery has none)."""
     pairs = previous_event(
         _person_deliveries(t),
         PERSON,
         "order_delivered_customer_date",
         prev="previous_delivered_date",
+        checkpoint=checkpoint,
     )
     return pairs.select(
         PERSON,

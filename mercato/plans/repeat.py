@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mercato.functions import as_money, line_revenue, percent_2dp, percent_raw
 from mercato.operators.segments import (
     PERSON,
-    delivered_lines,
+    delivered,
     orders_of_persons,
     repeat_lines,
     repeat_orders,
@@ -49,10 +49,11 @@ def repeat_orders_by_seller(t: Tables) -> DataFrame:
 
 def repeat_customers_by_state(t: Tables) -> DataFrame:
     """Repeat persons per state, over every customer id they own (any orders or none)."""
+    # distinct first: a person with very many customer ids has one row a state in the join
     return (
-        t.customers.join(repeat_persons(t), PERSON, "left_semi")
-        .select("customer_state", PERSON)
+        t.customers.select("customer_state", PERSON)
         .distinct()
+        .join(repeat_persons(t), PERSON, "left_semi")
         .groupBy("customer_state")
         .agg(F.count(F.lit(1)).alias("repeat_customers_count"))
         .orderBy(F.desc("repeat_customers_count"), "customer_state")
@@ -148,14 +149,16 @@ def repeat_orders_by_category(t: Tables) -> DataFrame:
 def seller_repeat_dependency(t: Tables) -> DataFrame:
     """Share of each seller's delivered revenue that comes from repeat persons.
 
-    One pass over the delivered lines with a repeat flag per order replaces the
-    reference's two aggregates and their outer join; the percentage divides the
+    Delivered orders get a repeat flag (a left join, so orders without a known
+    customer stay in the total) and meet the lines once; that replaces the
+    reference's two aggregates and their outer join. The percentage divides the
     two rounded sums, as the reference does.
     """
-    flagged_orders = repeat_orders(t).withColumn("_is_repeat", F.lit(True))
+    repeat = repeat_orders(t).distinct().withColumn("_is_repeat", F.lit(True))
+    flagged_orders = delivered(t.orders).select("order_id").join(repeat, "order_id", "left")
     rev = line_revenue()
     per_seller = (
-        delivered_lines(t).join(flagged_orders, "order_id", "left")
+        t.items.join(flagged_orders, "order_id")
         .groupBy("seller_id")
         .agg(
             F.round(F.sum(rev), 2).alias("_total"),

@@ -18,6 +18,7 @@ from mercato.operators.segments import (
     PERSON,
     delivered,
     delivered_order_revenue,
+    of_repeat_persons,
     order_values,
     with_category,
 )
@@ -33,11 +34,7 @@ def _order_value(t: Tables) -> DataFrame:
 
 
 def _repeat_order_value(t: Tables) -> DataFrame:
-    ov = _order_value(t)
-    repeaters = (
-        ov.groupBy(PERSON).agg(F.count("order_id").alias("_n")).where(F.col("_n") > 1).select(PERSON)
-    )
-    return ov.join(repeaters, PERSON, "left_semi").select("order_id", "order_total")
+    return of_repeat_persons(_order_value(t)).select("order_id", "order_total")
 
 
 def aov_by_segment(t: Tables) -> DataFrame:
@@ -108,8 +105,9 @@ def cumulative_revenue(t: Tables) -> DataFrame:
         .groupBy(F.to_date("order_purchase_timestamp").alias("order_date"))
         .agg(F.round(F.sum("order_revenue"), 2).alias("_revenue"))
     )
+    # one row per day: both readers share the daily aggregate's shuffle, no checkpoint needed
     running = running_total(
-        daily, "order_date", "_revenue", "_cumulative", F.trunc("order_date", "month")
+        daily, "order_date", "_revenue", "_cumulative", F.trunc("order_date", "month"), checkpoint=False
     )
     return running.select(
         "order_date",

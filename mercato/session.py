@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for these reports at any scale. AQE re-plans joins into
 # broadcasts once the real (post-filter, post-aggregate) size is known, merges
@@ -50,6 +50,22 @@ def build_session(
     return spark
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster session that names no shared checkpoint folder."""
+
+
+def cut_lineage(df: DataFrame, checkpoint: bool = True) -> DataFrame:
+    """``df`` read back from a checkpoint in the shared folder; ``df`` itself, to be
+    computed from its lineage, when not wanted or when a cluster names no folder."""
+    if not checkpoint:
+        return df
+    try:
+        checkpoint_dir(df.sparkSession)
+    except NoSharedFolder:
+        return df
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only when none is set.
 
@@ -72,7 +88,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
-        raise RuntimeError(
+        raise NoSharedFolder(
             "spark.checkpoint.dir is not set; name a shared folder (HDFS/S3/...) "
             "so checkpointed intermediates survive executor loss"
         )

@@ -38,6 +38,10 @@ def read_table(
         df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
     else:
         df = spark.read.parquet(location)
+    return _typed(df, schema)
+
+
+def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
@@ -54,3 +58,16 @@ def load(
         location, fmt = _find(spark, path, names[table])
         frames[table] = read_table(spark, location, fmt, schemas[table])
     return Tables(**frames)
+
+
+def load_catalog(
+    spark: SparkSession,
+    database: str,
+    names: dict[str, str] | None = None,
+    id_type: T.DataType = T.StringType(),
+) -> Tables:
+    """The seven tables of a catalog database, cast to the schema; ``names`` maps
+    logical tables to the catalog's own table names."""
+    names = {t: t for t in TABLE_NAMES} | (names or {})
+    schemas = logical_schemas(id_type)
+    return Tables(**{t: _typed(spark.table(f"{database}.{names[t]}"), schemas[t]) for t in TABLE_NAMES})

@@ -192,3 +192,32 @@ def test_running_total_with_an_all_null_block(spark):
     expected = df.withColumn("run", F.sum("v").over(frame))
     got = running_total(df, "day", "v", "run", F.trunc("day", "month"))
     assert _rows(got.select("day", "v", "run")) == _rows(expected)
+
+
+def test_repeated_rows_of_one_order_do_not_make_a_repeat_person(spark):
+    from mercato.operators.segments import of_repeat_persons
+
+    rows = [("a", "p"), ("a", "p"), ("b", "q"), ("c", "q"), ("d", None), ("e", None), (None, "r"), ("f", "r")]
+    df = spark.createDataFrame(rows, "order_id string, customer_unique_id string")
+    got = {r["order_id"] for r in of_repeat_persons(df).collect() if r["order_id"]}
+    assert got == {"b", "c"}
+
+
+def test_pair_counts_deals_a_hot_basket_over_salts(spark):
+    from pyspark.sql import functions as F
+
+    from mercato.operators.baskets import pair_counts
+
+    lines = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("basket"), (F.col("id") % 101).alias("item")
+    )
+    got = pair_counts(lines, "basket", "item", block_items=64)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert any("_salt" in line for line in plan.split("\n") if "Join LeftOuter" in line)
+    a, b = lines.alias("a"), lines.alias("b")
+    want = (
+        a.join(b, F.expr("a.basket = b.basket AND a.item < b.item"))
+        .groupBy(F.col("a.item"), F.col("b.item"))
+        .count()
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

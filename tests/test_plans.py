@@ -61,3 +61,22 @@ def test_status_filter_is_pushed_into_the_orders_scan(spark):
     order_scans = [line for line in plan.split("\n") if "FileScan parquet [o_orderkey" in line]
     assert order_scans
     assert all("PushedFilters: [" in line and "EqualNullSafe(o_orderstatus,F)" in line for line in order_scans)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "repeat_items_by_category",
+        "repeat_orders_by_seller",
+        "repeat_revenue_by_category",
+        "repeat_revenue_by_seller",
+        "repeat_orders_by_category",
+        "seller_repeat_dependency",
+        "repeat_aov_by_seller",
+        "repeat_aov_by_category",
+    ],
+)
+def test_orders_and_lines_are_never_joined_on_the_person(micro, name):
+    plan = REPORTS[name](micro)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if re.search(r"\bJoin (Inner|Left)", line)]
+    assert joins and not any("customer_unique_id" in line for line in joins)

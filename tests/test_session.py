@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from mercato import session
 from mercato.session import checkpoint_dir
 
 
@@ -72,3 +73,14 @@ class _ConnectSession:
 def test_connect_session_uses_the_server_setting():
     assert checkpoint_dir(_ConnectSession({"spark.checkpoint.dir": "s3a://b/ckpt"})) == "s3a://b/ckpt"
     assert checkpoint_dir(_ConnectSession()) == ""
+
+
+@pytest.mark.parametrize("name", ["customer_revenue_rank", "delivery_gap_days", "cumulative_revenue"])
+def test_reports_run_from_lineage_on_a_cluster_without_folder(monkeypatch, micro, name):
+    from mercato.plans import REPORTS
+
+    expected = REPORTS[name](micro).collect()
+    real = session.checkpoint_dir
+    cluster = _Session(_Context("k8s://https://api:443"))
+    monkeypatch.setattr(session, "checkpoint_dir", lambda spark: real(cluster))
+    assert REPORTS[name](micro).collect() == expected

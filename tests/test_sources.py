@@ -112,3 +112,16 @@ def test_null_persons_are_not_counted(spark):
     got = {r["customer_state"]: r["total_customers"] for r in REPORTS["repeat_pct_by_state"](t).collect()}
     assert {k: v for k, v in got.items() if v} == want
     assert REPORTS["aov_by_segment"](t).collect() == REPORTS["aov_by_segment"](replace(t, customers=t.customers.filter("customer_unique_id is not null"))).collect()
+
+
+def test_catalog_tables_are_cast_and_named(spark, micro):
+    from mercato.plans import REPORTS
+    from mercato.sources.files import load_catalog
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS external_micro")
+    for name, frame in micro.frames().items():
+        text = frame.select(*[frame[c].cast("string").alias(c) for c in frame.columns])
+        text.write.mode("overwrite").saveAsTable(f"external_micro.src_{name}")
+    t = load_catalog(spark, "external_micro", {name: f"src_{name}" for name in micro.frames()})
+    for name in ("revenue_by_state", "customer_first_last_order"):
+        assert REPORTS[name](t).collect() == REPORTS[name](micro).collect()
