@@ -25,6 +25,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -49,11 +50,10 @@ INNER_STEP = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+@functools.cache
 def sentence_end_ids(vocabulary: str) -> np.ndarray:
-    """Marks of the ids after which a sentence has ended."""
-    from tokenizers import Tokenizer
-
-    vocab = Tokenizer.from_file(vocabulary).get_vocab()
+    """Marks of the ids after which a sentence has ended; once for each worker process."""
+    vocab = encoder(vocabulary).tokenizer.get_vocab()
     marks = np.zeros(max(vocab.values()) + 1, bool)
     marks[[i for t, i in vocab.items() if t[-1] in ".!?Ċ"]] = True  # the last: a line feed
     return marks

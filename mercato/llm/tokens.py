@@ -13,10 +13,11 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import os
 
-#: Words a worker remembers (about 50 MB); when full, rarer ones are encoded
+#: Words a worker remembers (about 20 MB); when full, rarer ones are encoded
 #: once for each batch they occur in.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Text that is encoded in one go.
 BATCH_BYTES = 2 << 20
 #: Words that go through the library in one string.
@@ -95,7 +96,8 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
+    """One encoder for each worker process, on one thread as a task has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
