@@ -23,6 +23,7 @@ from mercato.schema import DELIVERED
 from mercato.sources import Tables
 
 PERSON = "customer_unique_id"
+CATEGORY = "product_category_name"
 
 
 def delivered(orders: DataFrame) -> DataFrame:
@@ -114,21 +115,28 @@ def repeat_lines(t: Tables) -> DataFrame:
     return t.items.join(repeat_orders(t), "order_id", "left_semi")
 
 
-def named_products(t: Tables) -> DataFrame:
-    """``(product_id, product_category_name_english)`` for products with a translated category."""
-    if "named_products" in t.shared:
-        return t.shared["named_products"]
-    return t.products.join(t.translation, "product_category_name").select(
-        "product_id", "product_category_name_english"
-    )
+def with_raw_category(df: DataFrame, t: Tables) -> DataFrame:
+    """Attach the product's own ``product_category_name`` (inner join; NULL categories drop out).
+
+    ``df`` should already be aggregated to the product (or order-product) grain so
+    this join runs on few rows.
+    """
+    products = t.products.where(F.col(CATEGORY).isNotNull()).select("product_id", CATEGORY)
+    return df.join(products, "product_id")
 
 
-def with_category(df: DataFrame, t: Tables, alias: str = "product_category") -> DataFrame:
-    """Attach the English category through products and the translation (inner joins).
+def in_english(df: DataFrame, t: Tables, alias: str = "product_category") -> DataFrame:
+    """Replace ``product_category_name`` by its English name (categories without one drop out).
 
-    Products without a category or without a translation drop out, as in the
-    reference's inner joins. ``df`` should already be aggregated to the product
-    (or order-product) grain so this join runs on few rows.
+    There are few categories, so the products are never shuffled on them: ``df``
+    should already be reduced to the category (or person- or order-category) grain,
+    and be reduced once more by the English name, which several categories may share.
     """
-    named = named_products(t).withColumnRenamed("product_category_name_english", alias)
-    return df.join(named, "product_id")
+    names = t.translation.select(CATEGORY, F.col("product_category_name_english").alias(alias))
+    return df.join(names, CATEGORY).drop(CATEGORY)
+
+
+def total_by_category(per_product: DataFrame, t: Tables, value: str, alias: str = "product_category") -> DataFrame:
+    """``(alias, value)``: the sum of ``value`` over the products of each English category."""
+    per_category = with_raw_category(per_product, t).groupBy(CATEGORY).agg(F.sum(value).alias(value))
+    return in_english(per_category, t, alias).groupBy(alias).agg(F.sum(value).alias(value))

@@ -11,7 +11,7 @@ from mercato.operators.segments import (
     delivered_lines,
     delivered_order_revenue,
     order_totals,
-    with_category,
+    total_by_category,
 )
 from mercato.sources import Tables
 
@@ -50,9 +50,8 @@ def revenue_by_category(t: Tables) -> DataFrame:
     """Item price (no freight) per English category, every order status."""
     per_product = t.items.groupBy("product_id").agg(F.sum("price").alias("_price"))
     return (
-        with_category(per_product, t, "product_category_name_english")
-        .groupBy("product_category_name_english")
-        .agg(as_money(F.sum("_price")).alias("total_revenue"))
+        total_by_category(per_product, t, "_price", "product_category_name_english")
+        .select("product_category_name_english", as_money(F.col("_price")).alias("total_revenue"))
         .orderBy(F.desc("total_revenue"), "product_category_name_english")
     )
 
@@ -61,9 +60,8 @@ def items_sold_by_category(t: Tables) -> DataFrame:
     """Delivered order lines per English category."""
     per_product = delivered_lines(t).groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
     return (
-        with_category(per_product, t, "category")
-        .groupBy("category")
-        .agg(F.sum("_n").alias("total_item_sold"))
+        total_by_category(per_product, t, "_n", "category")
+        .withColumnRenamed("_n", "total_item_sold")
         .orderBy(F.desc("total_item_sold"), "category")
     )
 

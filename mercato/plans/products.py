@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mercato.functions import as_money, line_revenue
 from mercato.operators.baskets import pair_counts
 from mercato.operators.ranking import top_k_per_group
-from mercato.operators.segments import delivered_lines, with_category
+from mercato.operators.segments import CATEGORY, delivered_lines, in_english, total_by_category, with_raw_category
 from mercato.sources import Tables
 
 
@@ -28,9 +28,8 @@ def top_revenue_category(t: Tables) -> DataFrame:
     """The category with the most delivered price + freight; ties: alphabetical."""
     per_product = delivered_lines(t).groupBy("product_id").agg(F.sum(line_revenue()).alias("_rev"))
     return (
-        with_category(per_product, t)
-        .groupBy("product_category")
-        .agg(as_money(F.sum("_rev")).alias("highest_total_revenue"))
+        total_by_category(per_product, t, "_rev")
+        .select("product_category", as_money(F.col("_rev")).alias("highest_total_revenue"))
         .orderBy(F.desc("highest_total_revenue"), "product_category")
         .limit(1)
     )
@@ -41,12 +40,10 @@ def top_product_per_category(t: Tables) -> DataFrame:
     per_product = delivered_lines(t).groupBy("product_id").agg(
         F.round(F.sum("price"), 2).alias("_revenue")
     )
-    leaders = top_k_per_group(
-        with_category(per_product, t, "category"),
-        ["category"],
-        [F.col("_revenue").desc_nulls_last(), F.col("product_id").asc()],
-        k=1,
-    )
+    best_first = [F.col("_revenue").desc_nulls_last(), F.col("product_id").asc()]
+    # one leader per own category, then the best of those that share an English name
+    own = top_k_per_group(with_raw_category(per_product, t), [CATEGORY], best_first, k=1)
+    leaders = top_k_per_group(in_english(own, t, "category"), ["category"], best_first, k=1)
     return leaders.select(
         "product_id", "category", F.col("_revenue").cast("double").alias("revenue")
     ).orderBy(F.desc("revenue"), "category")

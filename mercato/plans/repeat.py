@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from mercato.functions import as_money, line_revenue, percent_2dp, percent_raw
 from mercato.operators.segments import (
+    CATEGORY,
     PERSON,
     delivered,
+    in_english,
     orders_of_persons,
     repeat_lines,
     repeat_orders,
     repeat_persons,
-    with_category,
+    total_by_category,
+    with_raw_category,
 )
 from mercato.sources import Tables
 
@@ -27,9 +30,8 @@ def repeat_items_by_category(t: Tables) -> DataFrame:
     """Order lines bought by repeat persons, per English category."""
     per_product = repeat_lines(t).groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
     return (
-        with_category(per_product, t)
-        .groupBy("product_category")
-        .agg(F.sum("_n").alias("items_bought_by_repeat_customers"))
+        total_by_category(per_product, t, "_n")
+        .withColumnRenamed("_n", "items_bought_by_repeat_customers")
         .orderBy(F.desc("items_bought_by_repeat_customers"), "product_category")
     )
 
@@ -92,11 +94,8 @@ def repeat_pct_by_category(t: Tables) -> DataFrame:
         .select(PERSON, "product_id")
         .distinct()
     )
-    person_categories = (
-        with_category(person_products, t, "product_category_name_english")
-        .select(PERSON, "product_category_name_english")
-        .distinct()
-    )
+    bought = with_raw_category(person_products, t).select(PERSON, CATEGORY).distinct()
+    person_categories = in_english(bought, t, "product_category_name_english").distinct()
     return (
         _flag_repeat(person_categories, t)
         .groupBy("product_category_name_english")
@@ -116,9 +115,8 @@ def repeat_revenue_by_category(t: Tables) -> DataFrame:
     """Delivered revenue (price + freight) from repeat persons per category."""
     per_product = repeat_lines(t).groupBy("product_id").agg(F.sum(line_revenue()).alias("_rev"))
     return (
-        with_category(per_product, t)
-        .groupBy("product_category")
-        .agg(as_money(F.sum("_rev")).alias("revenue_from_repeat_customers"))
+        total_by_category(per_product, t, "_rev")
+        .select("product_category", as_money(F.col("_rev")).alias("revenue_from_repeat_customers"))
         .orderBy(F.desc("revenue_from_repeat_customers"), "product_category")
     )
 
@@ -136,9 +134,9 @@ def repeat_revenue_by_seller(t: Tables) -> DataFrame:
 def repeat_orders_by_category(t: Tables) -> DataFrame:
     """Distinct delivered orders of repeat persons per category."""
     order_products = repeat_lines(t).select("order_id", "product_id").distinct()
+    order_categories = with_raw_category(order_products, t).select("order_id", CATEGORY).distinct()
     return (
-        with_category(order_products, t)
-        .select("order_id", "product_category")
+        in_english(order_categories, t)
         .distinct()
         .groupBy("product_category")
         .agg(F.count(F.lit(1)).alias("orders_by_repeat_customers"))
@@ -152,7 +150,8 @@ def seller_repeat_dependency(t: Tables) -> DataFrame:
     Delivered orders get a repeat flag (a left join, so orders without a known
     customer stay in the total) and meet the lines once; that replaces the
     reference's two aggregates and their outer join. The percentage divides the
-    two rounded sums, as the reference does.
+    two rounded sums, as the reference does. Lines without a seller are one group
+    whose repeat revenue is 0, as NULL never meets NULL in that outer join.
     """
     repeat = repeat_orders(t).distinct().withColumn("_is_repeat", F.lit(True))
     flagged_orders = delivered(t.orders).select("order_id").join(repeat, "order_id", "left")
@@ -163,7 +162,8 @@ def seller_repeat_dependency(t: Tables) -> DataFrame:
         .agg(
             F.round(F.sum(rev), 2).alias("_total"),
             F.coalesce(
-                F.round(F.sum(F.when(F.col("_is_repeat"), rev)), 2), F.lit(0).cast("decimal(18,2)")
+                F.round(F.sum(F.when(F.col("_is_repeat") & F.col("seller_id").isNotNull(), rev)), 2),
+                F.lit(0).cast("decimal(18,2)"),
             ).alias("_repeat"),
         )
     )

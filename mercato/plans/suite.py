@@ -8,7 +8,6 @@ the shared ``spark.checkpoint.dir``, and every report reads them:
 
 * ``order_totals``            one row per order with lines: revenue
 * ``delivered_person_orders`` delivered orders with the person and state of the buyer
-* ``named_products``          product id -> English category name
 * ``repeat_persons``          persons with more than one delivered order
 * ``repeat_orders``           delivered orders of those persons
 
@@ -26,7 +25,6 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.operators.segments import (
-    named_products,
     order_totals,
     orders_of_persons,
     repeat_orders,
@@ -48,7 +46,6 @@ def with_shared_intermediates(t: Tables) -> Tables:
 
     keep("order_totals", order_totals)
     keep("delivered_person_orders", orders_of_persons)
-    keep("named_products", named_products)
     keep("repeat_persons", repeat_persons)
     keep("repeat_orders", repeat_orders)
     return dataclasses.replace(t, shared=shared)

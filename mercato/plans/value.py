@@ -15,12 +15,14 @@ from mercato.functions import as_money, mean_money, weekday_name
 from mercato.operators.running import running_total
 from mercato.operators.shares import share_of_total
 from mercato.operators.segments import (
+    CATEGORY,
     PERSON,
     delivered,
     delivered_order_revenue,
+    in_english,
     of_repeat_persons,
     order_values,
-    with_category,
+    with_raw_category,
 )
 from mercato.sources import Tables
 
@@ -82,11 +84,8 @@ def repeat_aov_by_category(t: Tables) -> DataFrame:
         .join(_repeat_order_value(t), "order_id")
         .distinct()
     )
-    order_categories = (
-        with_category(order_products, t)
-        .select("order_id", "product_category", "order_total")
-        .distinct()
-    )
+    own = with_raw_category(order_products, t).select("order_id", CATEGORY, "order_total").distinct()
+    order_categories = in_english(own, t).distinct()
     return (
         order_categories.groupBy("product_category")
         .agg(

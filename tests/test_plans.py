@@ -80,3 +80,28 @@ def test_orders_and_lines_are_never_joined_on_the_person(micro, name):
     plan = REPORTS[name](micro)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.split("\n") if re.search(r"\bJoin (Inner|Left)", line)]
     assert joins and not any("customer_unique_id" in line for line in joins)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "revenue_by_category",
+        "items_sold_by_category",
+        "top_revenue_category",
+        "top_product_per_category",
+        "repeat_items_by_category",
+        "repeat_pct_by_category",
+        "repeat_revenue_by_category",
+        "repeat_orders_by_category",
+        "repeat_aov_by_category",
+    ],
+)
+def test_category_names_join_only_reduced_rows(micro, name):
+    """The translation joins an aggregate, a distinct or a group limit, never the products."""
+    plan = REPORTS[name](micro)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line.lstrip(" :+-") for line in plan.split("\n")]
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan.split("\n")]
+    at = [i for i, line in enumerate(lines) if re.match(r"Join Inner, \(product_category_name#", line)]
+    assert len(at) == 1
+    below = next(line for line, d in zip(lines[at[0] + 1 :], depth[at[0] + 1 :]) if not line.startswith(("Project", "Filter")))
+    assert below.startswith(("Aggregate", "Window", "WindowGroupLimit")), below
