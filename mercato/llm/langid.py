@@ -8,11 +8,15 @@ suffixes towards the prior of the whole table. Priors and declaration
 likelihoods are grouped sums of the text-only posteriors of all rows.
 
 An ``unknown`` class with a uniform trigram distribution competes with the
-languages; rows it wins are rejected. The text models are fitted on a bounded
-sample of labelled rows (``SAMPLE_ROWS``); everything else covers all rows.
+languages; rows it wins are rejected. Every labelled language has a text model,
+fitted on a bounded sample of its own rows (``SAMPLE_ROWS``), so neither its
+share of the table nor the number of languages decides whether it has one;
+everything else covers all rows.
 
 Defined cases: a null or letterless text gives no text evidence, so declaration
 and host decide and the row is kept; a null or unheard-of declaration counts as a value of its own;
+a declaration with a region names the labelled language of that name, else the one before the region;
+a label ``und`` is no language; a text with two labels counts for both;
 a null host is a host of its own; ties go to the earlier language by code point;
 repeated rows are scored alike; without labelled rows every row is ``unknown``
 and kept; an empty table gives an empty result.
@@ -26,15 +30,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.llm.shared import attach, save
 
 UNKNOWN = "und"
-#: Labelled rows the text models are fitted on, and languages at most.
-SAMPLE_ROWS, MOST_LANGUAGES, LEAST_ROWS = 6_000, 32, 3
+#: Distinct texts of each language that its text model is fitted on, at most.
+SAMPLE_ROWS = 1_500
 BUCKETS = 1 << 16
+#: Trigrams of a text that are looked up in one go.
+LOOKED_UP = 1 << 14
 #: Overlapping trigrams are not independent: their evidence is divided by this.
 OVERLAP = 3.0
 #: Weight, in rows, of the smoothing towards the next level; prior of ``unknown``.
@@ -66,45 +72,60 @@ class Model:
     table: np.ndarray  # (BUCKETS, languages + 1): log-likelihoods, the last of ``unknown``
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Trigram models from rows (text, lang): a sample by hash of the text."""
-    rows = labelled.select(F.col("text").cast("string").alias("text"), F.lower(F.trim("lang")).alias("lang")).filter("text is not null and lang is not null and lang <> ''")
+def sampled(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """(text, lang): of each language the distinct texts of least hash."""
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    # only hashes are sorted; one text of each of the smallest is the sample
-    least = hashed.select("h").distinct().orderBy("h").limit(sample_rows).agg(F.max("h").alias("h")).first()["h"]
-    sample = save(hashed.filter(F.col("h") <= F.lit(least)).dropDuplicates(["h"]).select("text", "lang"), "sample")
+    # only hashes are ranked, and of each language about twice the sample
+    marks = save(hashed.select("lang", "h").distinct(), "hashes")
+    sizes = marks.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # signed order: the share of hashes below one is its distance from the least long
+    share = F.col("h") / F.lit(2.0**64) + 0.5
+    few = marks.join(F.broadcast(sizes), "lang").filter(share * F.col("n") <= 2 * sample_rows + 50)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = few.withColumn("rank", rank).filter(F.col("rank") <= sample_rows).select("lang", "h")
+    return hashed.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang")
+
+
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Trigram models from rows (text, lang): for each language a sample by hash
+    of the text."""
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.lower(F.trim("lang")).alias("lang")).filter(f"text is not null and lang is not null and lang not in ('', '{UNKNOWN}')")
 
     def count(batches):
-        totals: dict[str, np.ndarray] = {}
         for pdf in batches:
-            for text, lang in zip(pdf["text"], pdf["lang"]):
-                t = totals.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-                t[:BUCKETS] += np.bincount(trigrams(text), minlength=BUCKETS)
-                t[BUCKETS] += 1
-        # languages are few, and a sample holds no more than its rows
-        yield pd.DataFrame({"lang": list(totals), "counts": [t.tobytes() for t in totals.values()]})
-
-    found: dict[str, np.ndarray] = {}
-    best = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    known = sorted(r["lang"] for r in best.collect())
-    for r in sample.filter(F.col("lang").isin(known)).mapInPandas(count, "lang string, counts binary").collect():
-        c = np.frombuffer(r["counts"], np.int64)
-        found[r["lang"]] = found.get(r["lang"], 0) + c
-    languages = sorted(found)
-    table = np.full((BUCKETS, len(languages) + 1), -np.log(BUCKETS))
-    for i, lang in enumerate(languages):
-        c = found[lang][:BUCKETS] + 0.05
-        table[:, i] = np.log(c / c.sum())
-    return Model(languages, table.astype(np.float32))
+            for lang, texts in pdf.groupby("lang")["text"]:
+                found = np.zeros(BUCKETS, np.int64)
+                for text in texts:
+                    found += np.bincount(trigrams(text), minlength=BUCKETS)
+                # a language stays one even if its texts have no trigram
+                at = np.union1d(np.flatnonzero(found), [0])
+                yield pd.DataFrame({"lang": lang, "bucket": at, "n": found[at]})
+
+    # one row per language and bucket
+    counts = sampled(rows, sample_rows).mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(counts["lang"].unique())
+    table = np.full((BUCKETS, len(languages) + 1), -np.log(BUCKETS), np.float32)
+    for lang, part in counts.groupby("lang"):
+        c = np.full(BUCKETS, 0.05)
+        c[part["bucket"].to_numpy(np.int64)] += part["n"].to_numpy(np.float64)
+        table[:, languages.index(lang)] = np.log(c / c.sum())
+    return Model(languages, table)
 
 
 def text_evidence(model: Model, markup: bool = False):
     """A column function: tempered log-likelihoods of the text by class."""
     table = model.table
 
+    def evidence(t: str | None) -> np.ndarray:
+        grams = trigrams(t, markup)
+        total = np.zeros(table.shape[1])
+        for at in range(0, len(grams), LOOKED_UP):
+            total += table[grams[at : at + LOOKED_UP]].sum(axis=0, dtype=np.float64)
+        return total / OVERLAP
+
     @F.pandas_udf("array<double>")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([table[trigrams(t, markup)].sum(axis=0, dtype=np.float64) / OVERLAP for t in texts])
+        return pd.Series([evidence(t) for t in texts])
 
     return score
 
@@ -122,10 +143,14 @@ def _posterior(scores: Column) -> Column:
 
 def with_evidence(rows: DataFrame, model: Model, text: str, declared: str, host: str, markup: bool = False) -> DataFrame:
     """``rows`` with host, suffix, number of the declared language and evidence."""
-    said = F.regexp_extract(F.lower(F.trim(F.coalesce(F.col(declared).cast("string"), F.lit("")))), "^[a-z]+", 0)
-    number = F.when(said == "", F.lit(len(model.languages) + 1)).otherwise(F.lit(len(model.languages)))
-    for i, lang in enumerate(model.languages):
-        number = F.when(said == lang, F.lit(i)).otherwise(number)
+    said = F.lower(F.trim(F.coalesce(F.col(declared).cast("string"), F.lit(""))))
+    short = F.regexp_extract(said, "^[a-z]+", 0)
+    k = len(model.languages)
+    number = F.when(short == "", F.lit(k + 1)).otherwise(F.lit(k))
+    if model.languages:
+        names = F.array(*[F.lit(x) for x in model.languages])
+        at = [F.nullif(F.array_position(names, x), F.lit(0)) - 1 for x in (said, short)]
+        number = F.coalesce(*at, number).cast("int")
     return rows.select(
         "*",
         F.lower(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("__host"),
@@ -143,7 +168,7 @@ def priors(evidence: DataFrame, model: Model) -> tuple[DataFrame, np.ndarray]:
     soft = evidence.select("__host", "__suffix", "__said", _posterior(F.zip_with("__text", _numbers(start), lambda x, p: x + p)).alias("r"))
     cells = save(soft.groupBy("__host", "__suffix", "__said").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("r")[i]).alias(f"c{i}") for i in range(k)]), "language-sums")
     sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]
-    # at most MOST_LANGUAGES + 2 rows
+    # a row for each language and two
     said = cells.groupBy("__said").agg(*sums).collect()
     confusion = np.full((k + 1, k), 0.5)
     for r in said:
@@ -169,8 +194,9 @@ def fused(evidence: DataFrame, model: Model, hosts: DataFrame, declared: np.ndar
     else:
         rows = attach(evidence, hosts, ["__host"], "n", spread_by).drop("n")
     names = F.array(*[F.lit(x) for x in [*model.languages, UNKNOWN]])
-    by_declared = F.array(*[_numbers(row) for row in declared])
-    total = F.zip_with(F.zip_with("__text", "__prior", lambda x, p: x + p), F.get(by_declared, F.col("__said")), lambda x, p: x + p)
+    by_declared = evidence.sparkSession.createDataFrame([(i, row.tolist()) for i, row in enumerate(declared)], "__number int, __declared array<double>")
+    rows = rows.join(F.broadcast(by_declared), F.col("__said") == F.col("__number"), "left")
+    total = F.zip_with(F.zip_with("__text", "__prior", lambda x, p: x + p), "__declared", lambda x, p: x + p)
     # a text without letters is no evidence against the languages
     silent = (F.array_max("__text") == 0) & (F.array_min("__text") == 0)
     known = F.slice(total, 1, len(model.languages))

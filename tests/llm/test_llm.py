@@ -223,6 +223,31 @@ def test_language_id(spark, empty):
     assert langid.fit(empty.select("text", "lang")).languages == []
 
 
+def test_every_labelled_language_has_a_model(spark):
+    rnd = random.Random(11)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(2, 7)))
+    english = [word("abcdefghijklmnorstuvw") for _ in range(300)]
+    rows = [(i, " ".join(rnd.choices(english, k=25)), "en", f"s{i % 5}") for i in range(8_000)]
+    greek = [word("\u03b1\u03b2\u03b3\u03b4\u03b5\u03b6\u03b7\u03b8") for _ in range(30)]
+    rows += [(10_000 + i, " ".join(rnd.choices(greek, k=60)), "el" if i else "el-GR", "s1") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.fit(docs.select("text", "lang"))
+    assert model.languages == ["el", "el-gr", "en"]
+    assert langid.drop_unknown(docs, model).count() == len(rows)
+    got = langid.identify(docs.filter("doc_id >= 10000"), model, "doc_id", "text", "lang", "source").collect()
+    assert {r["doc_id"]: r["lang"] for r in got} == {10_000: "el-gr", 10_001: "el"}
+    # more languages than 32, each in a script of its own
+    many = []
+    for n in range(40):
+        words = [word([chr(0x400 + 40 * n + j) for j in range(20)]) for _ in range(20)]
+        many += [(100 * n + i, " ".join(rnd.choices(words, k=40)), "x" + "abcdefghij"[n // 10] + "abcdefghij"[n % 10], "s") for i in range(3)]
+    docs = spark.createDataFrame(many, "doc_id long, text string, lang string, source string")
+    model = langid.fit(docs.filter("doc_id % 100 < 2").select("text", "lang"))
+    assert len(model.languages) == 40
+    got = langid.identify(docs, model, "doc_id", "text", "lang", "source").collect()
+    assert {(r["doc_id"], r["lang"], r["kept"]) for r in got} == {(i, lang, True) for i, _, lang, _ in many}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
