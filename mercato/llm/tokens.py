@@ -5,7 +5,8 @@ Byte-level BPE splits a text before each single space that has a character other
 than white space after it, so the ids of a text are those of its space-led words
 one after the other. Words are encoded once per worker and looked up afterwards.
 A text in which a space is followed by more white space, or ends the text, is
-encoded whole.
+encoded whole, and so is one that holds the content of an added token, which the
+library looks for before it splits.
 """
 
 from __future__ import annotations
@@ -45,14 +46,18 @@ class Encoder:
         # the same model without the library's own word cache, which costs more than it saves here
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.tokenizer.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
-        self.tokenizer.encode_special_tokens = True
-        self.dtype = "<u2" if max(model["vocab"].values()) < 1 << 16 else "<u4"
+        vocab = self.tokenizer.get_vocab()  # with the added tokens
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.dtype = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
         self.cache_words = cache_words
         self.later: dict[str, bytes] = {}  # ids of words with the space before them
-        spaced = [i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]
+        spaced = [i for t, i in vocab.items() if t.startswith("\u0120")]
         self.spaced = np.zeros(max(spaced) + 2, bool)  # ids of tokens that begin with a space
         self.spaced[spaced] = True
 
+    def has_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
@@ -67,9 +72,11 @@ class Encoder:
         out: list[bytes] = []
         for at in range(0, len(words), JOINED_WORDS):
             part = words[at : at + JOINED_WORDS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            joined = " " + " ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.spaced[np.minimum(ids, len(self.spaced) - 1)])
-            if len(cuts) == len(part):
+            # words of different texts may only together make an added token
+            if len(cuts) == len(part) and not self.has_added(joined):
                 raw, cuts = ids.tobytes(), (ids.itemsize * np.append(cuts, len(ids))).tolist()
                 out.extend(raw[a:b] for a, b in zip(cuts, cuts[1:]))
             else:
@@ -77,7 +84,8 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        held = [self.has_added(t) for t in texts]
+        split = [[""] if h else t.split(" ") for t, h in zip(texts, held)]
         ids = {w: self.later.get(w) for w in set(itertools.chain.from_iterable(w[1:] for w in split))}
         new = [w for w, x in ids.items() if x is None]
         cut = [w for w in new if w and not w[0].isspace()]
@@ -86,8 +94,8 @@ class Encoder:
         self.later.update(itertools.islice(found.items(), max(0, self.cache_words - len(self.later))))
         odd = {w for w in new if w not in found}  # a space beside other white space
         out: list[bytes] = []
-        for text, words, first in zip(texts, split, self.whole([w[0] for w in split])):
-            if odd and not odd.isdisjoint(words[1:]):
+        for text, h, words, first in zip(texts, held, split, self.whole([w[0] for w in split])):
+            if h or (odd and not odd.isdisjoint(words[1:])):
                 out.append(self.whole([text])[0])
             else:
                 out.append(first + b"".join(map(ids.__getitem__, words[1:])))

@@ -164,6 +164,32 @@ def test_encoder_equals_the_library():
     assert enc.encode(odd) == [enc.whole([t])[0] for t in odd] == enc.encode(odd)
 
 
+def test_added_tokens_as_the_plain_library(spark, tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"x{end}y", end, f"{end}{end}", f"a {end} b", f"one{end} two  {end}", f" {end}", "<|endoftext |>", "plain text", "", "x ab", "ab cd", "b c", "a b\u00e9 c"]
+    path = tokens.default_vocabulary()
+    plain = Tokenizer.from_file(path)
+    ids = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [87, 50256, 88]
+    enc = tokens.Encoder(path)
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == ids
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = work_path(spark, "tokens")
+    token_files.write_token_files(df, out)
+    got = token_files.read_token_files(spark, out).orderBy("start").collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [[*x, token_files.END_ID] for x in ids]
+    assert [r["start"] for r in got] == [0, *np.cumsum([len(x) + 1 for x in ids]).tolist()][:-1]
+    assert {r["doc_id"]: r["n"] for r in packing.pack(df).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {i: len(x) + 1 for i, x in enumerate(ids)}
+    # an added token beyond two bytes' ids, with a space inside
+    plain.add_tokens([f"<extra{i}>" for i in range(15_300)] + [AddedToken("b c", normalized=False)])
+    plain.save(str(tmp_path / "more.json"))
+    enc = tokens.Encoder(str(tmp_path / "more.json"))
+    texts += ["x <extra15299> y", "x b", "y c", "a b c d"]
+    assert enc.dtype == "<u4" and [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs).collect()
     assert sum(r["length"] for r in got) == sum(len(tokens.Encoder(tokens.default_vocabulary()).whole([r[1] or ""])[0]) // 2 + 1 for r in corpus())
