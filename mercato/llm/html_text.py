@@ -4,8 +4,11 @@ A page is parsed into a tree; parts that are never article text (scripts, menus,
 forms, and whatever names itself an advert, a notice, a sidebar or a comment
 list) are left out. Every paragraph passes points for its length and its commas
 to its ancestors, halved with each step; a container's points are discounted by
-its link density. The best container is kept, and of its siblings those with a
-fair share of its points or with plain prose.
+its link density. An article or main element around the best container is kept, and
+of its siblings those with a fair share of its points or with plain prose.
+Without one, the highest ancestor that has paragraphs or headings besides the
+best container is kept whole but for the blocks beside it that are mostly links.
+A form that holds most of the page's text outside links is no form but the page.
 
 Defined cases: a null or empty page has an empty text; a page without any
 paragraph falls back to the whole body under the same exclusions; unclosed and
@@ -25,11 +28,12 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never article text.
 SKIPPED = frozenset("script style noscript template head title iframe object svg math canvas audio video map nav footer aside form button select textarea input label fieldset dialog menu".split())
-BLOCKS = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+BLOCKS = frozenset("address article blockquote body center dd details div dl dt figcaption figure form h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: An open p ends where one of these begins.
 ENDS_P = BLOCKS | {"form", "nav", "aside", "footer", "fieldset", "menu"}
 #: What an element of the key's name closes if it is open, up to a boundary.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("body html div article section main td blockquote center".split())
 #: Words in a class or id that mark what is not the article ...
@@ -55,7 +59,8 @@ class Node:
 
 
 def unlikely(name: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
-    if name in SKIPPED or (name == "header" and not inside_article):
+    # whether a form is left out depends on the whole page
+    if (name in SKIPPED and name != "form") or (name == "header" and not inside_article):
         return True
     for key, value in attrs:
         value = value or ""
@@ -133,6 +138,20 @@ def walk(root: Node) -> list[Node]:
     return out
 
 
+def skip_forms(root: Node) -> None:
+    """Leave out the forms that hold at most half of the text outside links."""
+    nodes = walk(root)
+    if not any(n.name == "form" for n in nodes):
+        return
+    text: dict[int, int] = {}
+    for node in reversed(nodes):
+        inside = sum(len(c.strip()) if isinstance(c, str) else text.get(id(c), 0) for c in node.children)
+        text[id(node)] = 0 if node.name == "a" else inside
+    for node in nodes:
+        if node.name == "form" and 2 * text[id(node)] <= text[id(root)]:
+            node.skip = True
+
+
 def score(nodes: list[Node]) -> None:
     for node in nodes:
         node.size = sum(len(c.strip()) for c in node.children if isinstance(c, str))
@@ -165,14 +184,52 @@ def density(node: Node) -> float:
     return node.links / node.size if node.size else 0.0
 
 
+def runs(node: Node) -> Iterator[tuple[list[Node | str], int, int]]:
+    """The children that are left: blocks one by one, what is between them
+    together; with their text and link sizes."""
+    held: list[Node | str] = []
+    size = links = 0
+    for c in node.children:
+        if isinstance(c, Node) and c.skip:
+            continue
+        if isinstance(c, Node) and c.name in BLOCKS:
+            if held:
+                yield held, size, links
+            yield [c], c.size, c.links
+            held, size, links = [], 0, 0
+        else:
+            held.append(c)
+            size += len(c.strip()) if isinstance(c, str) else c.size
+            links += 0 if isinstance(c, str) else c.links
+    if held:
+        yield held, size, links
+
+
+def around(best: Node) -> Node:
+    """The highest ancestor of ``best`` with paragraphs or headings besides it;
+    blocks beside the way there that are mostly links are taken out."""
+    top = node = best
+    while node.parent is not None:
+        up, others = node.parent, []
+        for items, size, links in runs(up):
+            if node in items:
+                others.append(items)
+            elif 2 * links < size or not size or (isinstance(items[0], Node) and items[0].name in HEADINGS):
+                others.append(items)
+                beside = [n for c in items if isinstance(c, Node) for n in walk(c)]
+                if any(n.name in PARAGRAPHS and n.size and (n.name in HEADINGS or 2 * n.links < n.size) for n in beside):
+                    top = up
+        up.children = [c for items in others for c in items]
+        node = up
+    return top
+
+
 def kept(root: Node, nodes: list[Node]) -> list[Node]:
     """The best container, with its siblings that belong to the article."""
     # the outermost of equals, so that a wrapper around the article counts too
     best = max(nodes, key=lambda n: n.points * (1 - density(n)), default=root)
     if best.points <= 0:
         return [root]
-    if best.parent is None:
-        return [best]
     # an article element around the best container is the article
     up = best
     while up is not None:
@@ -180,8 +237,8 @@ def kept(root: Node, nodes: list[Node]) -> list[Node]:
             best = up
             break
         up = up.parent
-    if best.parent is None:
-        return [best]
+    if up is None:
+        return [around(best)]
     least = max(10.0, 0.2 * best.points)
     out = []
     for c in best.parent.children:
@@ -227,6 +284,7 @@ def main_text(html: str | None) -> str:
     builder = Builder()
     builder.feed(html)
     builder.close()
+    skip_forms(builder.root)
     nodes = walk(builder.root)
     score(nodes)
     return "\n".join(t for n in kept(builder.root, nodes) for t in blocks(n))

@@ -237,6 +237,26 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == "" and html_text.main_text("plain") == "plain"
 
 
+LONG = "A long section, with commas, clauses, and so on, that goes on for a while, as prose does. " * 20
+LINKS = '<ul><li><a href="/1">One other page</a></li><li><a href="/2">Two other pages</a></li></ul>'
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<div class=post><h1>Title</h1><div class=text><p>First, it is a paragraph.</p><p>Second, it is another one.</p></div></div>", ["Title", "First, it is a paragraph.", "Second, it is another one."]),
+        (f"<div>{LINKS}<div><p>{LONG}</p><p>{LONG}</p></div><div><p>A short section, but a section.</p></div>{LINKS}</div>", [LONG.strip(), LONG.strip(), "A short section, but a section."]),
+        (f"<div><div><p>{LONG}</p></div>Bare <a href=x>text</a> here.<h3>List</h3><ul><li>x</li><li>y</li></ul><table><tr><td>1</td><td>2</td></tr></table><pre>code</pre><p>End.</p></div>", [LONG.strip(), "Bare text here.", "List", "x", "y", "1", "2", "code", "End."]),
+        (f"<h1><a href=/>Linked title</a></h1><div><div><p>{LONG}</p></div></div><div><a href=/a>Home</a> | <a href=/b>About us</a></div>", ["Linked title", LONG.strip()]),
+        (f"<form id=aspnet><h2>Intro</h2><div>Words, in a form.</div><div><p>{LONG}</p><p>Last.</p></div><input value=x><button>Go</button></form>", ["Intro", "Words, in a form.", LONG.strip(), "Last."]),
+        (f"<div><p>{LONG}</p></div><form><p>Write to us, if you like, with your name.</p><label>Name</label></form>", [LONG.strip()]),
+    ],
+)
+def test_html_without_article(body, want):
+    page = f"<html><body><nav>{LINKS}</nav>{body}<div class=sidebar><p>Aside, and more, aside.</p></div><footer><p>Foot, of the page.</p></footer></body></html>"
+    assert html_text.main_text(page).split("\n") == want
+
+
 def test_language_id(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs.filter("doc_id % 2 = 0").select("text", "lang"), 200)
