@@ -152,7 +152,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         from pyspark import TaskContext
 
         enc, marks = encoder(path), sentence_end_ids(path)
-        end = np.array([end_id], enc.dtype).tobytes()
         packer = Packer(TaskContext.get().partitionId() << 36, marks, window)
 
         def table(pieces: list[tuple]) -> pa.RecordBatch:
@@ -161,7 +160,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
         for batch in batches:
             for ids, texts in in_batches(batch.column(0), batch.column(1)):
-                yield table(packer.add(ids.to_pylist(), [x + end for x in enc.encode(texts)], dtype=enc.dtype))
+                yield table(packer.add(ids.to_pylist(), enc.encode(texts, end_id), dtype=enc.dtype))
         yield table(packer.add([], [], last=True))
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)

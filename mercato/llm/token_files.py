@@ -70,11 +70,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 def _encode(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = np.array([end_id], enc.dtype).tobytes()
+        width = np.dtype(enc.dtype).itemsize
         for batch in batches:
             for ids, texts in in_batches(batch.column(0), batch.column(1)):
-                coded = [x + end for x in enc.encode(texts)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(coded, pa.binary()), pa.array([len(x) // len(end) for x in coded], pa.int64())], ["doc_id", "ids", "n"])
+                coded = enc.encode(texts, end_id)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(coded, pa.binary()), pa.array([len(x) // width for x in coded], pa.int64())], ["doc_id", "ids", "n"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n long")
 

@@ -1,28 +1,28 @@
 """Token ids by a public vocabulary, through the tokenizers library.
 
 The library encodes; this module saves it from encoding the same word again.
-Byte-level BPE splits a text before each single space that has a character other
-than white space after it, so the ids of a text are those of its space-led words
-one after the other. Words are encoded once per worker and looked up afterwards.
-A text in which a space is followed by more white space, or ends the text, is
-encoded whole, and so is one that holds the content of an added token, which the
-library looks for before it splits.
+Byte-level BPE splits a text before white space that follows a word, so the ids of
+a text are those of its pieces (see :mod:`mercato.llm.words`) one after the other.
+Pieces are encoded once per worker and looked up afterwards, many at a time. A text
+that holds the content of an added token, which the library looks for before it
+splits, is encoded whole.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import os
+import re
+
+import numpy as np
+
+from mercato.llm.words import MOST_WORDS, Words, joined, pieces
 
-#: Words a worker remembers (about 20 MB); when full, rarer ones are encoded
-#: once for each batch they occur in.
-CACHE_WORDS = 100_000
 #: Text that is encoded in one go.
-BATCH_BYTES = 2 << 20
-#: Words that go through the library in one string.
-JOINED_WORDS = 10_000
+BATCH_BYTES = 1 << 20
+#: Pieces that go through the library in one string.
+JOINED_PIECES = 10_000
 
 
 def default_vocabulary() -> str:
@@ -31,75 +31,96 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def bpe_tokenizer(path: str):
+    """The tokenizer of ``path`` without the library's own word cache, which costs
+    more than it saves here."""
+    from tokenizers import Tokenizer
+    from tokenizers.models import BPE
+
+    found = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    found.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+    return found
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned bytes, two an id if the vocabulary
-    allows it, else four (``dtype``)."""
-
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        import numpy as np
-        from tokenizers import Tokenizer
-        from tokenizers.models import BPE
-
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        # the same model without the library's own word cache, which costs more than it saves here
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.tokenizer.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+    allows it, else four (``dtype``). With ``plain`` the contents of added tokens
+    are ordinary text."""
+
+    def __init__(self, path: str, most_words: int = MOST_WORDS, plain: bool = False):
+        self.tokenizer = bpe_tokenizer(path)
+        self.tokenizer.encode_special_tokens = plain
         vocab = self.tokenizer.get_vocab()  # with the added tokens
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.any_added = re.compile(b"|".join(re.escape(t.encode()) for t in self.added)) if self.added else None
         self.dtype = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
-        self.cache_words = cache_words
-        self.later: dict[str, bytes] = {}  # ids of words with the space before them
-        spaced = [i for t, i in vocab.items() if t.startswith("\u0120")]
-        self.spaced = np.zeros(max(spaced) + 2, bool)  # ids of tokens that begin with a space
+        self.words = Words([self.dtype], most_words)
+        spaced = [i for t, i in vocab.items() if t.startswith("Ġ")]
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that begin with a space
         self.spaced[spaced] = True
 
-    def has_added(self, text: str) -> bool:
-        return any(t in text for t in self.added)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words, each with a space before it: they are joined, and the
-        ids are cut again before each token that begins with a space."""
-        import numpy as np
-
-        out: list[bytes] = []
-        for at in range(0, len(words), JOINED_WORDS):
-            part = words[at : at + JOINED_WORDS]
-            joined = " " + " ".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            cuts = np.flatnonzero(self.spaced[np.minimum(ids, len(self.spaced) - 1)])
-            # words of different texts may only together make an added token
-            if len(cuts) == len(part) and not self.has_added(joined):
-                raw, cuts = ids.tobytes(), (ids.itemsize * np.append(cuts, len(ids))).tolist()
-                out.extend(raw[a:b] for a, b in zip(cuts, cuts[1:]))
-            else:
-                out.extend(self.whole([" " + w for w in part]))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        held = [self.has_added(t) for t in texts]
-        split = [[""] if h else t.split(" ") for t, h in zip(texts, held)]
-        ids = {w: self.later.get(w) for w in set(itertools.chain.from_iterable(w[1:] for w in split))}
-        new = [w for w, x in ids.items() if x is None]
-        cut = [w for w in new if w and not w[0].isspace()]
-        found = dict(zip(cut, self._words(cut)))
-        ids.update(found)
-        self.later.update(itertools.islice(found.items(), max(0, self.cache_words - len(self.later))))
-        odd = {w for w in new if w not in found}  # a space beside other white space
-        out: list[bytes] = []
-        for text, h, words, first in zip(texts, held, split, self.whole([w[0] for w in split])):
-            if h or (odd and not odd.isdisjoint(words[1:])):
-                out.append(self.whole([text])[0])
-            else:
-                out.append(first + b"".join(map(ids.__getitem__, words[1:])))
-        return out
+        return [np.array(x.ids, dtype=self.dtype) for x in found]
+
+    def _spaced(self, part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each with one space before it, and how many each has:
+        they are joined, and the ids are cut again before each token that begins
+        with a space."""
+        raw = b"".join(part)
+        ids = self.whole([raw.decode(errors="replace")])[0]
+        cuts = np.flatnonzero(self.spaced[ids])
+        # words of different texts may only together make an added token
+        if len(cuts) == len(part) and not (self.any_added and self.any_added.search(raw)):
+            return ids, np.diff(np.append(cuts, len(ids)))
+        return self._each(part)
+
+    def _each(self, part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.whole([p.decode(errors="replace") for p in part])
+        return np.concatenate([np.zeros(0, self.dtype), *found]), np.array([len(x) for x in found], np.int64)
+
+    def pieces_ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces one after the other, how many each has)."""
+        single = [i for i, p in enumerate(parts) if p[:1] == b" " and p[1:2] > b" " and len(p.split(None, 1)) == 1]
+        spaced = set(single)
+        other = [i for i in range(len(parts)) if i not in spaced]
+        found = [self._spaced([parts[i] for i in single[at : at + JOINED_PIECES]]) for at in range(0, len(single), JOINED_PIECES)]
+        found.append(self._each([parts[i] for i in other]))
+        ids, size = (np.concatenate(x) for x in zip(*found))
+        if not single or not other:
+            return ids, size
+        # back to the order of ``parts``
+        begin, order = np.cumsum(size) - size, np.argsort(np.array(single + other))
+        size, begin = size[order], begin[order]
+        return ids[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(len(ids))], size
+
+    def _make(self, parts: list[bytes]):
+        return [self.pieces_ids(parts)]
+
+    def arrays(self, texts, before: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many each has). ``texts`` is
+        a list of strings or an Arrow column; null is empty."""
+        buf, at = joined(texts, before)
+        begin = pieces(buf, at)
+        ids, size = self.words.gather(0, self.words.numbers(buf, begin, self._make))
+        ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begin, at)]
+        if self.any_added and (raw := buf.tobytes()) and (found := [m.start() for m in self.any_added.finditer(raw)]):
+            held = np.unique(np.searchsorted(at, found, "right") - 1).tolist()
+            split = [ids[a:b] for a, b in zip(ends, ends[1:])]
+            for i, x in zip(held, self.whole([raw[at[i] : at[i + 1]].decode(errors="replace") for i in held])):
+                split[i] = x
+            return np.concatenate(split), np.array([len(x) for x in split], np.int64)
+        return ids, np.diff(ends)
+
+    def encode(self, texts, end_id: int | None = None) -> list[bytes]:
+        """The ids of each text, with ``end_id`` after them if given."""
+        ids, sizes = self.arrays(texts)
+        end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
+        raw, ends = ids.tobytes(), (np.cumsum(sizes) * ids.itemsize).tolist()
+        return [raw[a:b] + end for a, b in zip([0, *ends], ends)]
 
 
 @functools.cache
@@ -109,17 +130,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_batches(ids, texts, most: int = BATCH_BYTES):
-    """(ids, texts) of consecutive rows with about ``most`` bytes together; null
-    texts are empty. Both are Arrow columns and are turned into Python objects
-    slice by slice."""
+def in_batches(ids, texts, most: int = BATCH_BYTES, rows: int = 1 << 16):
+    """(ids, texts) of consecutive rows, as slices of both Arrow columns, with about
+    ``most`` bytes and at most ``rows`` rows together."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     at, total = 0, 0
     for i, n in enumerate([*sizes, 0]):
-        if i == len(sizes) or (total and total + n > most):
+        if i == len(sizes) or (total and total + n > most) or i - at == rows:
             if i > at:
-                yield ids.slice(at, i - at), ["" if t is None else t for t in texts.slice(at, i - at).to_pylist()]
+                yield ids.slice(at, i - at), texts.slice(at, i - at)
             at, total = i, 0
         total += n

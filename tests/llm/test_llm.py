@@ -5,13 +5,16 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from mercato.llm import bitsliced, exact_dedup, html_text, langid, mixing, packing, sharding, simhash, suffix_dedup, token_files, tokens
 from mercato.llm.shared import work_path
@@ -142,8 +145,8 @@ def test_token_files(spark, docs, empty):
     path = work_path(spark, "tokens")
     token_files.write_token_files(docs, path)
     got = token_files.read_token_files(spark, path).orderBy("start").collect()
-    enc = tokens.Encoder(tokens.default_vocabulary())
-    want = Counter((r[0], np.append(np.frombuffer(enc.whole([r[1] or ""])[0], enc.dtype), 2).astype("<u4").tobytes()) for r in corpus())
+    plain = Tokenizer.from_file(tokens.default_vocabulary())
+    want = Counter((r[0], np.array(plain.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for r in corpus())
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == want
     ids = [r["doc_id"] for r in got]
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
@@ -159,13 +162,26 @@ def test_rank_coding_round_trip():
 
 
 def test_encoder_equals_the_library():
-    enc = tokens.Encoder(tokens.default_vocabulary(), cache_words=3)
-    odd = ["", " ", "  ", "a ", " a", "a  b", "a\n b", "a\n \nb", "x\u00a0 y", "don't 12 34\t\tq", "<|endoftext|> z"] + [r[1] or "" for r in corpus()]
-    assert enc.encode(odd) == [enc.whole([t])[0] for t in odd] == enc.encode(odd)
+    """Random texts of every kind of white space, added tokens and scripts, as
+    strings and as Arrow columns, with a table that is full all the time."""
+    plain = Tokenizer.from_file(tokens.default_vocabulary())
+    ids = lambda texts: [np.array(x.ids, "<u2").tobytes() for x in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    enc = tokens.Encoder(tokens.default_vocabulary(), most_words=60)
+    odd = ["", " ", "  ", "a ", " a", "a  b", "a\n b", "a\n \nb", "x\u00a0 y", "don't 12 34\t\tq", "<|endoftext|> z", None] + [r[1] for r in corpus()]
+    assert enc.encode(odd) == ids(odd) == enc.encode(pa.array(odd))
+    rnd = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\u2003", "\x1c", "\x0b", "\x0c", "\u0085", "a", "b", "don", "'s", "'re", "1", "23", "\u00e9"]
+    parts += ["\u00df", "\u4e2d\u6587", "!", "...", "<|endoftext|>", "<|endo", "ftext|>", "\u2581", "x\u0301", "\U0001f600", "\0", "longword" * 6]
+    for n in range(120):
+        texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(40)]
+        assert enc.encode(texts) == ids(texts)
+        column = pa.array([*texts, None]).slice(n % 40)
+        assert enc.encode(column, 2) == [x + b"\2\0" for x in ids(column.to_pylist())]
+    assert enc.words.kept <= 60 and tokens.Encoder(tokens.default_vocabulary()).encode(pa.array([], pa.string())) == []
 
 
 def test_added_tokens_as_the_plain_library(spark, tmp_path):
-    from tokenizers import AddedToken, Tokenizer
+    from tokenizers import AddedToken
 
     end = "<|endoftext|>"
     texts = [f"x{end}y", end, f"{end}{end}", f"a {end} b", f"one{end} two  {end}", f" {end}", "<|endoftext |>", "plain text", "", "x ab", "ab cd", "b c", "a b\u00e9 c"]
@@ -191,13 +207,29 @@ def test_added_tokens_as_the_plain_library(spark, tmp_path):
 
 
 def test_packing(docs, empty):
+    """Every id of every document, encoded by the plain library, in exactly one
+    piece; sequences without gaps, of at most 1024 ids, little padded."""
     got = packing.pack(docs).collect()
-    assert sum(r["length"] for r in got) == sum(len(tokens.Encoder(tokens.default_vocabulary()).whole([r[1] or ""])[0]) // 2 + 1 for r in corpus())
-    at: dict = {}
+    plain = Tokenizer.from_file(tokens.default_vocabulary())
+    ids = {}
+    for i, (key, text, *_) in enumerate(corpus()):
+        ids[i] = key, np.array(plain.encode(text or "", add_special_tokens=False).ids + [packing.END_ID], "<u4")
+    copies = Counter((key, len(x)) for key, x in ids.values())  # a repeated id has the same text here
+    covered = {k: np.zeros(k[1], int) for k in copies}
+    held = {(key, len(x)): x for key, x in ids.values()}
+    for r in got:
+        k, part = (r["doc_id"], r["doc_tokens"]), slice(r["start"], r["start"] + r["length"])
+        covered[k][part] += 1
+        assert r["length"] > 0 and r["ids_crc32"] == zlib.crc32(held[k][part].tobytes())
+    assert all((covered[k] == n).all() for k, n in copies.items())
+    at = {}
     for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == at.get(r["sequence_id"], 0)
         at[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(at.values()) <= 1024 and packing.pack(empty).count() == 0
+    # the order of a task's rows is the order of its pieces
+    one = packing.pack(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).coalesce(1).sortWithinPartitions("doc_id")).collect()
+    assert [(r["doc_id"], r["start"]) for r in sorted(one, key=lambda r: (r["sequence_id"], r["offset"]))] == sorted((r["doc_id"], r["start"]) for r in one)
 
 
 def test_cuts_cost_the_least():
