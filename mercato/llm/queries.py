@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.llm.alignment import align
 from mercato.llm.bitsliced import top_k
 from mercato.llm.exact_dedup import exact_dedup
 from mercato.llm.html_text import extract
@@ -78,6 +79,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(read_table(spark, sf_dir, "documents")).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bitsliced_topk": op2_bitsliced_topk,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_html_text": op10_html_text,
+    "op11_spill_alignment": op11_spill_alignment,
 }
 
 ORACLE_SQL = {

@@ -19,7 +19,8 @@ MOST_WORDS = 1 << 19
 _FIRST = 1 << 14
 
 _BYTES = np.arange(256)
-_CUT = np.isin(_BYTES, [9, 10, 13, 32])
+#: Where a piece may begin; not at a carriage return, which pieces of some vocabularies end with.
+_CUT = np.isin(_BYTES, [9, 10, 32])
 #: Bytes that are never part of a white-space character.
 _SOLID = (_BYTES > 32) & (_BYTES < 128)
 #: First bytes of a character that is surely no white space (U+0085, U+00A0, U+1680,
