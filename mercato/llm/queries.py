@@ -23,6 +23,7 @@ from mercato.llm.sharding import shard
 from mercato.llm.simhash import simhash_dedup
 from mercato.llm.suffix_dedup import remove_repeats
 from mercato.llm.token_files import read_token_files, write_token_files
+from mercato.llm.whitening import components_of, whiten
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,10 @@ def op11_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(read_table(spark, sf_dir, "documents")).withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components_of(*whiten(read_table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bitsliced_topk": op2_bitsliced_topk,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_html_text": op10_html_text,
     "op11_spill_alignment": op11_spill_alignment,
+    "op13_block_whitening": op13_block_whitening,
 }
 
 ORACLE_SQL = {
