@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,3 +96,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="mercato-ckpt-"))
     return sc.getCheckpointDir()
 
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the workers of ``spark``, once for each application, as
+    ``--py-files`` would: a driver may have imported it from a folder that they do
+    not know. Spark copies the file to them; nothing reads it from the driver's disk."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's workers have what it gives them
+        return
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(here)
+    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in sorted(os.walk(here)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    out.write(full, os.path.join(name, os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
