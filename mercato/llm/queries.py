@@ -18,11 +18,13 @@ from mercato.llm.html_text import extract
 from mercato.llm.langid import fit, identify
 from mercato.llm.mixing import mix_plan
 from mercato.llm.packing import pack
-from mercato.llm.shared import read_table, work_path
+from mercato.llm.shared import read_table, shipped, work_path
 from mercato.llm.sharding import shard
 from mercato.llm.simhash import simhash_dedup
 from mercato.llm.suffix_dedup import remove_repeats
 from mercato.llm.token_files import read_token_files, write_token_files
+from mercato.llm.toxicity import fit as fit_lexicon
+from mercato.llm.toxicity import score
 from mercato.llm.whitening import components_of, whiten
 
 
@@ -84,24 +86,34 @@ def op11_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(read_table(spark, sf_dir, "documents")).withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id has a CRC-32 divisible by 5 are held out of the fit."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+    lexicon = fit_lexicon(docs.filter(~held_out), labels.filter(~held_out))
+    return score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_of(*whiten(read_table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_suffix_dedup": op1_suffix_dedup,
-    "op2_bitsliced_topk": op2_bitsliced_topk,
-    "op3_source_mixing": op3_source_mixing,
-    "op4_token_files": op4_token_files,
-    "op5_order_packing": op5_order_packing,
-    "op6_stratified_shards": op6_stratified_shards,
-    "op7_language_id": op7_language_id,
-    "op8_exact_dedup": op8_exact_dedup,
-    "op9_simhash": op9_simhash,
-    "op10_html_text": op10_html_text,
-    "op11_spill_alignment": op11_spill_alignment,
-    "op13_block_whitening": op13_block_whitening,
-}
+_OPERATORS = (
+    op1_suffix_dedup,
+    op2_bitsliced_topk,
+    op3_source_mixing,
+    op4_token_files,
+    op5_order_packing,
+    op6_stratified_shards,
+    op7_language_id,
+    op8_exact_dedup,
+    op9_simhash,
+    op10_html_text,
+    op11_spill_alignment,
+    op12_toxicity,
+    op13_block_whitening,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in _OPERATORS}
 
 ORACLE_SQL = {
     "op2_bitsliced_topk": """

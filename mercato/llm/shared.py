@@ -3,12 +3,14 @@ survive a hot key."""
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.session import checkpoint_dir
+from mercato.session import checkpoint_dir, ship_package
 
 #: Keys that ``attach`` treats as hot: the largest groups, whatever their size.
 #: Beyond the 1,000 largest no key can hold more than a thousandth of the rows.
@@ -17,6 +19,17 @@ HOT_KEYS = 1_000
 SPREAD = 64
 
 
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``query(spark, ...)``, run after the workers have got this package."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        ship_package(spark)
+        return query(spark, *args)
+
+    return run
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
