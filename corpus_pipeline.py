@@ -13,7 +13,7 @@ from mercato.llm.exact_dedup import drop_exact_duplicates
 from mercato.llm.langid import drop_unknown, fit
 from mercato.llm.mixing import mix
 from mercato.llm.packing import pack
-from mercato.llm.shared import read_table, save
+from mercato.llm.shared import read_table, save, shipped
 from mercato.llm.simhash import drop_near_duplicates
 
 
@@ -37,13 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [
-    ("language_id", language_id),
-    ("exact_dedup", exact_dedup),
-    ("simhash_dedup", simhash_dedup),
-    ("source_mixing", source_mixing),
-    ("packing", packing),
-]
+STAGES = [(f.__name__, shipped(f)) for f in (language_id, exact_dedup, simhash_dedup, source_mixing, packing)]
 
 #: Trained models, fingerprints and token ids are beyond SQL; the tests compare
 #: each stage with a brute-force version instead.
