@@ -7,18 +7,19 @@ of the key: every distinct timestamp ``t`` with multiplicity ``m`` contributes
 ``(previous distinct timestamp, t)`` once (if there is an earlier one) and
 ``(t, t)`` ``m - 1`` times. So:
 
-1. collapse rows to distinct ``(key, ts)`` with multiplicity (map-side combine);
-2. one window pass partitioned by ``(key, day)`` gives the previous timestamp
-   inside the day and the day's last timestamp; its partitions are bounded by the
-   distinct timestamps of one key in one day, not by the key's history. This
-   table is checkpointed (shared ``spark.checkpoint.dir``): the three outputs
-   below all read it, so the upstream joins run once and lineage is cut (without
-   such a folder, or with ``checkpoint=False``, they run from lineage);
-3. for the first timestamp of a day, the previous one is the last timestamp of
-   the key's previous active day: a LAG over one row per (key, day), bounded by
-   the calendar span;
+1. collapse rows to distinct ``(key, ts)`` with multiplicity (map-side combine): one
+   shuffle, which all that follows reads;
+2. one window pass partitioned by ``(key, day)`` gives the previous timestamp inside
+   the day; its partitions are bounded by the distinct timestamps of one key in one
+   day, not by the key's history;
+3. the first timestamp of a day gets a carry: each (key, day) is one row with its
+   first and last timestamp, and a LAG over those rows, bounded by the calendar span,
+   hands the last one on to the key's next day;
 4. the ``m - 1`` repeats are generated in chunks of at most ``chunk`` rows, and
    the chunks are spread by a shuffle, so no single row expands without bound.
+
+Nothing is checkpointed and no job runs while the plan is built: the three outputs
+have the same aggregate below them, column for column, so Spark runs it once.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.session import cut_lineage
-
 DEFAULT_CHUNK = 4096
 
 
@@ -37,7 +36,6 @@ def previous_event(
     ts: str,
     prev: str = "previous",
     chunk: int = DEFAULT_CHUNK,
-    checkpoint: bool = True,
 ) -> DataFrame:
     """Rows ``(key, prev, ts)`` with ``prev`` not NULL, as ``LAG`` followed by
     ``WHERE prev IS NOT NULL`` gives: one per input row except each key's first.
@@ -48,27 +46,27 @@ def previous_event(
     """
     known = df.where(F.col(ts).isNotNull())
     distinct = known.groupBy(key, ts).agg(F.count(F.lit(1)).alias("_m"))
-    day = Window.partitionBy(key, "_day")
-    per_day = (
-        distinct.withColumn("_day", F.to_date(ts))
-        .withColumn("_prev_in_day", F.lag(ts).over(day.orderBy(ts)))
-        .withColumn("_day_last", F.max(ts).over(day))
+    # every reader keeps the count, so that all have the same aggregate below them
+    day = Window.partitionBy(key, "_day").orderBy(ts)
+    within_day = (
+        distinct.where(F.col("_m") > 0)
+        .withColumn("_day", F.to_date(ts))
+        .withColumn(prev, F.lag(ts).over(day))
+        .where(F.col(prev).isNotNull())
+        .select(key, prev, ts)
     )
-    per_day = cut_lineage(per_day, checkpoint)
 
-    within_day = per_day.where(F.col("_prev_in_day").isNotNull()).select(
-        key, F.col("_prev_in_day").alias(prev), ts
+    days = distinct.groupBy(key, F.to_date(ts).alias("_day")).agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_m").alias("_rows")
     )
-
-    by_day = Window.partitionBy(key).orderBy("_day")
     day_starts = (
-        per_day.where(F.col("_prev_in_day").isNull())
-        .withColumn(prev, F.lag("_day_last").over(by_day))
+        days.where(F.col("_rows") > 0)
+        .withColumn(prev, F.lag("_last").over(Window.partitionBy(key).orderBy("_day")))
         .where(F.col(prev).isNotNull())
-        .select(key, prev, ts)
+        .select(key, prev, F.col("_first").alias(ts))
     )
 
-    repeated = per_day.where(F.col("_m") > 1).withColumn("_extra", F.col("_m") - 1)
+    repeated = distinct.where(F.col("_m") > 1).withColumn("_extra", F.col("_m") - 1)
     n_chunks = F.ceil(F.col("_extra") / F.lit(chunk)).cast("int")
     chunks = repeated.select(
         key, ts, "_extra", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("_c")

@@ -1,24 +1,22 @@
 """Ranking operators that keep a global order without a single-partition window.
 
 ``dense_rank().over(Window.orderBy(v))`` with no partition key moves every row
-into one task (``Exchange SinglePartition``). :func:`bucketed_dense_rank` gives
-the same numbers with the work spread over range buckets of the value:
-
-1. the input is checkpointed (shared ``spark.checkpoint.dir``) so the steps below
-   re-read it instead of recomputing its joins, and lineage is cut (without such a
-   folder, or with ``checkpoint=False``, they run from the input's lineage);
-2. the distinct values are cut into buckets at approximate quantiles (one small
-   driver round trip for the bucket edges) -- the bucket is a pure function of
-   the value, so equal values never split;
-3. inside each bucket the distinct values get a local dense rank (a window
-   partitioned by bucket, over *distinct* values, so a value held by a third of
-   all rows is still a single row here);
-4. each bucket's offset is the number of distinct values in the buckets before
-   it: a prefix sum over one row per bucket, joined back by broadcast (the side
-   has at most ``buckets + 1`` rows);
-5. rows get their rank by an equi-join on the value. A hot value is one skewed
-   join key; AQE's skew-join split handles it (the ranked side has one row per
-   value).
+into one task (``Exchange SinglePartition``). :func:`global_dense_rank` gives the same
+numbers in two passes over the distinct values:
+
+1. every distinct value has a whole-number key that never falls as the value rises (the
+   amount in its smallest unit for decimals, the day for dates, ...). Values whose keys
+   agree but for the lowest bits form a block and get a local dense rank in a window
+   partitioned by the block, so a value held by a third of all rows is one row here and
+   a block of whole numbers never has more than ``2**FAN_BITS`` values;
+2. the blocks' counts are summed up by :func:`mercato.operators.prefix.exclusive_sums`;
+   local rank plus the count of the blocks before is the rank, and rows get it by an
+   equi-join on the value. A hot value is one skewed join key; AQE's skew-join split
+   handles it (the ranked side has one row per value).
+
+The key is a function of the value alone, so there is no quantile job, nothing is
+sampled, and no job runs while the plan is built. The steps read the same shuffles
+(of the input's last aggregate, and of the distinct values), which Spark reuses.
 
 :func:`top_k_per_group` is ``row_number() <= k`` per group; Spark inserts a
 partial ``WindowGroupLimit`` before the shuffle, so at most ``k`` rows per group
@@ -27,81 +25,64 @@ and map task cross the network however large a group is.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mercato.session import cut_lineage
+from mercato.operators.prefix import FAN_BITS, exclusive_sums
 
+#: Keys of real values stay within this; what is beyond shares the outermost block.
+_MOST_KEY = 1 << 61
 
-def _default_buckets(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, 2 * parts)
 
+def order_key(value: str, dtype: T.DataType) -> Column:
+    """A bigint that never falls as ``value`` rises (NULL for NULL)."""
+    # greatest and least skip NULLs
+    return F.when(F.col(value).isNotNull(), _key(F.col(value), dtype))
 
-def bucketed_dense_rank(
+
+def _key(v: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.DecimalType):
+        units = (v.cast(f"decimal(38,{dtype.scale})") * F.lit(10**dtype.scale)).cast("decimal(38,0)")
+        edge = F.lit(_MOST_KEY).cast("decimal(38,0)")
+        return F.greatest(F.least(units, edge), -edge).cast("bigint")
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.greatest(F.least(v.cast("bigint"), F.lit(_MOST_KEY)), F.lit(-_MOST_KEY))
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_date(v.cast("date")).cast("bigint") * (1 << FAN_BITS)  # a block is a day
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        size = F.log2(1 + F.least(F.abs(v.cast("double")), F.lit(1e308))) * float(1 << 40)
+        key = (F.signum(v) * F.floor(size)).cast("bigint")
+        return F.when(F.isnan(v), F.lit(_MOST_KEY)).otherwise(key)  # NaN sorts highest
+    raise TypeError(f"no order key for {dtype.simpleString()}")
+
+
+def global_dense_rank(
     df: DataFrame,
     value: str,
     rank_col: str = "rank",
     descending: bool = True,
-    buckets: int | None = None,
-    checkpoint: bool = True,
+    bits: int = FAN_BITS,
 ) -> DataFrame:
     """``df`` plus ``rank_col`` = ``DENSE_RANK() OVER (ORDER BY value [DESC])``.
 
     NULL sorts lowest (last when descending, first when ascending), as the SQL
     engines of the reference do.
     """
-    df = cut_lineage(df, checkpoint)
-    buckets = buckets or _default_buckets(df)
-
-    values = df.select(value).distinct()
-    present = values.where(F.col(value).isNotNull()).withColumn(
-        "_v", F.col(value).cast("double")
-    )
-
-    # bucket edges at approximate quantiles of the distinct values
-    probs = [i / buckets for i in range(1, buckets)]
-    quantiles = present.approxQuantile("_v", probs, 1.0 / (4 * buckets)) if probs else []
-    edges = sorted({q for q in quantiles if math.isfinite(q)})
-    n_buckets = len(edges) + 1
-    if edges:
-        splits = [-math.inf, *edges, math.inf]
-        # NaN (largest in Spark's order) goes to an extra bucket after the last edge
-        bucketizer = Bucketizer(
-            splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep"
-        )
-        bucketed = bucketizer.transform(present)
-        asc_bucket = F.col("_b").cast("int")
-    else:
-        bucketed, asc_bucket = present, F.lit(0)
-    bucket = (F.lit(n_buckets - 1) - asc_bucket) if descending else asc_bucket
-    bucketed = bucketed.select(value, bucket.alias("_bucket"))
-
-    # NULL is its own bucket: after every value when descending, before when ascending
-    null_bucket = n_buckets if descending else -1
-    nulls = values.where(F.col(value).isNull()).select(value, F.lit(null_bucket).alias("_bucket"))
-    all_values = bucketed.unionByName(nulls)
-
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    local = all_values.withColumn(
-        "_local", F.dense_rank().over(Window.partitionBy("_bucket").orderBy(order))
-    )
-
-    per_bucket = all_values.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-
-    ranked_values = local.join(F.broadcast(offsets), "_bucket").select(
-        F.col(value).alias("_rv"), (F.col("_offset") + F.col("_local")).cast("bigint").alias(rank_col)
+    key = order_key(value, df.schema[value].dataType)
+    key = F.coalesce(-key if descending else key, F.lit(2 * _MOST_KEY if descending else -2 * _MOST_KEY))
+    block = F.shiftright(key, bits)
+    values = df.select(value).distinct().select(F.col(value).alias("_rv"), block.alias("_block"))
+    order = F.col("_rv").desc() if descending else F.col("_rv").asc()
+    local = values.withColumn("_local", F.dense_rank().over(Window.partitionBy("_block").orderBy(order)))
+    counts = values.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = exclusive_sums(counts, "_block", "_n", "_before", levels=2, bits=bits)
+    ranked = local.join(offsets.select("_block", "_before"), "_block").select(
+        "_rv", (F.coalesce("_before", F.lit(0)) + F.col("_local")).cast("bigint").alias(rank_col)
     )
-    joined = df.join(ranked_values, df[value].eqNullSafe(ranked_values["_rv"]))
-    return joined.drop("_rv")
+    return df.join(ranked, df[value].eqNullSafe(ranked["_rv"])).drop("_rv")
 
 
 def top_k_per_group(

@@ -1,26 +1,26 @@
-"""Share of the grand total per row of an already aggregated (small) result.
+"""Share of the grand total per row.
 
-``x * 100 / SUM(x) OVER ()`` needs every row in one place. It is only used on
-results whose row count is bounded by a domain (payment types, four frequency
-groups), so a window over all rows is the simplest correct plan: the single
-partition it creates holds a handful of rows. Do not call it on row-level data.
+``x * 100 / SUM(x) OVER ()`` puts every row in one place. Here the total is a
+one-row aggregate (partial sums first, so a task sends one number) that the rows read
+as a scalar subquery: no window over all rows and no join, whatever their number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.money import percent_2dp, percent_basis_points
 
 
-def grand_total(value: str) -> Column:
-    return F.sum(value).over(Window.partitionBy())
+def grand_total(df: DataFrame, value: str) -> Column:
+    """``SUM(value) OVER ()`` as a scalar subquery over ``df``."""
+    return df.agg(F.sum(value).alias("_total")).scalar()
 
 
 def share_of_total(df: DataFrame, value: str, out: str, money: bool = False) -> DataFrame:
     """``out`` = ``round(100 * value / sum(value), 2)`` half up, as ``double``."""
-    return df.withColumn(out, percent_2dp(F.col(value), grand_total(value), money=money))
+    return df.withColumn(out, percent_2dp(F.col(value), grand_total(df, value), money=money))
 
 
 def share_of_total_decimal(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -29,6 +29,6 @@ def share_of_total_decimal(df: DataFrame, value: str, out: str) -> DataFrame:
     The value is the exact ``DECIMAL(5,2)`` share (the cast fails on overflow as the
     SQL cast does); like every other rounded figure it is delivered as ``double``.
     """
-    basis_points = percent_basis_points(F.col(value), grand_total(value))
+    basis_points = percent_basis_points(F.col(value), grand_total(df, value))
     share = (basis_points.cast("decimal(7,0)") / F.lit(100)).cast("decimal(5,2)")
     return df.withColumn(out, share.cast("double"))

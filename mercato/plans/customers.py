@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mercato.functions import as_money, day_gap, mean_money, percent_raw
 from mercato.functions.money import floor_div
 from mercato.operators.gaps import previous_event
-from mercato.operators.ranking import bucketed_dense_rank
+from mercato.operators.ranking import global_dense_rank
 from mercato.operators.shares import share_of_total_decimal
 from mercato.operators.segments import (
     PERSON,
@@ -93,14 +93,14 @@ def avg_revenue_one_time(t: Tables) -> DataFrame:
     )
 
 
-def customer_revenue_rank(t: Tables, checkpoint: bool = True) -> DataFrame:
+def customer_revenue_rank(t: Tables) -> DataFrame:
     """Dense rank of persons by rounded delivered revenue, highest first."""
     revenue = (
         order_values(t)
         .groupBy(PERSON)
         .agg(F.round(F.sum("order_revenue"), 2).alias("_lifetime"))
     )
-    ranked = bucketed_dense_rank(revenue, "_lifetime", "revenue_rank", checkpoint=checkpoint)
+    ranked = global_dense_rank(revenue, "_lifetime", "revenue_rank")
     return ranked.select(
         PERSON,
         F.col("_lifetime").cast("double").alias("lifetime_revenue"),
@@ -126,14 +126,13 @@ def _person_deliveries(t: Tables) -> DataFrame:
     )
 
 
-def delivery_gap_days(t: Tables, checkpoint: bool = True) -> DataFrame:
+def delivery_gap_days(t: Tables) -> DataFrame:
     """Days between consecutive delivery dates of each person (first delivery has none)."""
     pairs = previous_event(
         _person_deliveries(t),
         PERSON,
         "order_delivered_customer_date",
         prev="previous_delivered_date",
-        checkpoint=checkpoint,
     )
     return pairs.select(
         PERSON,
@@ -172,7 +171,6 @@ def order_frequency_buckets(t: Tables) -> DataFrame:
     groups = counts.groupBy(label.alias("order_frequency_group"), key.alias("_sort")).agg(
         F.count(F.lit(1)).alias("number_of_customers")
     )
-    # at most four rows: the grand total is a window over the whole (tiny) result
     return (
         share_of_total_decimal(groups, "number_of_customers", "percentage")
         .orderBy("_sort")

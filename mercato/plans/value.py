@@ -104,10 +104,7 @@ def cumulative_revenue(t: Tables) -> DataFrame:
         .groupBy(F.to_date("order_purchase_timestamp").alias("order_date"))
         .agg(F.round(F.sum("order_revenue"), 2).alias("_revenue"))
     )
-    # one row per day: both readers share the daily aggregate's shuffle, no checkpoint needed
-    running = running_total(
-        daily, "order_date", "_revenue", "_cumulative", F.trunc("order_date", "month"), checkpoint=False
-    )
+    running = running_total(daily, "order_date", "_revenue", "_cumulative", F.trunc("order_date", "month"))
     return running.select(
         "order_date",
         F.col("_revenue").cast("double").alias("revenue"),
@@ -129,7 +126,6 @@ def revenue_by_payment_type(t: Tables) -> DataFrame:
     per_type = per_order_type.groupBy("payment_type").agg(
         F.sum("_value").alias("_total"), F.count(F.lit(1)).alias("total_orders")
     )
-    # one row per payment type: the grand total is a window over a handful of rows
     return (
         share_of_total(per_type, "_total", "revenue_share_percent", money=True)
         .select(

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.operators import (
-    bucketed_dense_rank,
+    exclusive_sums,
+    global_dense_rank,
     pair_counts,
     previous_event,
     running_total,
@@ -49,35 +50,108 @@ def skewed_values(spark):
 
 
 @pytest.mark.parametrize("descending", [True, False])
-@pytest.mark.parametrize("buckets", [1, 5, 64])
-def test_bucketed_dense_rank_equals_window(skewed_values, descending, buckets):
+@pytest.mark.parametrize("bits", [2, 10, 16])
+def test_global_dense_rank_equals_window(skewed_values, descending, bits):
     order = F.col("v").desc() if descending else F.col("v").asc()
     expected = skewed_values.withColumn("r", F.dense_rank().over(Window.orderBy(order)))
-    got = bucketed_dense_rank(skewed_values, "v", "r", descending=descending, buckets=buckets)
+    got = global_dense_rank(skewed_values, "v", "r", descending=descending, bits=bits)
     assert _rows(got.select("k", "v", F.col("r").cast("int"))) == _rows(expected)
 
 
 @pytest.mark.parametrize("descending", [True, False])
-def test_bucketed_dense_rank_on_doubles_with_nan_and_infinity(spark, descending):
+def test_global_dense_rank_on_doubles_with_nan_and_infinity(spark, descending):
     rng = random.Random(9)
     specials = [float("nan"), float("inf"), float("-inf"), None, 0.0, -0.0]
     rows = [(i, rng.choice(specials) if i % 7 == 0 else rng.uniform(-1e6, 1e6)) for i in range(2000)]
     df = spark.createDataFrame(rows, "k int, v double")
     order = F.col("v").desc() if descending else F.col("v").asc()
     expected = df.withColumn("r", F.dense_rank().over(Window.orderBy(order)))
-    got = bucketed_dense_rank(df, "v", "r", descending=descending, buckets=16)
+    got = global_dense_rank(df, "v", "r", descending=descending)
     key = lambda r: (r[0], r[2])  # noqa: E731  (NaN != NaN, compare ids and ranks)
     assert sorted(map(key, got.select("k", "v", F.col("r").cast("int")).collect())) == sorted(
         map(key, expected.collect())
     )
 
 
-def test_bucketed_dense_rank_without_checkpoint(skewed_values):
-    got = bucketed_dense_rank(skewed_values, "v", "r", buckets=8, checkpoint=False)
-    expected = skewed_values.withColumn("r", F.dense_rank().over(Window.orderBy(F.desc("v"))))
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize(
+    ("kind", "make"),
+    [
+        ("decimal(38,6)", lambda r: Decimal(r.choice([-1, 1]) * r.randint(0, 10**30)) / 10**6),
+        ("decimal(38,0)", lambda r: Decimal(r.choice([2**61, 2**61 + 1, 2**62, -(2**61), -(10**37), 10**37, 0, 1]))),
+        ("bigint", lambda r: r.choice([r.randint(-(2**63), 2**63 - 1), 2**63 - 1, -(2**63), r.randint(-9, 9)])),
+        ("int", lambda r: r.randint(-300, 300)),
+        ("date", lambda r: dt.date(1900 + r.randint(0, 200), r.randint(1, 12), 3)),
+        ("timestamp_ntz", lambda r: dt.datetime(1969, 12, 30 + r.randint(0, 1), r.randint(0, 23), 0, 0, r.randint(0, 99))),
+        ("float", lambda r: float(r.randint(-8, 8)) / 4),
+    ],
+)
+def test_global_dense_rank_of_every_type(spark, kind, make, descending):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, None if i % 50 == 0 else make(rng)) for i in range(500)], f"k int, v {kind}")
+    order = F.col("v").desc() if descending else F.col("v").asc()
+    expected = df.withColumn("r", F.dense_rank().over(Window.orderBy(order)))
+    got = global_dense_rank(df, "v", "r", descending=descending)
     assert _rows(got.select("k", "v", F.col("r").cast("int"))) == _rows(expected)
 
 
+def test_no_type_without_an_order_key(spark):
+    with pytest.raises(TypeError):
+        global_dense_rank(spark.createDataFrame([("a",)], "v string"), "v")
+
+
+def test_no_job_starts_while_a_plan_is_built(spark, micro):
+    """Rank, lag, running total and shares are lazy through and through."""
+    from mercato.plans import REPORTS
+
+    sc = spark.sparkContext
+    try:
+        sc.setJobGroup("building", "plans")
+        plans = [REPORTS[n](micro) for n in ("customer_revenue_rank", "delivery_gap_days", "cumulative_revenue", "order_frequency_buckets", "revenue_by_payment_type")]
+        assert not sc.statusTracker().getJobIdsForGroup("building")
+        plans[0].collect()
+        assert sc.statusTracker().getJobIdsForGroup("building")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+
+
+@pytest.mark.parametrize(("levels", "bits"), [(0, 16), (1, 3), (2, 2), (4, 4)])
+def test_exclusive_sums(spark, levels, bits):
+    """Sparse and negative block numbers, NULL sums, at every height of the tree."""
+    rng = random.Random(8)
+    numbers = sorted({rng.choice([rng.randint(-60, 60), rng.randint(-(2**40), 2**40)]) for _ in range(200)})
+    rows = [(n, None if i < 3 or rng.random() < 0.2 else rng.randint(-50, 50)) for i, n in enumerate(numbers)]
+    got = exclusive_sums(spark.createDataFrame(rows, "b bigint, s bigint"), "b", "s", "before", levels, bits)
+    want, known = [], []
+    for n, s in rows:
+        want.append((n, s, sum(known) if known else None))
+        known += [s] if s is not None else []
+    assert got.columns == ["b", "s", "before"] and sorted(map(tuple, got.collect())) == want
+
+
+def test_running_total_over_a_million_blocks(spark):
+    """One row a block: the tree has windows of at most 65,536 rows."""
+    n = 1_000_000
+    df = spark.range(n, numPartitions=8).select("id", F.lit(3).cast("bigint").alias("v"))
+    got = running_total(df, "id", "v", "run", F.col("id"))
+    wrong = got.where(F.col("run") != (F.col("id") + 1) * 3).count()
+    assert wrong == 0 and got.count() == n
+
+
+def test_shares_without_a_window_over_all_rows(spark):
+    from mercato.operators import share_of_total
+
+    df = spark.range(1, 100_001, numPartitions=8).select("id", (F.col("id") % 7 + 1).alias("v"))
+    got = share_of_total(df, "v", "pct")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    # only the partial sums meet in one partition
+    assert all("partial_sum" in below for below in plan.split("Exchange SinglePartition")[1:])
+    total = sum(i % 7 + 1 for i in range(1, 100_001))
+    assert {(r["v"], r["pct"]) for r in got.collect()} == {(v, round(100 * v / total, 2)) for v in range(1, 8)}
+
+
 @pytest.fixture(scope="module")
 def baskets(spark):
     rng = random.Random(11)

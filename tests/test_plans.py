@@ -30,10 +30,10 @@ def test_no_cartesian_or_nested_loop_join(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
 
 
-def test_dense_rank_is_partitioned_by_bucket(spark):
+def test_dense_rank_is_partitioned_by_block(spark):
     plan = executed(spark, "customer_revenue_rank")
     ranks = [line for line in plan.split("\n") if "dense_rank(" in line]
-    assert ranks and all("windowspecdefinition(_bucket" in line for line in ranks)
+    assert ranks and all("windowspecdefinition(_block" in line for line in ranks)
 
 
 def test_top_product_uses_partial_group_limit(spark):

@@ -118,7 +118,7 @@ def test_rank_join_splits_a_hot_value(spark, forced_skew):
 
     from pyspark.sql import Window
 
-    from mercato.operators import bucketed_dense_rank
+    from mercato.operators import global_dense_rank
 
     rng = random.Random(1)
     rows = [
@@ -126,7 +126,7 @@ def test_rank_join_splits_a_hot_value(spark, forced_skew):
         for i in range(60000)
     ]
     df = spark.createDataFrame(rows, "k string, v decimal(18,2)").repartition(8)
-    got = bucketed_dense_rank(df, "v", "r", buckets=16).select(
+    got = global_dense_rank(df, "v", "r").select(
         "k", F.col("r").cast("int").alias("r")
     )
     ranks = sorted(map(tuple, got.collect()))
