@@ -4,6 +4,7 @@
     python -m mercato run revenue_by_state --data /root/testdata/sf0.1 --show 20
     python -m mercato run customer_spend --data DIR --out OUT --format parquet
     python -m mercato suite --data DIR --out OUT     # every report, OUT/<report>/
+    python -m mercato check --data DIR               # rows that break a rule, per rule
     python -m mercato layout --data DIR --database DB --buckets 2048
     python -m mercato suite --database DB --out OUT  # read the bucketed tables
     python -m mercato run customer_spend --data DIR --names orders=ORDERS items=LINES
@@ -50,10 +51,14 @@ def main(argv: list[str] | None = None) -> int:
     layout_p.add_argument("--buckets", type=int, required=True)
     layout_p.add_argument("--mode", default="errorifexists")
     layout_p.add_argument("--master", default=None)
-    for p in (run_p, suite_p, layout_p):
+    check_p = sub.add_parser("check", help="count the rows that break what the tables promise")
+    check_p.add_argument("--data")
+    check_p.add_argument("--database", help="catalog database written by 'layout'")
+    check_p.add_argument("--master", default=None)
+    for p in (run_p, suite_p, layout_p, check_p):
         p.add_argument("--names", nargs="+", default=[], metavar="TABLE=NAME", help="names of the input's tables")
     args = parser.parse_args(argv)
-    if args.command in ("run", "suite") and bool(args.data) == bool(args.database):
+    if args.command in ("run", "suite", "check") and bool(args.data) == bool(args.database):
         print("give exactly one of --data and --database", file=sys.stderr)
         return 2
 
@@ -97,6 +102,13 @@ def main(argv: list[str] | None = None) -> int:
             writer = writer.option("header", True)
         getattr(writer, args.format)(path)
 
+    if args.command == "check":
+        from mercato.sources.contract import check
+
+        broken = check(tables())
+        print("\n".join(f"{rule}\t{n}" for rule, n in broken.items()) or "no rule is broken")
+        return 1 if broken else 0
+
     if args.command == "suite":
         from mercato.plans.suite import run_tables
 

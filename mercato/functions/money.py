@@ -8,13 +8,17 @@ division (means, percentages) is rounded half up on exact integers:
 with ``n`` a number of cents (or ``10000 * a`` for a percentage ``100 * a / b`` with
 two decimals). The oracle SQL uses the same integer form, so both engines agree to
 the last bit; a double mean would not (``round(1.005, 2)`` differs between them).
-Results leave as ``double`` = integer / 100.
+Results stay decimal: a ``double`` has no cents left above 2**53 of them. Whoever
+needs doubles casts a whole result with :func:`as_doubles`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WIDE = "decimal(38,0)"
 
@@ -26,8 +30,18 @@ def line_revenue(with_freight: bool = True) -> Column:
 
 
 def as_money(c: Column) -> Column:
-    """Exact decimal result rounded to cents, delivered as ``double``."""
-    return F.round(c, 2).cast("double")
+    """An exact decimal sum rounded to cents."""
+    return F.round(c, 2)
+
+
+def hundredths(n: Column) -> Column:
+    """``n / 100`` of a whole number, exactly."""
+    return n.cast("decimal(36,0)") * F.lit(Decimal("0.01"))
+
+
+def as_doubles(df: DataFrame) -> DataFrame:
+    """``df`` with its decimal columns as ``double``."""
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in df.schema.fields])
 
 
 def cents(c: Column) -> Column:
@@ -48,13 +62,13 @@ def half_up_div(n: Column, k: Column) -> Column:
 
 def mean_money(total: Column, count: Column) -> Column:
     """Mean of money values rounded half up to cents: ``total / count``."""
-    return half_up_div(cents(total), count).cast("double") / 100.0
+    return hundredths(half_up_div(cents(total), count))
 
 
 def percent_2dp(part: Column, whole: Column, money: bool = False) -> Column:
     """``round(100 * part / whole, 2)``, half up, exact; NULL when ``whole`` is 0."""
     a, b = (cents(part), cents(whole)) if money else (part, whole)
-    return half_up_div(a.cast(WIDE) * 10000, b).cast("double") / 100.0
+    return hundredths(half_up_div(a.cast(WIDE) * 10000, b))
 
 
 def percent_basis_points(part: Column, whole: Column) -> Column:

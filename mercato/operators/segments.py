@@ -8,14 +8,16 @@ All reports are written on these, so the grain of each one is decided here once
   joins, so this is written by hand; it turns every later join into an
   order-level join and shrinks each shuffle by the lines-per-order factor.
 * ``orders.order_id`` and ``customers.customer_id`` are the primary keys of their
-  tables (as in the source dataset). Under that assumption ``COUNT(DISTINCT
-  order_id)`` over a customer-order join is a plain row count, which saves the
-  second shuffle Spark plans for a distinct aggregate.
+  tables, as in the source dataset: then ``COUNT(DISTINCT order_id)`` over a
+  customer-order join is a plain row count, which saves the second shuffle Spark plans
+  for a distinct aggregate, and a semi-join keeps what a join does. Loading checks
+  that (``Tables.repeated_ids``). Where ids do repeat, ids are counted distinct, joins
+  keep every copy of a row, as SQL joins do, and an order of a person is one group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.money import line_revenue
@@ -48,10 +50,28 @@ def orders_of_persons(t: Tables, delivered_only: bool = True) -> DataFrame:
 def order_values(t: Tables, delivered_only: bool = True) -> DataFrame:
     """Orders that have lines, with person and total: ``order_revenue``."""
     if delivered_only and "delivered_person_orders" in t.shared:
-        return t.shared["delivered_person_orders"].join(order_totals(t), "order_id")
+        return _one_row_an_order(t.shared["delivered_person_orders"].join(order_totals(t), "order_id"), t)
     orders = delivered(t.orders) if delivered_only else t.orders
     # the order-keyed join first: on order-bucketed tables it needs no shuffle
-    return orders.join(order_totals(t), "order_id").join(t.customers, "customer_id")
+    return _one_row_an_order(orders.join(order_totals(t), "order_id").join(t.customers, "customer_id"), t)
+
+
+def _one_row_an_order(values: DataFrame, t: Tables) -> DataFrame:
+    """Copies of an order (or of its customer) are one order with all their revenue."""
+    if not t.repeated_ids:
+        return values
+    return values.groupBy(PERSON, "order_id").agg(F.sum("order_revenue").alias("order_revenue"))
+
+
+def count_orders(t: Tables) -> Column:
+    """``COUNT(DISTINCT order_id)`` over rows that are one per order where ids are unique."""
+    return F.count_distinct("order_id") if t.repeated_ids else F.count("order_id")
+
+
+def lines_of(t: Tables, orders: DataFrame) -> DataFrame:
+    """The order lines of ``orders`` (``order_id``): a semi-join, so that no order
+    columns come along, or with repeated ids a join, which has each line once per copy."""
+    return t.items.join(orders, "order_id", "inner" if t.repeated_ids else "left_semi")
 
 
 def delivered_order_revenue(t: Tables) -> DataFrame:
@@ -60,8 +80,8 @@ def delivered_order_revenue(t: Tables) -> DataFrame:
 
 
 def delivered_lines(t: Tables) -> DataFrame:
-    """Order lines of delivered orders (a semi-join: no order columns come along)."""
-    return t.items.join(delivered(t.orders).select("order_id"), "order_id", "left_semi")
+    """Order lines of delivered orders."""
+    return lines_of(t, delivered(t.orders).select("order_id"))
 
 
 def person_order_counts(t: Tables, delivered_only: bool, with_items: bool) -> DataFrame:
@@ -74,7 +94,7 @@ def person_order_counts(t: Tables, delivered_only: bool, with_items: bool) -> Da
     if with_items:
         # orders that have lines = the keys of the order totals (shared in suite runs)
         orders = orders.join(order_totals(t).select("order_id"), "order_id", "left_semi")
-    return orders.groupBy(PERSON).agg(F.count("order_id").alias("total_orders"))
+    return orders.groupBy(PERSON).agg(count_orders(t).alias("total_orders"))
 
 
 def repeat_persons(t: Tables, delivered_only: bool = True, with_items: bool = False) -> DataFrame:
@@ -103,16 +123,25 @@ def of_repeat_persons(person_orders: DataFrame) -> DataFrame:
     return known.join(one_time_orders(known), "order_id", "left_anti")
 
 
-def repeat_orders(t: Tables) -> DataFrame:
-    """Delivered orders placed by repeat persons (definition (c)): ``order_id``."""
+def repeat_orders(t: Tables, by_rows: bool = False) -> DataFrame:
+    """Delivered orders placed by repeat persons (definition (c)): ``order_id``.
+
+    ``by_rows`` counts a person's order rows instead of order ids, as three of the
+    reports do; with unique ids that is the same.
+    """
+    if t.repeated_ids:
+        rows = orders_of_persons(t).where(F.col(PERSON).isNotNull()).select("order_id", PERSON)
+        n = F.count("order_id") if by_rows else F.count_distinct("order_id")
+        persons = rows.groupBy(PERSON).agg(n.alias("_n")).where(F.col("_n") > 1).select(PERSON)
+        return rows.join(persons, PERSON, "left_semi").select("order_id")
     if "repeat_orders" in t.shared:
         return t.shared["repeat_orders"]
     return of_repeat_persons(orders_of_persons(t).select("order_id", PERSON)).select("order_id")
 
 
-def repeat_lines(t: Tables) -> DataFrame:
+def repeat_lines(t: Tables, by_rows: bool = False) -> DataFrame:
     """Order lines of delivered orders of repeat persons."""
-    return t.items.join(repeat_orders(t), "order_id", "left_semi")
+    return lines_of(t, repeat_orders(t, by_rows))
 
 
 def with_raw_category(df: DataFrame, t: Tables) -> DataFrame:

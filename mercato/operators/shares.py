@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.money import percent_2dp, percent_basis_points
+from mercato.functions.money import hundredths, percent_2dp, percent_basis_points
 
 
 def grand_total(df: DataFrame, value: str) -> Column:
@@ -19,16 +19,14 @@ def grand_total(df: DataFrame, value: str) -> Column:
 
 
 def share_of_total(df: DataFrame, value: str, out: str, money: bool = False) -> DataFrame:
-    """``out`` = ``round(100 * value / sum(value), 2)`` half up, as ``double``."""
+    """``out`` = ``round(100 * value / sum(value), 2)`` half up."""
     return df.withColumn(out, percent_2dp(F.col(value), grand_total(df, value), money=money))
 
 
 def share_of_total_decimal(df: DataFrame, value: str, out: str) -> DataFrame:
     """``out`` = ``CAST(100.0 * value / sum(value) AS DECIMAL(5,2))`` (half up).
 
-    The value is the exact ``DECIMAL(5,2)`` share (the cast fails on overflow as the
-    SQL cast does); like every other rounded figure it is delivered as ``double``.
+    The cast fails on overflow, as the SQL cast does.
     """
     basis_points = percent_basis_points(F.col(value), grand_total(df, value))
-    share = (basis_points.cast("decimal(7,0)") / F.lit(100)).cast("decimal(5,2)")
-    return df.withColumn(out, share.cast("double"))
+    return df.withColumn(out, hundredths(basis_points).cast("decimal(5,2)"))

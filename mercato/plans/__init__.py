@@ -23,4 +23,6 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
 
 
 def run(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return REPORTS[name](load_tables(spark, path))
+    """Load the tables and build one report; reports of a session share what
+    :mod:`mercato.sources.reuse` keeps."""
+    return REPORTS[name](load_tables(spark, path, reuse=True))

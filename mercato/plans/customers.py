@@ -103,7 +103,7 @@ def customer_revenue_rank(t: Tables) -> DataFrame:
     ranked = global_dense_rank(revenue, "_lifetime", "revenue_rank")
     return ranked.select(
         PERSON,
-        F.col("_lifetime").cast("double").alias("lifetime_revenue"),
+        F.col("_lifetime").alias("lifetime_revenue"),
         "revenue_rank",
     ).orderBy("revenue_rank", PERSON)
 

@@ -117,6 +117,9 @@ RC = """rc AS (
     HAVING COUNT(DISTINCT od.order_id) > 1
 )"""
 
+# the same by order rows: three of the reports count without DISTINCT
+RC_ROWS = RC.replace("COUNT(DISTINCT od.order_id)", "COUNT(od.order_id)")
+
 # order value, definition (d): delivered orders with lines, per person
 OV = f"""ov AS (
     SELECT cu.customer_unique_id, od.order_id, SUM({REV}) AS order_total
@@ -361,7 +364,7 @@ SELECT pc.product_category_name_english,
 FROM person_category pc LEFT JOIN rc ON rc.customer_unique_id = pc.customer_unique_id
 GROUP BY pc.product_category_name_english
 ORDER BY repeat_customer_by_category_percentage DESC"""),
-    "repeat_revenue_by_category": (RC, f"""
+    "repeat_revenue_by_category": (RC_ROWS, f"""
 SELECT tr.product_category_name_english AS product_category,
        {money(f'SUM({REV})')} AS revenue_from_repeat_customers
 FROM m_orders od
@@ -372,7 +375,7 @@ FROM m_orders od
 WHERE {DLV}
 GROUP BY tr.product_category_name_english
 ORDER BY revenue_from_repeat_customers DESC"""),
-    "repeat_revenue_by_seller": (RC, f"""
+    "repeat_revenue_by_seller": (RC_ROWS, f"""
 SELECT li.seller_id, {money(f'SUM({REV})')} AS revenue_from_repeat_customers
 FROM m_orders od
     JOIN m_items li ON li.order_id = od.order_id
@@ -392,7 +395,7 @@ FROM m_orders od
 WHERE {DLV}
 GROUP BY tr.product_category_name_english
 ORDER BY orders_by_repeat_customers DESC"""),
-    "seller_repeat_dependency": (RC + f""",
+    "seller_repeat_dependency": (RC_ROWS + f""",
 seller_total AS (
     SELECT li.seller_id, ROUND(SUM({REV}), 2) AS total_revenue
     FROM m_orders od JOIN m_items li ON li.order_id = od.order_id

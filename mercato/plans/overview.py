@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions import as_money, calendar_month, calendar_year, year_month
 from mercato.operators.segments import (
+    count_orders,
     delivered,
     delivered_lines,
     delivered_order_revenue,
@@ -35,7 +36,7 @@ def _state_revenue(t: Tables) -> DataFrame:
         .join(t.customers, "customer_id")
         .groupBy("customer_state")
         .agg(
-            F.count(F.lit(1)).alias("total_orders"),
+            count_orders(t).alias("total_orders"),
             as_money(F.sum("order_revenue")).alias("total_revenue"),
         )
     )

@@ -45,7 +45,7 @@ def top_product_per_category(t: Tables) -> DataFrame:
     own = top_k_per_group(with_raw_category(per_product, t), [CATEGORY], best_first, k=1)
     leaders = top_k_per_group(in_english(own, t, "category"), ["category"], best_first, k=1)
     return leaders.select(
-        "product_id", "category", F.col("_revenue").cast("double").alias("revenue")
+        "product_id", "category", F.col("_revenue").alias("revenue")
     ).orderBy(F.desc("revenue"), "category")
 
 

@@ -7,7 +7,7 @@ semi-join or as a left-join flag; nothing is re-aggregated per reference CTE.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions import as_money, line_revenue, percent_2dp, percent_raw
@@ -15,6 +15,7 @@ from mercato.operators.segments import (
     CATEGORY,
     PERSON,
     delivered,
+    delivered_lines,
     in_english,
     orders_of_persons,
     repeat_lines,
@@ -113,7 +114,7 @@ def repeat_pct_by_category(t: Tables) -> DataFrame:
 
 def repeat_revenue_by_category(t: Tables) -> DataFrame:
     """Delivered revenue (price + freight) from repeat persons per category."""
-    per_product = repeat_lines(t).groupBy("product_id").agg(F.sum(line_revenue()).alias("_rev"))
+    per_product = repeat_lines(t, by_rows=True).groupBy("product_id").agg(F.sum(line_revenue()).alias("_rev"))
     return (
         total_by_category(per_product, t, "_rev")
         .select("product_category", as_money(F.col("_rev")).alias("revenue_from_repeat_customers"))
@@ -124,7 +125,7 @@ def repeat_revenue_by_category(t: Tables) -> DataFrame:
 def repeat_revenue_by_seller(t: Tables) -> DataFrame:
     """Delivered revenue from repeat persons per seller id on the line (sellers not joined)."""
     return (
-        repeat_lines(t)
+        repeat_lines(t, by_rows=True)
         .groupBy("seller_id")
         .agg(as_money(F.sum(line_revenue())).alias("revenue_from_repeat_customers"))
         .orderBy(F.desc("revenue_from_repeat_customers"), "seller_id")
@@ -144,6 +145,10 @@ def repeat_orders_by_category(t: Tables) -> DataFrame:
     )
 
 
+def _or_zero(total: str) -> Column:
+    return F.coalesce(F.round(total, 2), F.lit(0).cast("decimal(18,2)"))
+
+
 def seller_repeat_dependency(t: Tables) -> DataFrame:
     """Share of each seller's delivered revenue that comes from repeat persons.
 
@@ -153,24 +158,28 @@ def seller_repeat_dependency(t: Tables) -> DataFrame:
     two rounded sums, as the reference does. Lines without a seller are one group
     whose repeat revenue is 0, as NULL never meets NULL in that outer join.
     """
-    repeat = repeat_orders(t).distinct().withColumn("_is_repeat", F.lit(True))
-    flagged_orders = delivered(t.orders).select("order_id").join(repeat, "order_id", "left")
     rev = line_revenue()
-    per_seller = (
-        t.items.join(flagged_orders, "order_id")
-        .groupBy("seller_id")
-        .agg(
-            F.round(F.sum(rev), 2).alias("_total"),
-            F.coalesce(
-                F.round(F.sum(F.when(F.col("_is_repeat") & F.col("seller_id").isNotNull(), rev)), 2),
-                F.lit(0).cast("decimal(18,2)"),
-            ).alias("_repeat"),
+    if t.repeated_ids:  # copies of a customer repeat only the second sum
+        zero = F.lit(None).cast("decimal(19,2)")
+        all_ = delivered_lines(t).select("seller_id", rev.alias("_all"), zero.alias("_own"), F.lit(1).alias("_n"))
+        own = repeat_lines(t, by_rows=True).where(F.col("seller_id").isNotNull())
+        both = all_.unionByName(own.select("seller_id", zero.alias("_all"), rev.alias("_own"), F.lit(0).alias("_n")))
+        sums = both.groupBy("seller_id").agg(F.sum("_all").alias("_all"), F.sum("_own").alias("_own"), F.sum("_n").alias("_n"))
+        per_seller = sums.where(F.col("_n") > 0).select("seller_id", F.round("_all", 2).alias("_total"), _or_zero("_own").alias("_repeat"))
+    else:
+        repeat = repeat_orders(t).distinct().withColumn("_is_repeat", F.lit(True))
+        flagged_orders = delivered(t.orders).select("order_id").join(repeat, "order_id", "left")
+        own = F.when(F.col("_is_repeat") & F.col("seller_id").isNotNull(), rev)
+        sums = (
+            t.items.join(flagged_orders, "order_id")
+            .groupBy("seller_id")
+            .agg(F.sum(rev).alias("_all"), F.sum(own).alias("_own"))
         )
-    )
+        per_seller = sums.select("seller_id", F.round("_all", 2).alias("_total"), _or_zero("_own").alias("_repeat"))
     return per_seller.select(
         "seller_id",
-        F.col("_total").cast("double").alias("total_revenue"),
-        F.col("_repeat").cast("double").alias("repeat_revenue"),
+        F.col("_total").alias("total_revenue"),
+        F.col("_repeat").alias("repeat_revenue"),
         percent_2dp(F.col("_repeat"), F.col("_total"), money=True).alias("repeat_revenue_percent"),
     ).orderBy(F.desc("repeat_revenue_percent"), "seller_id")
 

@@ -36,6 +36,11 @@ def _order_value(t: Tables) -> DataFrame:
 
 
 def _repeat_order_value(t: Tables) -> DataFrame:
+    if t.repeated_ids:  # an order may be of several persons
+        values = _order_value(t)
+        orders = values.groupBy(PERSON).agg(F.count("order_id").alias("_orders"))
+        repeat = orders.where(F.col("_orders") > 1).select(PERSON)
+        return values.join(repeat, PERSON, "left_semi").select("order_id", "order_total", PERSON)
     return of_repeat_persons(_order_value(t)).select("order_id", "order_total")
 
 
@@ -79,12 +84,9 @@ def repeat_aov_by_category(t: Tables) -> DataFrame:
     (order, category) are de-duplicated before the mean, as the reference's
     DISTINCT bridge does. The repeat order values are referenced once.
     """
-    order_products = (
-        t.items.select("order_id", "product_id")
-        .join(_repeat_order_value(t), "order_id")
-        .distinct()
-    )
-    own = with_raw_category(order_products, t).select("order_id", CATEGORY, "order_total").distinct()
+    values = _repeat_order_value(t)
+    order_products = t.items.select("order_id", "product_id").join(values, "order_id").distinct()
+    own = with_raw_category(order_products, t).select(CATEGORY, *values.columns).distinct()
     order_categories = in_english(own, t).distinct()
     return (
         order_categories.groupBy("product_category")
@@ -107,7 +109,7 @@ def cumulative_revenue(t: Tables) -> DataFrame:
     running = running_total(daily, "order_date", "_revenue", "_cumulative", F.trunc("order_date", "month"))
     return running.select(
         "order_date",
-        F.col("_revenue").cast("double").alias("revenue"),
+        F.col("_revenue").alias("revenue"),
         as_money(F.col("_cumulative")).alias("cumulative_revenue"),
     ).orderBy("order_date")
 
@@ -119,7 +121,9 @@ def revenue_by_payment_type(t: Tables) -> DataFrame:
     summed per (order, type) on the same partitioning, and only then per type; the
     distinct-order count is the number of (order, type) rows.
     """
-    paid = t.payments.join(delivered(t.orders).select("order_id"), "order_id", "left_semi")
+    paid = t.payments.join(
+        delivered(t.orders).select("order_id"), "order_id", "inner" if t.repeated_ids else "left_semi"
+    )
     per_order_type = paid.groupBy("order_id", "payment_type").agg(
         F.sum("payment_value").alias("_value")
     )

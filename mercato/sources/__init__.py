@@ -8,6 +8,7 @@ or CSV) goes through :mod:`mercato.sources.files`.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -27,7 +28,10 @@ class Tables:
     payments: DataFrame
     # Optional intermediates built once for a run of many reports (see
     # mercato.plans.suite); report functions use them when present.
-    shared: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+    shared: Mapping[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+    # Whether order_id repeats in orders, or customer_id in customers: reports then
+    # count ids distinct and keep the copies of a row in joins.
+    repeated_ids: bool = False
 
     def frames(self) -> dict[str, DataFrame]:
         """The seven base tables by logical name."""
@@ -49,15 +53,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_tables(
-    spark: SparkSession, path: str, names: dict[str, str] | None = None
+    spark: SparkSession, path: str, names: dict[str, str] | None = None, reuse: bool = False
 ) -> Tables:
     """The seven logical tables under ``path``, listed anew on every call.
 
     ``names`` maps logical tables to the file stems of an export (not used for
-    the generated star schema).
+    the generated star schema). The ids are checked once for each state of the
+    files; with ``reuse`` the order- and person-level tables that many reports start
+    from are also kept for that state (:mod:`mercato.sources.reuse`).
     """
-    from mercato.sources import files, generated
+    from mercato.sources import files, generated, reuse as kept
 
-    if names is None and generated.looks_generated(spark, path):
-        return generated.load(spark, path)
-    return files.load(spark, path, names)
+    star = names is None and generated.looks_generated(spark, path)
+    locations = generated.locations(path) if star else files.locations(spark, path, names)
+    before = kept.fingerprint(spark, locations)
+    tables = generated.load(spark, path) if star else files.load(spark, path, names)
+    return kept.with_kept(tables, locations, before, reuse)

@@ -28,6 +28,11 @@ def _find(spark: SparkSession, path: str, stem: str) -> tuple[str, str]:
     raise FileNotFoundError(f"no parquet or csv table '{stem}' under {path}")
 
 
+def locations(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> list[str]:
+    names = {t: t for t in TABLE_NAMES} | (names or {})
+    return [_find(spark, path, names[t])[0] for t in TABLE_NAMES]
+
+
 def read_table(
     spark: SparkSession, location: str, fmt: str, schema: T.StructType
 ) -> DataFrame:

@@ -35,8 +35,12 @@ OTHER_PAYMENT = "voucher"
 RAW_TABLES = ("customer", "nation", "orders", "lineitem", "part", "supplier")
 
 
+def locations(path: str) -> list[str]:
+    return [f"{path.rstrip('/')}/{t}.parquet" for t in RAW_TABLES]
+
+
 def looks_generated(spark: SparkSession, path: str) -> bool:
-    return all(exists(spark, f"{path.rstrip('/')}/{t}.parquet") for t in RAW_TABLES)
+    return all(exists(spark, at) for at in locations(path))
 
 
 def _code_map(code: F.Column, pairs, other: str) -> F.Column:

@@ -36,7 +36,7 @@ def test_mean_money_is_half_up(spark):
     )
     for r in df.collect():
         expected = (r.total / r.k).quantize(CENT, rounding=ROUND_HALF_UP)
-        assert r.m == float(expected), (r.total, r.k, r.m, expected)
+        assert r.m == expected, (r.total, r.k, r.m, expected)
 
 
 def test_percentages_are_half_up(spark):
@@ -51,7 +51,7 @@ def test_percentages_are_half_up(spark):
     )
     for r in df.collect():
         exact = (Decimal(100 * r.a) / Decimal(r.b)).quantize(CENT, rounding=ROUND_HALF_UP)
-        assert r.p == float(exact), (r.a, r.b, r.p, exact)
+        assert r.p == exact, (r.a, r.b, r.p, exact)
         assert Decimal(r.bp) == exact * 100
 
 
@@ -63,4 +63,35 @@ def test_money_percent_and_zero_denominator(spark):
         .select(percent_2dp(F.col("part"), F.col("whole"), money=True).alias("p"))
         .collect()
     )
-    assert [r.p for r in got] == [66.67, None]
+    assert [r.p for r in got] == [Decimal("66.67"), None]
+
+
+def test_large_totals_keep_their_cents(spark, micro):
+    """Sums far above 2**53 cents come out of the reports to the cent."""
+    import dataclasses
+
+    from mercato.plans import REPORTS
+
+    huge = Decimal("9000000000000000.01")
+    items = micro.items.withColumn("price", F.lit(huge).cast("decimal(18,2)")).withColumn("freight_value", F.lit(Decimal("0.01")).cast("decimal(18,2)"))
+    t = dataclasses.replace(micro, items=items)
+    delivered = items.join(micro.orders.where("order_status = 'delivered'"), "order_id", "left_semi").count()
+    total = sum(r.total_revenue for r in REPORTS["monthly_revenue"](t).collect())
+    assert total == delivered * (huge + Decimal("0.01")) and total > Decimal(10) ** 14 and total != int(total)
+    assert max(r.cumulative_revenue for r in REPORTS["cumulative_revenue"](t).collect()) == total
+    assert sum(r.total_money_spent for r in REPORTS["customer_spend"](t).collect()) == total
+    values = [r for r in REPORTS["aov_by_segment"](t).collect()]
+    assert all(r.AOV == r.AOV.quantize(CENT) and r.AOV > huge for r in values)
+
+
+def test_results_are_decimal_until_asked(spark, micro):
+    from mercato.functions.money import as_doubles
+    from mercato.plans import REPORTS
+
+    money = ("revenue", "spent", "AOV", "share", "percentage", "percent", "avg_evenue", "avg_Revenue")
+    for name, report in REPORTS.items():
+        df = report(micro)
+        for f in df.schema.fields:
+            if any(m in f.name for m in money) and f.name not in ("revenue_rank", "repeat_customer_percentage"):
+                assert isinstance(f.dataType, T.DecimalType), (name, f.name)
+        assert not any(isinstance(f.dataType, T.DecimalType) for f in as_doubles(df).schema.fields)

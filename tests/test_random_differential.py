@@ -5,8 +5,8 @@ NULL persons, states, sellers, prices, freight, categories, delivery dates and p
 values; two categories with one English name and one without any; orders whose
 customer is unknown, lines whose order, product or seller is unknown, payments of
 unknown orders; persons with several customer ids in different states; repeated
-purchase and delivery timestamps; ties in every ranking. Primary keys
-(``customers.customer_id``, ``orders.order_id``) stay unique, as the library assumes.
+purchase and delivery timestamps; ties in every ranking. Each seed runs with unique
+``customers.customer_id`` and ``orders.order_id`` and with repeated ones.
 The DuckDB statements are the oracle bodies run directly on the same tables.
 """
 
@@ -22,10 +22,12 @@ import pytest
 from oracle_harness import rows_of
 from pyspark.sql import types as T
 
+from mercato.functions.money import as_doubles
 from mercato.plans import REPORTS
 from mercato.plans.oracle import oracle_statements
 from mercato.schema import logical_schemas
 from mercato.sources import Tables
+from mercato.sources.contract import UNIQUE_IDS, check
 
 STATES = ["SP", "RJ", "MG", "AC", "RO"]
 STATUSES = ["delivered", "delivered", "delivered", "shipped", "canceled"]
@@ -108,24 +110,39 @@ def _arrow(schema, rows) -> pa.Table:
     )
 
 
+def repeated(data: dict[str, list[tuple]], seed: int) -> dict[str, list[tuple]]:
+    """Every 5th order row twice; some orders a second time with another customer or
+    status, and every 7th customer a second time, some as another person."""
+    rng = random.Random(seed)
+    ids = [c[0] for c in data["customers"]]
+    orders = list(data["orders"]) + data["orders"][::5]
+    orders += [(o[0], rng.choice(ids), rng.choice(STATUSES), *o[3:]) for o in data["orders"][::11]]
+    customers = list(data["customers"]) + data["customers"][::7]
+    customers += [(c[0], rng.choice(data["customers"])[1], c[2]) for c in data["customers"][::9]]
+    return data | {"orders": orders, "customers": customers}
+
+
+@pytest.mark.parametrize("copies", [False, True])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_reports_match_duckdb_on_random_tables(spark, seed):
-    data = generate(seed)
+def test_reports_match_duckdb_on_random_tables(spark, seed, copies):
+    data = repeated(generate(seed), seed) if copies else generate(seed)
     # as files deliver them: every column may hold NULL
     schemas = {
         name: T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
         for name, schema in logical_schemas().items()
     }
     tables = Tables(
-        **{name: spark.createDataFrame(rows, schemas[name]) for name, rows in data.items()}
+        **{name: spark.createDataFrame(rows, schemas[name]) for name, rows in data.items()},
+        repeated_ids=copies,
     )
+    assert bool(check(tables, UNIQUE_IDS)) == copies
     con = duckdb.connect()
     for name, rows in data.items():
         con.register(f"m_{name}", _arrow(schemas[name], rows))
     statements = oracle_statements(prelude=False)
     wrong = []
     for name, report in REPORTS.items():
-        sdf = report(tables)
+        sdf = as_doubles(report(tables))
         got = rows_of(sdf.columns, [tuple(r) for r in sdf.collect()])
         res = con.execute(statements[name])
         want = rows_of([c[0] for c in res.description], res.fetchall())
