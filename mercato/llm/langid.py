@@ -9,9 +9,11 @@ likelihoods are grouped sums of the text-only posteriors of all rows.
 
 An ``unknown`` class with a uniform trigram distribution competes with the
 languages; rows it wins are rejected. Every labelled language has a text model,
-fitted on a bounded sample of its own rows (``SAMPLE_ROWS``), so neither its
-share of the table nor the number of languages decides whether it has one;
-everything else covers all rows.
+fitted on a bounded sample of its own rows (``SAMPLE_ROWS``), whatever its share of the
+table. A model has ``MOST_LANGUAGES`` languages, those with the most rows; the texts of
+all further labels make up one class of their own, ``mul``, with a text model and priors
+like any other. Rows that it wins are kept, and what they declare is their language.
+Everything else covers all rows.
 
 Defined cases: a null or letterless text gives no text evidence, so declaration
 and host decide and the row is kept; a null or unheard-of declaration counts as a value of its own;
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 
 from mercato.llm.shared import attach, save
 
-UNKNOWN = "und"
+UNKNOWN, SEVERAL = "und", "mul"
+#: Languages that have a text model of their own (17 MB for 64).
+MOST_LANGUAGES = 64
 #: Distinct texts of each language that its text model is fitted on, at most.
 SAMPLE_ROWS = 1_500
 BUCKETS = 1 << 16
@@ -86,11 +90,16 @@ def sampled(rows: DataFrame, sample_rows: int) -> DataFrame:
     return hashed.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang")
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, most: int = MOST_LANGUAGES) -> Model:
     """Trigram models from rows (text, lang): for each language a sample by hash
-    of the text."""
+    of the text, and for the labels beyond ``most`` one together."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.lower(F.trim("lang")).alias("lang")).filter(f"text is not null and lang is not null and lang not in ('', '{UNKNOWN}')")
 
+    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    own = [r["lang"] for r in per.orderBy(F.desc("n"), "lang").limit(most + 1).collect()]
+    if len(own) > most:
+        rows = rows.withColumn("lang", F.when(F.col("lang").isin(own[:most]), F.col("lang")).otherwise(SEVERAL))
+
     def count(batches):
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
@@ -206,6 +215,12 @@ def fused(evidence: DataFrame, model: Model, hosts: DataFrame, declared: np.ndar
     return rows.select("*", pick(F.col("__post")).alias("__lang"), F.array_max("__post").alias("__p"), pick(F.col("__text")).alias("__text_lang"))
 
 
+def _named(lang: Column, declared: Column) -> Column:
+    """The language of a row: what it declares where its class is that of several."""
+    said = F.nullif(F.lower(F.trim(declared.cast("string"))), F.lit(""))
+    return F.when(lang == SEVERAL, F.coalesce(said, lang)).otherwise(lang)
+
+
 def identify(rows: DataFrame, model: Model, id_col: str, text: str, declared: str, host: str, markup: bool = False) -> DataFrame:
     """Per row id, host, declared, lang (``und`` if rejected), probability,
     the language by text alone, and kept."""
@@ -217,7 +232,7 @@ def identify(rows: DataFrame, model: Model, id_col: str, text: str, declared: st
         F.col("__id").alias(id_col),
         F.col("__a").alias("host"),
         F.col("__d").alias("declared"),
-        F.col("__lang").alias("lang"),
+        _named(F.col("__lang"), F.col("__d")).alias("lang"),
         F.round("__p", 6).alias("probability"),
         F.col("__text_lang").alias("text_lang"),
         (F.lit(not model.languages) | (F.col("__lang") != UNKNOWN)).alias("kept"),

@@ -29,8 +29,9 @@ from mercato.llm.whitening import components_of, whiten
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text`` is what is left, with replacement characters where a cut parts one."""
     found = remove_repeats(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op2_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

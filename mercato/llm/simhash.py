@@ -13,7 +13,10 @@ shard and is a query in every shard whose boundary it overlaps. Queries need to
 cross one way only (near to far), which finds every pair once. Inside a shard the
 tree goes on, down to leaves in which only fingerprints whose distance to the
 leaf's vantage point differs by ``max_bits`` at most are compared. The sample
-shapes the tree, never the result: all pairs are found at any fit.
+shapes the tree, never the result: all pairs are found at any fit. Shards that are
+still over ``SHARD_LIMIT`` are dealt again, each by a tree fitted on a sample of its own
+rows, until none is or none can be split, so what a task holds does not grow with the
+input.
 
 A leaf's links are reduced to a spanning forest before they leave the task, so a
 dense group gives as many rows as members; components follow from
@@ -27,6 +30,7 @@ repeated rows share their component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +47,11 @@ SHINGLE_WORDS, MAX_BITS = 3, 2
 SAMPLE, MAX_SHARDS = 50_000, 4_096
 #: Fingerprints a shard aims at, and a leaf inside it.
 SHARD_ROWS, LEAF_ROWS = 8_192, 512
+#: Fingerprints at home in a shard above which it is dealt again, into 2^FURTHER_LEVELS
+#: parts at most, by a tree fitted on about FURTHER_SAMPLE of them.
+SHARD_LIMIT, FURTHER_LEVELS, FURTHER_SAMPLE = 32_768, 6, 4_096
+#: Bits of the broadcast bitmap that tells linked documents: 2 MB whatever the input.
+BITMAP_BITS = 1 << 23
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -183,12 +192,43 @@ def links(groups: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE) ->
     levels = max(0, min(MAX_SHARDS.bit_length() - 1, int(np.ceil(np.log2(max(1, n) / SHARD_ROWS)))))
     tree = fit(fitted, max(64, len(fitted) >> max(levels, 1)) if levels else len(fitted), levels)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shard, part, home in route(fps, tree, max_bits):
-                size = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, shard), pa.int64()), pa.array(part.view(np.int64)), pa.array(np.full(size, home))], ["shard", "fp", "home"])
+    def dealt(frame: DataFrame, trees) -> DataFrame:
+        """Rows (shard, fp, home) of the shards that have a tree, dealt by it."""
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                shards, fps, homes = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                order = np.lexsort((homes, shards))
+                shards, fps, homes = shards[order], fps[order].view(np.uint64), homes[order]
+                cut = np.flatnonzero(np.append(True, (np.diff(shards) != 0) | (np.diff(homes.astype(np.int8)) != 0))) if len(shards) else []
+                for s, e in zip(cut, np.append(cut[1:], len(shards)).astype(int) if len(cut) else []):
+                    for shard, part, home in route(fps[s:e], trees[int(shards[s])], max_bits, bool(homes[s]), int(shards[s])):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard), pa.int64()), pa.array(part.view(np.int64)), pa.array(np.full(len(part), home))], ["shard", "fp", "home"])
+
+        return frame.mapInArrow(deal, "shard long, fp long, home boolean")
+
+    def own_tree(key: tuple, table: pa.Table) -> pa.Table:
+        fps = np.unique(table.column("fp").to_numpy()).view(np.uint64)
+        tree = fit(fps, max(64, len(fps) >> FURTHER_LEVELS), FURTHER_LEVELS)
+        return pa.table({"shard": [key[0].as_py()], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    def further(rows: DataFrame) -> DataFrame:
+        whole = np.iinfo(np.int64).max
+        done: set[int] = set()
+        while True:
+            sizes = rows.filter("home").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD_LIMIT)
+            big = {r["shard"]: r["n"] for r in sizes.collect() if r["shard"] not in done and r["shard"] < whole >> FURTHER_LEVELS + 1}
+            if not big:
+                return rows
+            # one row for each shard over the limit, so the total over the limit at most
+            marks = F.broadcast(rows.sparkSession.createDataFrame(list(big.items()), "shard long, n long"))
+            some = rows.filter("home").join(marks, "shard").filter(F.pmod(F.xxhash64("fp", "shard"), F.greatest(F.lit(1), F.expr(f"n div {FURTHER_SAMPLE}"))) == 0)
+            trees = {r["shard"]: pickle.loads(r["tree"]) for r in some.groupBy("shard").applyInArrow(own_tree, "shard long, tree binary").collect()}
+            done |= {x for x in big if trees.get(x) is None}  # all at one distance: the leaves see to them
+            trees = {x: t for x, t in trees.items() if t is not None}
+            if trees:
+                names = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in trees], "shard long"))
+                rows = save(rows.join(names, "shard", "left_anti").unionByName(dealt(rows.join(names, "shard", "left_semi"), trees)), "dealt")
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         fps = table.column("fp").to_numpy().view(np.uint64)
@@ -197,8 +237,8 @@ def links(groups: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE) ->
         found = [(a, b) for a, b in found.items() if a != b]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    dealt = groups.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
+    first = save(dealt(groups.select(F.lit(1).cast("long").alias("shard"), "fp", F.lit(True).alias("home")), {1: tree}), "dealt")
+    return further(first).groupBy("shard").applyInArrow(search, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -246,9 +286,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest
-    id (null ids last). Only documents in components of two or more are moved;
-    a component is reduced on the map side first, so a large one leaves a row
-    per task."""
+    id (null ids last). A bitmap of the fingerprints in components of two or more is
+    broadcast; documents whose bit is not set pass straight through, and only the
+    others (a few by chance) are moved with their texts; a component is reduced on the
+    map side first, so a large one leaves a row per task."""
     schema = docs.schema
 
     def fp_of(texts):
@@ -262,8 +303,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rooted = groups.join(found, groups["fp"] == found["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
     joint = rooted.groupBy("root").agg(F.sum("n").alias("m")).filter("m >= 2").withColumnRenamed("root", "__root")
     joint = save(rooted.join(joint, rooted["root"] == joint["__root"]).select("fp", "n", "root"), "joint")
-    marked = attach(rows, joint, ["fp"], "n", ["__id"])
+    at = F.pmod(F.xxhash64("fp"), F.lit(BITMAP_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(fp), {BITMAP_BITS}) % 64 as int))")
+    bitmap = joint.groupBy(F.shiftright(at, 6).alias("__word")).agg(F.bit_or(bit).alias("__mask"))
+    hits = rows.join(F.broadcast(bitmap), F.shiftright(at, 6) == F.col("__word"), "left")
+    hits = hits.withColumn("__hit", F.coalesce(F.col("__mask").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__mask")
+    alone = hits.filter(~F.col("__hit")).select("__row")
+    marked = attach(hits.filter("__hit").drop("__hit"), joint, ["fp"], "n", ["__id"])
     first = F.coalesce(F.col("__id"), F.lit((1 << 63) - 1))
     single = marked.filter("root is null").select("__row")
     shared = marked.filter("root is not null").groupBy("root").agg(F.min_by("__row", first).alias("__row")).select("__row")
-    return single.unionByName(shared).select("__row.*").select(*[F.col(f.name) for f in schema])
+    return alone.unionByName(single).unionByName(shared).select("__row.*").select(*[F.col(f.name) for f in schema])

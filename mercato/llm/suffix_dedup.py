@@ -47,6 +47,7 @@ CHUNK_BYTES = 1 << 19
 #: Bits of the broadcast bitmap of documents: 2 MB whatever the input.
 BITMAP_BITS = 1 << 23
 ENTRY = np.dtype([("core", "<i8"), ("ctx", "<i8"), ("key", "<i8"), ("n", "<i4"), ("s", "<i4"), ("w", "u1"), ("off", "u1")])
+SPAN_OF = np.dtype([("key", "<i8"), ("n", "<i4"), ("s", "<i4"), ("e", "<i4")])
 ROWS = "core long, ctx long, key long, n int, s int, w int, off int"
 
 
@@ -97,8 +98,38 @@ def entries(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def collapsed(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(``e`` with one suffix for each core and context, the spans of those that were
+    there more than once). Equal contexts at different places are repeated whole, so
+    their spans are known here; the one that stays stands for them in the index. In a
+    run of one byte, or of a few, every position is an anchor: a run leaves a suffix
+    for each byte of its period."""
+    order = np.lexsort((e["s"], e["n"], e["key"], e["ctx"], e["core"]))
+    e = e[order]
+    if not len(e):
+        return e, np.zeros(0, SPAN_OF)
+    ids = e[["core", "ctx", "key", "n", "s"]]
+    e = e[np.append(True, ids[1:] != ids[:-1])]  # copies of a text are one text
+    new = np.append(True, (np.diff(e["core"]) != 0) | (np.diff(e["ctx"]) != 0))
+    many = np.diff(np.append(np.flatnonzero(new), len(e)))
+    some = e[np.repeat(many > 1, many)]
+    some = some[np.lexsort((some["s"], some["n"], some["key"]))]
+    ends = some["s"] + some["w"] + LENGTH
+    if len(some):  # runs of spans that touch
+        apart = np.append(True, (np.diff(some["key"]) != 0) | (np.diff(some["n"]) != 0))
+        # within a text later anchors reach further, so the last end is the greatest
+        first = np.flatnonzero(apart | np.append(True, some["s"][1:] > ends[:-1]))
+        spans = np.zeros(len(first), SPAN_OF)
+        spans["key"], spans["n"], spans["s"] = some["key"][first], some["n"][first], some["s"][first]
+        spans["e"] = np.maximum.reduceat(ends, first)
+    else:
+        spans = np.zeros(0, SPAN_OF)
+    return e[new], spans
+
+
 def _scan(docs: DataFrame, text_col: str, batches: int, shards: int) -> DataFrame:
-    """Suffixes of every text, by batch and shard."""
+    """Suffixes of every text, by batch and shard; as batch -1 the spans that are
+    known to be repeated from a task's own texts."""
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task are indexed once
@@ -106,13 +137,14 @@ def _scan(docs: DataFrame, text_col: str, batches: int, shards: int) -> DataFram
         size = 0
 
         def out() -> pa.RecordBatch:
-            e = entries(held)
+            e, spans = collapsed(entries(held))
             place = (e["key"].view(np.uint64) % np.uint64(batches)).astype(np.int64) * shards + (e["core"].view(np.uint64) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(place, kind="stable")
             e, place = e[order], place[order]
             cut = np.flatnonzero(np.append(True, np.diff(place) != 0)) if len(e) else np.zeros(0, np.int64)
             blobs = [e[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(e)))]
-            return pa.RecordBatch.from_arrays([pa.array(place[cut] // shards), pa.array(place[cut] % shards), pa.array(blobs, pa.binary())], ["batch", "shard", "suffixes"])
+            batch, shard = [*(place[cut] // shards).tolist(), -1], [*(place[cut] % shards).tolist(), 0]
+            return pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), pa.array(shard, pa.int64()), pa.array([*blobs, spans.tobytes()], pa.binary())], ["batch", "shard", "suffixes"])
 
         for record in records:
             for t in record.column(0):
@@ -200,6 +232,19 @@ def family_hits(spark: SparkSession, scanned: str, batches: int) -> DataFrame:
     return hits.mapInArrow(rows, ROWS)
 
 
+def known_spans(spark: SparkSession, scanned: str) -> DataFrame:
+    """(key, n, s, e): the spans of ``collapsed``."""
+
+    def rows(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in records:
+            for blob in r.column(0):
+                e = np.frombuffer(blob.as_py(), SPAN_OF)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[c]).astype(np.int64 if c == "key" else np.int32)) for c in SPAN_OF.names], list(SPAN_OF.names))
+
+    found = spark.read.schema("batch long, shard long, suffixes binary").parquet(scanned).filter("batch = -1")
+    return found.select("suffixes").mapInArrow(rows, "key long, n int, s int, e int")
+
+
 # --- exact windows and spans --------------------------------------------------------
 
 
@@ -334,7 +379,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = windows.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("m")).filter("a != b").select("h", "m")
     outer = outer.unionByName(attach(windows.filter("alone"), save(twice, "twice"), ["h"], "m", ["key", "s"], "inner").select("key", "n", "s", (F.col("s") + LENGTH).alias("e")))
 
-    runs = whole.unionByName(inner).unionByName(outer)
+    runs = whole.unionByName(inner).unionByName(outer).unionByName(known_spans(spark, scanned))
     spans = save(runs.groupBy("key", "n").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
     marked = _marked(keyed, spans)
     with_spans = _of_texts(marked.filter("hit"), spans, copies, "left").select("id", "raw", "spans")
