@@ -9,6 +9,9 @@ Both ranks are global but no window sees a whole source or the whole table: the
 hash (uniform by construction) and the fractional rank (uniform by meaning) are
 first cut into buckets of about ``rows_per_bucket`` rows, rows are numbered
 inside their bucket, and a running sum over the bucket counts gives the offsets.
+Many sources of one size share their fractions, as all those of one row do: a bucket
+over ``CROWDED`` times its aim is numbered in parts, by fraction and the source's hash,
+with a running sum over the parts.
 
 Defined cases: a null source is a stratum of its own; null ids and repeated
 rows are ordered by what else the row holds, and fully equal rows are
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from mercato.llm.shared import save
 
-ROWS_PER_BUCKET = 1_024
+ROWS_PER_BUCKET, CROWDED = 1_024, 4
 #: Most buckets, which bounds the one window over bucket counts.
 MAX_BUCKETS = 100_000
 
@@ -55,9 +58,23 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
     slices = ranked.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
     # one row per bucket, MAX_BUCKETS at most
-    slices = slices.select("slice", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    running = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = save(slices.select("slice", "n", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before")), "slices")
+    whole = ranked.join(slices, "slice")
+    crowded = F.col("n") > CROWDED * rows_per_bucket
     inside = Window.partitionBy("slice").orderBy("frac", *stratum, "rank")
-    placed = ranked.withColumn("rn", F.row_number().over(inside)).join(slices, "slice").withColumn("pos", F.col("before") + F.col("rn") - 1)
+    ordinary = whole.filter(~crowded).withColumn("pos", F.col("before") + F.row_number().over(inside) - 1)
+    # parts of about the aim: rows of one fraction are parted by their source
+    part = F.pmod(F.xxhash64(*stratum), F.greatest(F.lit(1).cast("long"), F.expr(f"n div {rows_per_bucket}")))
+    parted = whole.filter(crowded).withColumn("part", part)
+    parts = parted.groupBy("slice", "frac", "part").agg(F.count(F.lit(1)).alias("of"))
+    earlier = Window.partitionBy("slice").orderBy("frac", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("slice", "frac", "part", F.coalesce(F.sum("of").over(earlier), F.lit(0)).alias("within"))
+    inside = Window.partitionBy("slice", "frac", "part").orderBy(*stratum, "rank")
+    numbered = parted.withColumn("rn", F.row_number().over(inside)).join(parts, ["slice", "frac", "part"])
+    numbered = numbered.withColumn("pos", F.col("before") + F.col("within") + F.col("rn") - 1)
+    names = ["__id", "size", "text_crc32", "pos"]
+    placed = ordinary.select(names).unionByName(numbered.select(names))
     at = F.expr(f"(pos * {shards}) div {max(total, 1)}")
     return placed.withColumn("__shard", at).select(
         F.col("__id").alias(id_col),

@@ -77,15 +77,41 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_sharding(docs, empty):
-    got = sharding.shard(docs, shards=4, rows_per_bucket=5).collect()
+def check_shards(got, rows, shards):
+    """Sizes, checksums, counts, slots, and every source spread over all shards."""
+    facts = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, *facts(t)) for i, t, _ in rows)
+    assert all(r["law"] == "rows" and r["grown_shard"] is None for r in got)
     counts = Counter(r["shard"] for r in got)
-    assert len(got) == len(corpus()) and max(counts.values()) - min(counts.values()) <= 1
+    assert max(counts.values()) - min(counts.values()) <= 1 and set(counts) <= set(range(shards))
     for s in counts:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
+
+
+def test_sharding(docs, empty):
+    rows = [(r[0], r[1], r[3]) for r in corpus()]
+    check_shards(sharding.shard(docs, shards=4, rows_per_bucket=5).collect(), rows, 4)
+    check_shards(sharding.shard(docs, shards=4).collect(), rows, 4)
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_keeps_the_mixture(spark):
+    """Two large sources among 6,000 of one document and 1,000 of two: those of one
+    size share their fractions, so one bucket holds thousands of rows."""
+    rows = [(i, f"one {i}", f"single{i}") for i in range(6_000)] + [(10_000 + i, f"two {i}", f"pair{i // 2}") for i in range(2_000)]
+    rows += [(20_000 + i, f"a {i}", "a") for i in range(3_200)] + [(30_000 + i, f"b {i}", None) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = sharding.shard(df, shards=8, rows_per_bucket=64).collect()
+    check_shards(got, rows, 8)
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in got) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard(df.repartition(3), shards=8, rows_per_bucket=64).collect())
+    source = {i: s for i, _, s in rows}
+    per = Counter((source[r["doc_id"]], r["shard"]) for r in got)
+    # the rows between those of a source are as many as the crowded fractions leave
+    assert all(sum(per[s, k] for k in range(8)) == n for s, n in (("a", 3_200), (None, 800)))
+    crowd = Counter(r["shard"] for r in got if (source[r["doc_id"]] or "").startswith("single"))
+    assert len(crowd) >= 4  # a fraction of one half, 6,000 rows wide
+
+
 def test_simhash(docs, empty):
     got = simhash.simhash_dedup(docs).collect()
     rows = corpus()
@@ -261,6 +287,43 @@ def test_top_k(spark):
     assert Counter(tuple(r) for r in got) == want
 
 
+def top(rows, queries, k=5):
+    want = Counter()
+    for i in queries:
+        best = sorted((-sum(a * b for a, b in zip(dict(rows)[i], v)), j) for j, v in rows if j != i)[:k]
+        want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(best))
+    return want
+
+
+def test_top_k_of_large_components(spark):
+    """Whole numbers over 256 as components, so that the quantised ones are plain; sizes
+    from 1 to 2^40 in one block, empty and short vectors."""
+    rnd = random.Random(4)
+    rows = [(0, (300, 1)), (1, (70_000, 0)), (2, (1, 2)), (3, ()), (4, (-(1 << 30), 5)), (5, (1 << 31, 7)), (50, (-3,)), (100, ())]
+    rows += [(200 + i, tuple(rnd.randint(-(1 << rnd.randint(1, 27)), 1 << rnd.randint(1, 27)) for _ in range(3))) for i in range(90)]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    asked = [i for i, _ in rows if i % 50 == 0]
+    got = bitsliced.top_k(df, df.filter("vec_id % 50 = 0"), block_rows=40, block_queries=2).collect()
+    assert Counter(tuple(r) for r in got) == top(rows, asked)
+    # integers of any size where 64 bits may not do
+    huge = [(0, (1 << 35, 3)), (1, (1 << 26, 1)), (2, (-(1 << 26), 9)), (3, (0, 1))]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in huge], "vec_id long, embedding array<double>")
+    assert Counter(tuple(r) for r in bitsliced.top_k(df, df.filter("vec_id = 0")).collect()) == top(huge, [0])
+    for beyond in ([(0, (float(1 << 60),)), (1, (2.0,))], [(0, (float(1 << 30),)), (1, (float(1 << 30),))]):
+        df = spark.createDataFrame([(i, list(v)) for i, v in beyond], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond a long"):
+            bitsliced.top_k(df, df.filter("vec_id = 0")).collect()
+
+
+def test_top_k_of_little(spark):
+    schema = "vec_id long, embedding array<double>, score long, rank string"
+    none = spark.createDataFrame([], schema)
+    one = spark.createDataFrame([(1, [0.5], 9, "x"), (2, None, 9, "x"), (1, [0.25], 9, "x")], schema)
+    assert bitsliced.top_k(none, none).collect() == [] == bitsliced.top_k(one, none).collect() == bitsliced.top_k(none, one).collect()
+    assert bitsliced.top_k(one, one).collect() == []  # its own id only
+    assert [tuple(r) for r in bitsliced.top_k(one, spark.createDataFrame([(3, [1.0, 4.0], 0, "")], schema)).collect()] == [(3, 1, 1, 32768), (3, 2, 1, 16384)]
+
+
 def test_html():
     page = """<html><body><header>Site</header><div id="cookie-notice">We use cookies, a lot of them.</div><div class="sidebar"><p>Links, and more, links.</p></div>
     <div class="content"><h1>T &amp; U</h1><p>First, with <b>bold</b>   text, long enough to count as an article.<p>Second, &eacute;t&eacute;, also long enough, with commas.</div>
