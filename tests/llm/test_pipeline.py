@@ -1,0 +1,211 @@
+"""Every pipeline stage, and language ID on its own, against a brute-force version."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from mercato.llm import langid, simhash
+from mercato.llm.packing import END_ID
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __row string"
+
+
+def identified(model: langid.Model, rows: list[tuple]) -> list[tuple[str, float]]:
+    """(language, probability) of rows (text, declared, host), with numpy and loops."""
+    classes = [*model.languages, langid.UNKNOWN]
+    k = len(classes)
+    text = []
+    for t, _, _ in rows:
+        grams = langid.trigrams(t)
+        text.append(model.table[grams].astype(float).sum(axis=0) / langid.OVERLAP if len(grams) else np.zeros(k))
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    start = np.log([(1 - langid.UNKNOWN_PRIOR) / (k - 1)] * (k - 1) + [langid.UNKNOWN_PRIOR])
+    soft = [softmax(x + start) for x in text]
+    said, hosts = [], []
+    for _, d, h in rows:
+        d = (d or "").strip().lower()
+        short = "".join(c if ok else "" for c, ok in zip(d, np.cumprod([c in "abcdefghijklmnopqrstuvwxyz" for c in d]))) if d else ""
+        said.append(model.languages.index(d) if d in model.languages else model.languages.index(short) if short in model.languages else k - 1 + (short == ""))
+        hosts.append((h or "").lower())
+    confusion = np.full((k + 1, k), 0.5)
+    by_host, by_suffix = defaultdict(list), defaultdict(list)
+    for s, h, r in zip(said, hosts, soft):
+        confusion[s] += r
+        by_host[h].append(r)
+        by_suffix[h.rpartition(".")[2]].append(r)
+    overall = confusion.sum(axis=0) / confusion.sum()
+    declared = np.log(confusion / confusion.sum(axis=0))
+    out = []
+    for x, s, h in zip(text, said, hosts):
+        suffix, host = by_suffix[h.rpartition(".")[2]], by_host[h]
+        up = (np.sum(suffix, axis=0) + langid.SMOOTHING * overall) / (len(suffix) + langid.SMOOTHING)
+        prior = np.log((np.sum(host, axis=0) + langid.SMOOTHING * up) / (len(host) + langid.SMOOTHING))
+        total = x + prior + declared[s]
+        if not x.any():
+            total[-1] = -math.inf
+        post = softmax(total)
+        out.append((classes[int(post.argmax())], float(post.max())))
+    return out
+
+
+def prose(rnd: random.Random, letters: str, words: int) -> str:
+    return " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 8))) for _ in range(words))
+
+
+LETTERS = {"en": "aeionrstlhdu", "de": "eirnstaäöüßc", "el": "αβγδεζηθικλμ"}
+
+
+@pytest.fixture(scope="module")
+def labelled() -> list[tuple]:
+    rnd = random.Random(9)
+    rows = []
+    for i in range(240):
+        lang = "en" if i % 3 else "de" if i % 2 else "el"
+        rows.append((prose(rnd, LETTERS[lang], rnd.randint(20, 60)), lang, f"www.site{i % 4}.{'com' if lang == 'en' else lang}"))
+    return rows
+
+
+def test_fusion_against_brute_force(spark, labelled):
+    """Short and shared words leave the text undecided: declarations and hosts decide,
+    each in some rows; nulls, ties, copies, regions and unheard-of declarations."""
+    rnd = random.Random(1)
+    model = langid.fit(spark.createDataFrame([r[:2] for r in labelled], "text string, lang string"))
+    odd = [("est", "de", "www.site1.de"), ("est", "en", "www.site1.com"), ("ne", None, "www.site1.de"), ("ne", None, "www.site0.com"), (None, "el", "x.el"), ("", None, None)]
+    odd += [("sri", "DE-at ", "a.b"), ("sri", "zz", "a.b"), ("123 456", "en", "www.site3.el"), ("一二三 " * 60, "en", "www.site0.com"), ("st", "el", "www.site1.com")] * 2
+    odd += [(prose(rnd, "enrst", 2), rnd.choice(["en", "de", None]), f"www.site{rnd.randrange(4)}.{rnd.choice(['com', 'de', 'el'])}") for _ in range(60)]
+    rows = labelled + odd
+    schema = "doc_id long, text string, declared string, host string, lang string, probability double, __text double"
+    df = spark.createDataFrame([(i, *r, "clash", 0.5, 1.5) for i, r in enumerate(rows)], schema).repartition(4)
+    got = {r["doc_id"]: r for r in langid.identify(df, model, "doc_id", "text", "declared", "host").collect()}
+    want = identified(model, rows)
+    assert len(got) == len(rows)
+    for i, (lang, p) in enumerate(want):
+        assert got[i]["lang"] == lang and got[i]["probability"] == pytest.approx(p, abs=2e-6), rows[i]
+        assert got[i]["kept"] == (lang != langid.UNKNOWN)
+    # evidence besides the text did change rows, both kinds of it
+    moved = [i for i, r in got.items() if r["lang"] != r["text_lang"] and rows[i][0]]
+    assert len(moved) >= 3
+    by_host = defaultdict(set)
+    for i, (t, d, _) in enumerate(rows):
+        by_host[t, d].add(got[i]["lang"])
+    by_said = defaultdict(set)
+    for i, (t, _, h) in enumerate(rows):
+        by_said[t, h].add(got[i]["lang"])
+    assert any(len(x) > 1 for x in by_host.values()) and (any(len(x) > 1 for x in by_said.values()) or got[len(labelled)]["lang"] == "de")
+    assert sum(r["lang"] == langid.UNKNOWN for r in got.values()) == 2
+
+
+@pytest.fixture(scope="module")
+def corpus(labelled) -> list[tuple]:
+    rnd = random.Random(3)
+    rows = [(i, t, lang, f"s{i % 3}" if i % 10 else None) for i, (t, lang, _) in enumerate(labelled)]
+    long = prose(rnd, LETTERS["en"], 400)
+    rows += [(1_000 + i, long.upper() if i % 2 else long, "en", "s0") for i in range(40)]
+    near = long.split()
+    rows += [(2_000 + i, " ".join([*near, "tail" * (i % 2 + 1)]), "en", "s1") for i in range(6)]
+    rows += [(3_000, None, None, None), (3_001, "", "en", "s1"), (3_002, "一二三四 " * 300, "xx", "s9"), (None, prose(rnd, LETTERS["de"], 50), "de", "s0"), (5, rows[5][1], "en", "s2")]
+    return [(*r, None, "clash") for r in rows]
+
+
+def docs_of(frame) -> Counter:
+    return Counter(tuple(r) for r in frame.collect())
+
+
+def test_stages(spark, corpus):
+    docs = spark.createDataFrame(corpus, SCHEMA).repartition(5)
+    stages = dict(corpus_pipeline.STAGES)
+    # language ID: what the unknown class wins goes
+    kept = stages["language_id"](spark, docs, None)
+    model = langid.fit(docs.select("text", "lang"))
+    found = identified(model, [(r[1], r[2], r[3]) for r in corpus])
+    want = [r for r, (lang, _) in zip(corpus, found) if lang != langid.UNKNOWN]
+    assert kept.columns == docs.columns and docs_of(kept) == Counter(want)
+    # exact duplicates: of texts equal but for A-Z, the largest id
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    best: dict = {}
+    for r in want:
+        key = hashlib.sha256(lower(r[1]).encode()).digest()
+        if key not in best or (r[0] or -1) > (best[key][0] or -1):
+            best[key] = r
+    kept = stages["exact_dedup"](spark, spark.createDataFrame(want, SCHEMA).repartition(4), None)
+    # rows that agree in id and text are interchangeable
+    agree = lambda rows: Counter((r[0], r[1]) for r in rows)
+    assert kept.columns == docs.columns and agree(kept.collect()) == agree(best.values())
+    # near duplicates: one of each component, the smallest id
+    rows = list(best.values())
+    fps = [simhash.fingerprint(r[1]) for r in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        new = [min(label[j] for j, b in enumerate(fps) if (a ^ b).bit_count() <= 2) for a in fps]
+        if new == label:
+            break
+        label = new
+    groups = defaultdict(list)
+    for r, x in zip(rows, label):
+        groups[x].append(r)
+    want = [min(g, key=lambda r: math.inf if r[0] is None else r[0]) for g in groups.values()]
+    kept = stages["simhash_dedup"](spark, spark.createDataFrame(rows, SCHEMA).repartition(4), None)
+    assert kept.columns == docs.columns and docs_of(kept) == Counter(want) and len(want) < len(rows)
+    # mixing: floor(rate) copies and one more with the rest's probability
+    mixed = docs_of(stages["source_mixing"](spark, spark.createDataFrame(want, SCHEMA).repartition(3), None))
+    sizes = defaultdict(int)
+    for r in want:
+        sizes[r[3]] += len((r[1] or "").split())
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weights = {s: i % 3 + 1 for i, s in enumerate(order)}
+    total, targets, open_ = sum(sizes.values()), {}, set(order)
+    while open_:
+        left = total - sum(targets.values())
+        shares = {s: left * weights[s] / sum(weights[x] for x in open_) for s in open_}
+        over = {s for s in open_ if shares[s] > 3 * sizes[s]}
+        if not over:
+            targets |= shares
+            break
+        targets |= {s: 3.0 * sizes[s] for s in over}
+        open_ -= over
+    assert set(mixed) <= set(want)
+    for r in want:
+        rate = targets[r[3]] / sizes[r[3]] if sizes[r[3]] else 0
+        u = int(hashlib.md5(f"42:{'null' if r[0] is None else r[0]}:{len((r[1] or '').split())}".encode()).hexdigest()[:8], 16) / 2**32
+        assert mixed[r] == math.floor(rate + 1e-12) + (u < rate - math.floor(rate + 1e-12)), r[0]
+    # packing: every id of every copy once
+    from tokenizers import Tokenizer
+
+    from mercato.llm.tokens import default_vocabulary
+
+    library = Tokenizer.from_file(default_vocabulary())
+    rows = list(mixed.elements())
+    length = {r: len(library.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in set(rows)}
+    packed = stages["packing"](spark, spark.createDataFrame(rows, SCHEMA).repartition(3), None).collect()
+    covered = Counter()
+    for r in packed:
+        covered[r["doc_id"], r["doc_tokens"]] += r["length"]
+    wanted = Counter()
+    for r in rows:
+        wanted[r[0], length[r]] += length[r]
+    assert covered == wanted and END_ID == 0
+
+
+def test_empty_and_whole(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, None).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, None).count() == 0
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = spark.createDataFrame(stage(spark, at, folder).collect(), docs.schema)
+    facts = lambda frame: Counter((r["doc_id"], r["doc_tokens"]) for r in frame.filter("start = 0").collect())
+    assert facts(corpus_pipeline.run(spark, folder)) == facts(corpus_pipeline.STAGES[-1][1](spark, at, folder))
