@@ -64,8 +64,15 @@ def load_tables(
     """
     from mercato.sources import files, generated, reuse as kept
 
+    locations = generated.locations(path)
+    state = kept.known(spark, locations) if names is None else None
+    if state is not None:  # seen before and unchanged: nothing to look for or to infer
+        tables = generated.load(spark, path, state.schemas)
+        return kept.with_kept(tables, locations, state.fingerprint, reuse)
     star = names is None and generated.looks_generated(spark, path)
-    locations = generated.locations(path) if star else files.locations(spark, path, names)
+    if not star:
+        locations = files.locations(spark, path, names)
     before = kept.fingerprint(spark, locations)
-    tables = generated.load(spark, path) if star else files.load(spark, path, names)
-    return kept.with_kept(tables, locations, before, reuse)
+    schemas: dict = {}
+    tables = generated.load(spark, path, schemas) if star else files.load(spark, path, names)
+    return kept.with_kept(tables, locations, before, reuse, schemas)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mercato.schema import MONEY
 from mercato.sources import Tables, exists
@@ -60,9 +61,16 @@ def _money(c: F.Column) -> F.Column:
     return c.cast(MONEY)
 
 
-def load(spark: SparkSession, path: str) -> Tables:
+def load(spark: SparkSession, path: str, schemas: dict[str, T.StructType] | None = None) -> Tables:
+    """The logical tables of the files under ``path``. Schemas in ``schemas`` spare
+    their inference, which reads footers; those not in it are put there."""
+    schemas = {} if schemas is None else schemas
+
     def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
+        at = f"{path.rstrip('/')}/{name}.parquet"
+        found = spark.read.schema(schemas[name]).parquet(at) if name in schemas else spark.read.parquet(at)
+        schemas[name] = found.schema
+        return found
 
     customer, nation = raw("customer"), raw("nation")
     orders, lineitem = raw("orders"), raw("lineitem")

@@ -4,7 +4,8 @@ A state is the set of files under the tables' paths: their names, lengths and
 modification times, listed by Spark (no content is read) on every load. For a state
 that was seen before in this session
 
-* whether ids repeat is known without another pass over them, and
+* whether ids repeat is known without another pass over them,
+* the schemas of generated files need no other look at their footers, and
 * with ``reuse`` the order- and person-level tables that many reports start from
   (:data:`BUILDERS`) are read from the shared folder: the first report that needs one
   writes it there, so the lines are aggregated once for all reports.
@@ -22,8 +23,10 @@ import dataclasses
 import uuid
 from collections.abc import Iterator, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mercato.session import NoSharedFolder, checkpoint_dir
 from mercato.sources import Tables
@@ -42,6 +45,7 @@ BUILDERS = {
 class _State:
     fingerprint: tuple
     repeated: bool
+    schemas: dict[str, T.StructType] = dataclasses.field(default_factory=dict)
     paths: dict[str, str] = dataclasses.field(default_factory=dict)
 
 
@@ -56,6 +60,22 @@ def fingerprint(spark: SparkSession, locations: list[str]) -> tuple:
     return tuple(files.agg(F.count("*"), F.sum("length"), F.bit_xor(one), F.max("modificationTime")).first())
 
 
+def _key(spark: SparkSession, locations: list[str]) -> tuple:
+    try:
+        return (spark.sparkContext.applicationId, *locations)
+    except Exception:  # Spark Connect
+        return ("", *locations)
+
+
+def known(spark: SparkSession, locations: list[str]) -> _State | None:
+    """The state of ``locations``, if it was seen before and the files are unchanged."""
+    state = _states.get(_key(spark, locations))
+    try:
+        return state if state and fingerprint(spark, locations) == state.fingerprint else None
+    except AnalysisException:  # a path is gone
+        return None
+
+
 class Kept(Mapping):
     """The tables of a state by name, each written when it is first asked for."""
 
@@ -89,20 +109,15 @@ class Kept(Mapping):
         return self.own[name]
 
 
-def with_kept(tables: Tables, locations: list[str], before: tuple, reuse: bool) -> Tables:
+def with_kept(tables: Tables, locations: list[str], before: tuple, reuse: bool, schemas: dict | None = None) -> Tables:
     """``tables``, loaded after the fingerprint ``before`` was taken, with checked ids
     and, with ``reuse``, kept tables."""
     spark = tables.orders.sparkSession
-    try:
-        application = spark.sparkContext.applicationId
-    except Exception:  # Spark Connect
-        application = ""
-    key = (application, *locations)
-    state = _states.get(key)
+    state = _states.get(_key(spark, locations))
     if state is None or state.fingerprint != before:
-        state = _State(before, bool(check(tables, UNIQUE_IDS)))
+        state = _State(before, bool(check(tables, UNIQUE_IDS)), schemas or {})
         if fingerprint(spark, locations) == before:
-            _states[key] = state
+            _states[_key(spark, locations)] = state
     tables = dataclasses.replace(tables, repeated_ids=state.repeated)
     if not reuse:
         return tables

@@ -61,6 +61,22 @@ def test_files_that_change_while_a_table_is_written(spark, copy, monkeypatch):
     assert kept.shared.state.paths == {}
 
 
+def test_a_folder_that_goes_and_other_columns(spark, copy):
+    """A known path whose files are rewritten with one more column, or are gone."""
+    load_tables(spark, copy)
+    supplier = f"{copy}/supplier.parquet"
+    rows = spark.createDataFrame(spark.read.parquet(supplier).collect())
+    rows.withColumn("extra", F.lit(1)).write.mode("overwrite").parquet(supplier)
+    assert load_tables(spark, copy).sellers.count() == rows.count()
+    import pathlib
+
+    for f in pathlib.Path(supplier).iterdir():
+        f.unlink()
+    pathlib.Path(supplier).rmdir()
+    with pytest.raises(FileNotFoundError):
+        load_tables(spark, copy)
+
+
 def test_without_a_shared_folder(spark, copy, monkeypatch):
     def none(_):
         raise reuse.NoSharedFolder("none")
