@@ -12,7 +12,8 @@ together, which is all that a scan for long matches needs.
 Documents come in batches. A batch's suffix array is built shard by shard,
 merge-scanned against every level of the family, and becomes a level itself;
 levels of equal size merge, so a suffix is rewritten a logarithmic number of
-times. A scan yields the suffixes, old and new, that have found a partner. The
+times. A scan yields the suffixes, old and new, that have found a partner; those of cores
+with very many suffixes have one for certain and stay out of the index. The
 windows of the matches are then checked exactly: suffixes whose whole context
 (all windows of their anchor) agrees with another's are repeated as they are;
 the others are borders of repeated passages, for which the text is fetched and
@@ -40,8 +41,11 @@ from mercato.llm.shared import attach, save, work_path
 LENGTH, SPAN, GRAM = 400, 256, 8
 CORE = LENGTH - SPAN + 1
 BATCHES = 4
-#: Contexts of one core that are compared in one task (30 MB at most).
-GROUPED_CONTEXTS = 50_000
+#: Suffixes of one core above which they do not enter the index: with so many, each has
+#: a partner. The cores that are this hot are broadcast, the hottest MOST_HOT at most.
+HOT_CORE, MOST_HOT = 4_096, 1_000_000
+#: Contexts of one core that are compared in one task (1.3 MB at most).
+GROUPED_CONTEXTS = 2_000
 #: Text that is indexed in one go.
 CHUNK_BYTES = 1 << 19
 #: Bits of the broadcast bitmap of documents: 2 MB whatever the input.
@@ -201,14 +205,50 @@ def _merge_scan(write_level: bool, merged: list[int]):
     return step
 
 
+SCANNED = "batch long, shard long, suffixes binary"
+
+
+def hot_cores(spark: SparkSession, scanned: str) -> np.ndarray:
+    """The cores with over ``HOT_CORE`` suffixes, ascending."""
+
+    def count(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in records:
+            found = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b.as_py(), ENTRY)["core"] for b in r.column(0))])
+            cores, n = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cores), pa.array(n, pa.int64())], ["core", "n"])
+
+    rows = spark.read.schema(SCANNED).parquet(scanned).filter("batch >= 0").select("suffixes")
+    counts = rows.mapInArrow(count, "core long, n long").groupBy("core").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") > HOT_CORE).orderBy(F.desc("n"), "core").limit(MOST_HOT).select("core").collect()
+    return np.sort(np.array([r["core"] for r in found], np.int64))
+
+
+def _of_cores(cores: np.ndarray, inside: bool):
+    """Suffixes whose core is among ``cores``, or those whose core is not."""
+
+    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in records:
+            blobs = []
+            for b in r.column(1):
+                e = np.frombuffer(b.as_py(), ENTRY)
+                blobs.append(e[np.isin(e["core"], cores) == inside].tobytes())
+            yield pa.RecordBatch.from_arrays([r.column(0), pa.array(blobs, pa.binary())], ["shard", "suffixes"])
+
+    return run
+
+
 def family_hits(spark: SparkSession, scanned: str, batches: int) -> DataFrame:
     """Feed the batches under ``scanned`` into a family of levels, one after the
     other; all suffixes that met a partner, as rows (some more than once)."""
     schema = "shard long, suffixes binary"
+    hot = hot_cores(spark, scanned)
     levels: list[tuple[int, DataFrame]] = []  # (batches inside, rows), largest first
     hits: DataFrame | None = None
     for i in range(batches):
-        part = spark.read.schema("batch long, " + schema).parquet(scanned).filter(F.col("batch") == i).select(F.lit(-1).alias("level"), "shard", "suffixes")
+        part = spark.read.schema(SCANNED).parquet(scanned).filter(F.col("batch") == i).select("shard", "suffixes")
+        if len(hot):
+            part = part.mapInArrow(_of_cores(hot, False), schema)
+        part = part.select(F.lit(-1).alias("level"), "shard", "suffixes")
         merged, size = [], 1  # levels of the size reached so far merge
         while len(levels) > len(merged) and levels[len(levels) - 1 - len(merged)][0] == size:
             merged.append(len(levels) - 1 - len(merged))
@@ -223,6 +263,10 @@ def family_hits(spark: SparkSession, scanned: str, batches: int) -> DataFrame:
         some = out.filter("kind = 0").select("suffixes")
         hits = some if hits is None else hits.unionByName(some)
 
+    if len(hot):
+        of_hot = spark.read.schema(SCANNED).parquet(scanned).filter("batch >= 0").select("shard", "suffixes").mapInArrow(_of_cores(hot, True), schema)
+        hits = hits.unionByName(of_hot.select("suffixes"))
+
     def rows(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in records:
             for blob in r.column(0):
@@ -241,7 +285,7 @@ def known_spans(spark: SparkSession, scanned: str) -> DataFrame:
                 e = np.frombuffer(blob.as_py(), SPAN_OF)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[c]).astype(np.int64 if c == "key" else np.int32)) for c in SPAN_OF.names], list(SPAN_OF.names))
 
-    found = spark.read.schema("batch long, shard long, suffixes binary").parquet(scanned).filter("batch = -1")
+    found = spark.read.schema(SCANNED).parquet(scanned).filter("batch = -1")
     return found.select("suffixes").mapInArrow(rows, "key long, n int, s int, e int")
 
 

@@ -48,6 +48,21 @@ def test_runs_of_a_byte_leave_few_suffixes(spark):
         assert hashlib.sha256(got[i]["kept"]).digest() == hashlib.sha256(left).digest()
 
 
+def test_hot_cores_stay_out_of_the_index(spark, monkeypatch):
+    """A line that every document has, in different company, and one that half of them
+    have: few suffixes make a core hot, few contexts are compared in one task."""
+    monkeypatch.setattr(suffix_dedup, "HOT_CORE", 20)
+    monkeypatch.setattr(suffix_dedup, "GROUPED_CONTEXTS", 15)
+    rnd = random.Random(7)
+    noise = lambda n: "".join(rnd.choice("abcdefghij klmnop") for _ in range(n))
+    line, passage = noise(230), noise(700)
+    texts = [f"{noise(rnd.randint(200, 900))}{line}{noise(rnd.randint(200, 900))}{passage if i % 2 else ''}{noise(rnd.randint(0, 300))}" for i in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df).collect()}
+    for i, (removed, runs, left) in enumerate(brute_repeats([t.encode() for t in texts])):
+        assert (got[i]["n_removed"], got[i]["n_spans"]) == (removed, runs) and bytes(got[i]["kept"]) == left, i
+
+
 def test_crowded_shards_are_dealt_again(spark, monkeypatch):
     """Fingerprints in tight groups, and one shard to begin with: dealt further until
     no shard is over the limit, and every pair is found."""
