@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.llm.tokens import default_vocabulary, encoder, in_batches
+from mercato.llm.words import MOST_WORDS
 
 WINDOW = 1024
 END_ID = 0
@@ -51,9 +52,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 @functools.cache
-def sentence_end_ids(vocabulary: str) -> np.ndarray:
+def sentence_end_ids(vocabulary: str, most_words: int = MOST_WORDS) -> np.ndarray:
     """Marks of the ids after which a sentence has ended; once for each worker process."""
-    vocab = encoder(vocabulary).tokenizer.get_vocab()
+    vocab = encoder(vocabulary, most_words).tokenizer.get_vocab()
     marks = np.zeros(max(vocab.values()) + 1, bool)
     marks[[i for t, i in vocab.items() if t[-1] in ".!?Ċ"]] = True  # the last: a line feed
     return marks
@@ -144,14 +145,15 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, most_words: int = MOST_WORDS) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    ``most_words`` bounds what the encoder remembers, at about 100 bytes each."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, marks = encoder(path), sentence_end_ids(path)
+        enc, marks = encoder(path, most_words), sentence_end_ids(path, most_words)
         packer = Packer(TaskContext.get().partitionId() << 36, marks, window)
 
         def table(pieces: list[tuple]) -> pa.RecordBatch:

@@ -123,11 +123,11 @@ class Encoder:
         return [raw[a:b] + end for a, b in zip([0, *ends], ends)]
 
 
-@functools.cache
-def encoder(path: str) -> Encoder:
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, most_words: int = MOST_WORDS) -> Encoder:
     """One encoder for each worker process, on one thread as a task has one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, most_words)
 
 
 def in_batches(ids, texts, most: int = BATCH_BYTES, rows: int = 1 << 16):
