@@ -17,6 +17,10 @@ from mercato.llm.shared import read_table, save, shipped
 from mercato.llm.simhash import drop_near_duplicates
 
 
+#: Words the encoder remembers for each worker, which the stages before share: 13 MB.
+REMEMBERED_WORDS = 1 << 17
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_unknown(docs, fit(docs.select("text", "lang")))
 
@@ -34,7 +38,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack(docs, most_words=REMEMBERED_WORDS)
 
 
 STAGES = [(f.__name__, shipped(f)) for f in (language_id, exact_dedup, simhash_dedup, source_mixing, packing)]
