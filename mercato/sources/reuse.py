@@ -1,7 +1,8 @@
 """What is known of a state of the input files, kept for the next report.
 
 A state is the set of files under the tables' paths: their names, lengths and
-modification times, listed by Spark (no content is read) on every load. For a state
+modification times, listed on every load (no content is read): a few files by the
+driver, as Spark lists them too, more or nested ones by a Spark job. For a state
 that was seen before in this session
 
 * whether ids repeat is known without another pass over them,
@@ -23,6 +24,7 @@ import dataclasses
 import uuid
 from collections.abc import Iterator, Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +55,38 @@ class _State:
 _states: dict[tuple, _State] = {}
 
 
+#: Files that the driver lists by itself.
+MOST_LISTED = 1_000
+
+
+def _listed(spark: SparkSession, locations: list[str]) -> tuple | None:
+    """(path, length, modification time) of the files, if they are few."""
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    except Exception:  # Spark Connect
+        return None
+    found = []
+    for at in locations:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        try:
+            files = path.getFileSystem(conf).listStatus(path)
+        except Py4JJavaError as error:
+            raise FileNotFoundError(at) from error
+        if len(found) + len(files) > MOST_LISTED:
+            return None
+        for f in files:
+            if f.isDirectory():
+                return None
+            if not f.getPath().getName().startswith(("_", ".")):
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def fingerprint(spark: SparkSession, locations: list[str]) -> tuple:
-    """A number for the files' names, lengths and modification times."""
+    """What tells one state of the files from another."""
+    listed = _listed(spark, locations)
+    if listed is not None:
+        return listed
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(locations)
     one = F.xxhash64("path", "length", "modificationTime")
     return tuple(files.agg(F.count("*"), F.sum("length"), F.bit_xor(one), F.max("modificationTime")).first())
@@ -72,7 +104,7 @@ def known(spark: SparkSession, locations: list[str]) -> _State | None:
     state = _states.get(_key(spark, locations))
     try:
         return state if state and fingerprint(spark, locations) == state.fingerprint else None
-    except AnalysisException:  # a path is gone
+    except (AnalysisException, FileNotFoundError):  # a path is gone
         return None
 
 

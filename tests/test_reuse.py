@@ -54,6 +54,22 @@ def test_a_new_file_is_seen(spark, copy):
     assert not kept.repeated_ids and load_tables(spark, copy, reuse=True).repeated_ids
 
 
+def test_many_files_are_listed_by_a_job(spark, copy, monkeypatch):
+    from mercato.sources.generated import locations
+
+    at = locations(copy)
+    few = reuse.fingerprint(spark, at)
+    monkeypatch.setattr(reuse, "MOST_LISTED", 2)
+    many = reuse.fingerprint(spark, at)
+    assert few != many == reuse.fingerprint(spark, at)
+    spark.read.parquet(f"{copy}/nation.parquet").limit(1).write.mode("append").parquet(f"{copy}/nation.parquet")
+    assert reuse.fingerprint(spark, at) != many
+    monkeypatch.undo()
+    assert reuse.fingerprint(spark, at) != few
+    with pytest.raises(FileNotFoundError):
+        reuse.fingerprint(spark, [f"{copy}/none.parquet"])
+
+
 def test_files_that_change_while_a_table_is_written(spark, copy, monkeypatch):
     kept = load_tables(spark, copy, reuse=True)
     monkeypatch.setattr(reuse, "fingerprint", lambda *_: ("changed",))
