@@ -1,12 +1,10 @@
 """Write PLANS.md: the physical shape of every report as Spark plans it for large inputs.
 
 Statistics are those of the sf0.1 files, but AQE is off and the static broadcast
-threshold is 32 KB, so only the tiny nation and supplier files and the
-explicitly bounded broadcasts are broadcast -- the shape a large cluster run
-starts from before AQE re-plans with measured sizes. Counts are of physical
-operators in the plan of the report itself; for the operators that checkpoint an
-intermediate (rank, running total, previous event) the work upstream of the
-checkpoint ran in the checkpoint job and is not counted here.
+threshold is 32 KB, so only the tiny nation and supplier files are broadcast -- the
+shape a large cluster run starts from before AQE re-plans with measured sizes. Counts
+are of physical operators in the whole plan of the report, from the files alone (no
+kept tables); "reused" shuffles are read again and not counted among the others.
 
     python tools/plan_report.py [sf_dir] > PLANS.md
 """
@@ -19,8 +17,9 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from mercato.plans import REPORTS, run  # noqa: E402
+from mercato.plans import REPORTS  # noqa: E402
 from mercato.session import build_session  # noqa: E402
+from mercato.sources import load_tables  # noqa: E402
 
 
 def describe(plan: str) -> dict[str, str]:
@@ -66,6 +65,7 @@ def main(argv: list[str]) -> None:
     )
     cols = ["hash shuffles", "reused", "range shuffles", "single-partition", "broadcasts",
             "sort-merge joins", "broadcast joins", "windows (first key)"]
+    tables = load_tables(spark, sf_dir)
     print("# PLANS\n")
     print(__doc__.split("\n\n")[1].replace("\n", " ").strip() + "\n")
     print("Regenerate with `python tools/plan_report.py > PLANS.md`.\n")
@@ -73,14 +73,15 @@ def main(argv: list[str]) -> None:
     print("|---|" + "---|" * len(cols))
     scans = {}
     for name in REPORTS:
-        plan = run(spark, sf_dir, name)._jdf.queryExecution().executedPlan().toString()
+        plan = REPORTS[name](tables)._jdf.queryExecution().executedPlan().toString()
         d = describe(plan)
         scans[name] = d["scans"]
         print(f"| `{name}` | " + " | ".join(d[c] for c in cols) + " |")
-    print("\nSingle-partition exchanges appear only above bounded inputs: bucket or month")
-    print("offsets (at most a few hundred rows), grand totals of a handful of aggregated rows,")
-    print("and `TOP 1` results. Windows are keyed by bucket, block, (person, day), person over")
-    print("one row per active day, or category after a partial group limit.\n")
+    print("\nSingle-partition exchanges appear only above bounded inputs: the root of a")
+    print("tree of block sums (one row for each 2^32 or 2^48 block numbers in use), partial sums")
+    print("of a total (one row per task), and `TOP 1` results. Windows are keyed by block, parent")
+    print("block, (person, day), person over one row per active day, or category after a partial")
+    print("group limit.\n")
     print("## Columns read per report\n")
     for name, s in scans.items():
         print(f"* `{name}`: {s}")
