@@ -46,6 +46,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, columns: list[str], total: int, rows: int) -> DataFrame:
+    """The ``rows`` rows of ``df`` (``total`` in number) with the least hash of
+    ``columns``. Only about that many are sorted: the hash is uniform, so those with a
+    larger one are left out first."""
+    h = F.xxhash64(*columns)
+    if total > rows:
+        df = df.filter((h / F.lit(2.0**64) + 0.5) * total <= 1.2 * rows + 1_000)
+    return df.orderBy(h, *columns).limit(rows)
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, spread_by: list[str], how: str = "left") -> DataFrame:
     """Join ``groups`` (one row per key, ``weight`` = its rows) to ``rows``.
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.shared import attach, save
+from mercato.llm.shared import attach, hashed_sample, save
 
 SEED = 42
 SHINGLE_WORDS, MAX_BITS = 3, 2
@@ -187,7 +187,7 @@ def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, int]:
 def links(groups: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE) -> DataFrame:
     """Spanning links (a, b), b < a, of the distinct fingerprints in column fp."""
     n = groups.count()
-    some = groups.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample)  # bounded by ``sample``
+    some = hashed_sample(groups.select("fp"), ["fp"], n, sample)  # bounded by ``sample``
     fitted = np.array([r["fp"] for r in some.collect()], np.int64).view(np.uint64)
     levels = max(0, min(MAX_SHARDS.bit_length() - 1, int(np.ceil(np.log2(max(1, n) / SHARD_ROWS)))))
     tree = fit(fitted, max(64, len(fitted) >> max(levels, 1)) if levels else len(fitted), levels)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.shared import save
+from mercato.llm.shared import hashed_sample, save
 from mercato.llm.tokens import in_batches
 
 LABELLED_ROWS = 1_000_000
@@ -238,7 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The lexicon, its exceptions and curve, from the labelled ``docs``."""
     marks = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).filter("id is not null and toxic is not null")
     marks = marks.groupBy("id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic"))
-    marks = save(marks.orderBy(F.xxhash64("id"), "id").limit(rows), "labels")
+    marks = save(marks, "labels")
+    marks = save(hashed_sample(marks, ["id"], marks.count(), rows), "labels")
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     labelled = texts.join(F.broadcast(marks), "id").select("toxic", "text")  # at most ``rows``
     found = {r["toxic"]: r["n"] for r in texts.select("id").join(F.broadcast(marks), "id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -254,8 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon.exceptions += tuple(learned)
     counted = F.filter("hits", lambda h: ~(F.coalesce(h["before"].isin(learned), F.lit(False)) | F.coalesce(h["after"].isin(learned), F.lit(False)))) if learned else F.col("hits")
     weight = F.aggregate(counted, F.lit(0.0), lambda total, h: total + h["weight"])
-    sample = hits.select("toxic", "words", weight.alias("weight"), F.xxhash64("key").alias("h"))
-    part = [sample.filter(F.col("toxic") == t).orderBy("h").limit(CURVE_ROWS).select("weight", "words", "toxic").toPandas() for t in (0, 1)]
+    sample = hits.select("toxic", "words", weight.alias("weight"), "key")
+    part = [hashed_sample(sample.filter(F.col("toxic") == t), ["key"], n, CURVE_ROWS).select("weight", "words", "toxic").toPandas() for t, n in ((0, clean), (1, toxic))]
     shares = np.concatenate([np.full(len(p), n / max(1, len(p))) for p, n in zip(part, (clean, toxic))])
     lexicon.curve = fitted_curve(*(np.concatenate([p[c].to_numpy(float) for p in part]) for c in ("weight", "words", "toxic")), shares)
     return lexicon

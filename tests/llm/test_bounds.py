@@ -126,3 +126,13 @@ def test_labels_without_number(spark):
     got = langid.identify(docs.repartition(4), model, "doc_id", "text", "lang", "source")
     assert got.filter("lang != declared").count() == 0 and got.filter("not kept").count() == 0
     assert langid.drop_unknown(docs, model).count() == len(rows)
+
+
+def test_hashed_sample(spark):
+    """The rows of least hash, the same with and without the filter, nulls included."""
+    from mercato.llm.shared import hashed_sample
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 977 == 0, None).otherwise(F.col("id")).alias("id"), F.lit(1).alias("h"))
+    want = [r["id"] for r in df.orderBy(F.xxhash64("id"), "id").limit(500).collect()]
+    assert [r["id"] for r in hashed_sample(df, ["id"], 20_000, 500).collect()] == want
+    assert hashed_sample(df, ["id"], 20_000, 30_000).count() == 20_000 and hashed_sample(df.limit(0), ["id"], 0, 5).count() == 0
