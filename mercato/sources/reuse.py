@@ -129,6 +129,11 @@ class Kept(Mapping):
         builders = {"order_totals": segments.order_totals, "delivered_person_orders": segments.orders_of_persons, "repeat_persons": segments.repeat_persons, "repeat_orders": segments.repeat_orders}
         spark = self.tables.orders.sparkSession
         path = self.state.paths.get(name)
+        if path is not None:
+            try:
+                _listed(spark, [path])
+            except FileNotFoundError:  # the folder's retention took it
+                path = None
         shared = {} if path else {n: self[n] for n in BUILDERS[name]}
         built = builders[name](dataclasses.replace(self.tables, shared=shared))
         if path is None:

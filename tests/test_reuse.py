@@ -93,6 +93,19 @@ def test_a_folder_that_goes_and_other_columns(spark, copy):
         load_tables(spark, copy)
 
 
+def test_a_kept_table_that_is_gone_is_written_again(spark, copy):
+    import pathlib
+
+    first = _rows(REPORTS["monthly_revenue"](load_tables(spark, copy, reuse=True)))
+    kept = load_tables(spark, copy, reuse=True)
+    at = pathlib.Path(kept.shared.state.paths["order_totals"].removeprefix("file:"))
+    for f in at.iterdir():
+        f.unlink()
+    at.rmdir()
+    assert _rows(REPORTS["monthly_revenue"](kept)) == first
+    assert kept.shared.state.paths["order_totals"] != str(at)
+
+
 def test_without_a_shared_folder(spark, copy, monkeypatch):
     def none(_):
         raise reuse.NoSharedFolder("none")
