@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.session import NoSharedFolder, checkpoint_dir
+from mercato.session import NoSharedFolder, bound_tasks, checkpoint_dir
 from mercato.sources import Tables
 from mercato.sources.contract import UNIQUE_IDS, check
 
@@ -92,6 +92,13 @@ def fingerprint(spark: SparkSession, locations: list[str]) -> tuple:
     return tuple(files.agg(F.count("*"), F.sum("length"), F.bit_xor(one), F.max("modificationTime")).first())
 
 
+def _bytes(state: tuple) -> int:
+    """Length of all files of a fingerprint."""
+    if state and not isinstance(state[0], tuple):
+        return state[1] or 0
+    return sum(length for _, length, _ in state)
+
+
 def _key(spark: SparkSession, locations: list[str]) -> tuple:
     try:
         return (spark.sparkContext.applicationId, *locations)
@@ -150,6 +157,7 @@ def with_kept(tables: Tables, locations: list[str], before: tuple, reuse: bool,
     """``tables``, loaded after the fingerprint ``before`` was taken, with checked ids
     and, with ``reuse``, kept tables."""
     spark = tables.orders.sparkSession
+    bound_tasks(spark, _bytes(before))
     state = _states.get(_key(spark, locations))
     if state is None or state.fingerprint != before:
         state = _State(before, bool(check(tables, UNIQUE_IDS)), schemas or {})
