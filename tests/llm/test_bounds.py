@@ -63,6 +63,30 @@ def test_hot_cores_stay_out_of_the_index(spark, monkeypatch):
         assert (got[i]["n_removed"], got[i]["n_spans"]) == (removed, runs) and bytes(got[i]["kept"]) == left, i
 
 
+def test_tasks_write_one_file_each(spark, monkeypatch):
+    """No intermediate table has a folder for each value of a column, which has every
+    task write a file and sort its rows for each; no table is saved twice."""
+    saved: list[str] = []
+    new_path = suffix_dedup.work_path
+    monkeypatch.setattr(suffix_dedup, "work_path", lambda s, name: saved.append(new_path(s, name)) or saved[-1])
+    keep = suffix_dedup.save
+    names: list[str] = []
+    monkeypatch.setattr(suffix_dedup, "save", lambda df, name: names.append(name) or keep(df, name))
+    rnd = random.Random(11)
+    noise = lambda n: "".join(rnd.choice("abcdefghij klmnop") for _ in range(n))
+    shared = noise(900)
+    texts = [f"{noise(500)}{shared[i:i + 600]}{noise(500)}" for i in range(0, 300, 10)] + [shared, shared, noise(400), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df).collect()}
+    for i, (removed, runs, left) in enumerate(brute_repeats([(t or "").encode() for t in texts])):
+        assert (got[i]["n_removed"], got[i]["n_spans"]) == (removed, runs) and bytes(got[i]["kept"]) == left, i
+    assert len(saved) == 1 + suffix_dedup.BATCHES and len(names) == len(set(names))
+    for path in saved:
+        files = spark.read.parquet(path).inputFiles()
+        assert files and not any("=" in f.rsplit("/", 2)[1] for f in files)
+    assert len(spark.read.parquet(saved[0]).inputFiles()) <= 3
+
+
 def test_crowded_shards_are_dealt_again(spark, monkeypatch):
     """Fingerprints in tight groups, and one shard to begin with: dealt further until
     no shard is over the limit, and every pair is found."""
