@@ -23,6 +23,20 @@ from mercato.llm.words import MOST_WORDS, Words, joined, pieces
 BATCH_BYTES = 1 << 20
 #: Pieces that go through the library in one string.
 JOINED_PIECES = 10_000
+#: Kinds of bytes whose runs are what the byte-level pattern finds in a word: letters
+#: (A-Z, a-z, and in two bytes U+00C0 to U+00FF but for the signs U+00D7 and U+00F7), digits,
+#: and ASCII signs but for the apostrophe, which contractions begin with.
+_OTHER, _LETTER, _DIGIT, _SIGN, _SPACE = range(5)
+_BYTES = np.arange(256)
+_KIND = np.select(
+    [np.isin(_BYTES | 32, np.arange(97, 123)) & (_BYTES < 128), (_BYTES > 47) & (_BYTES < 58), _BYTES == 32, (_BYTES > 32) & (_BYTES < 127) & (_BYTES != 39)],
+    [_LETTER, _DIGIT, _SPACE, _SIGN],
+    _OTHER,
+).astype(np.uint8)
+_LATIN = (_BYTES >= 0x80) & (_BYTES < 0xC0) & ~np.isin(_BYTES, [0x97, 0xB7])  # second bytes, after 0xC3
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves.
+_CHARS = _BYTES.astype("<u2")
+_CHARS[~((_BYTES > 32) & (_BYTES < 127) | (_BYTES > 160) & (_BYTES != 173))] = np.arange(256, 324)
 
 
 def default_vocabulary() -> str:
@@ -45,6 +59,41 @@ def bpe_tokenizer(path: str):
     return found
 
 
+def _kinds(buf: np.ndarray) -> np.ndarray:
+    kind = _KIND[buf]
+    first = np.flatnonzero(buf[:-1] == 0xC3)
+    first = first[_LATIN[buf[first + 1]]]
+    kind[first] = kind[first + 1] = _LETTER
+    return kind
+
+
+def plain_words(parts: list[bytes]) -> np.ndarray:
+    """Whether each piece is one space and a word of letters, digits and signs alone."""
+    buf = np.frombuffer(b"".join([*parts, b"\0"]), np.uint8)  # a byte for empty pieces to begin at
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    begin = np.cumsum(size) - size
+    kind = _kinds(buf)
+    ok = np.isin(kind, [_LETTER, _DIGIT, _SIGN])
+    ok[-1] = True
+    ok[begin + size - 1] &= buf[begin + size - 1] != 0xC3  # a character of two bytes lies in one piece
+    ok[begin] = kind[begin] == _SPACE
+    return np.logical_and.reduceat(ok, begin) & (size > 1)
+
+
+def cut_words(raw: bytes) -> str:
+    """Plain words, joined, in the characters of byte-level vocabularies and cut, at
+    each line feed, into the runs that the byte-level pattern finds in them: a run
+    of one kind, the first of a word with the space before it."""
+    buf = np.frombuffer(raw, np.uint8)
+    kind = _kinds(buf)
+    space = kind == _SPACE
+    cut = space.copy()
+    cut[1:] |= (kind[1:] != kind[:-1]) & ~space[:-1]
+    out = np.full(len(buf) + int(cut.sum()), 10, "<u2")
+    out[np.arange(len(buf)) + np.cumsum(cut)] = _CHARS[buf]
+    return out.tobytes().decode("utf-16-le")
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned bytes, two an id if the vocabulary
     allows it, else four (``dtype``). With ``plain`` the contents of added tokens
@@ -61,17 +110,36 @@ class Encoder:
         spaced = [i for t, i in vocab.items() if t.startswith("Ġ")]
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that begin with a space
         self.spaced[spaced] = True
+        self.model = self._model_alone()
+
+    def _model_alone(self):
+        """A tokenizer with this one's model that takes words as ``plain_words`` gives
+        them, which saves the library its pattern and its own mapping of bytes; None
+        for vocabularies that cut words in another way."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        own = self.tokenizer.pre_tokenizer
+        if self.tokenizer.normalizer or not isinstance(own, pre_tokenizers.ByteLevel) or own.add_prefix_space or not own.use_regex:
+            return None
+        if not all(t.special for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return None
+        alone = Tokenizer(self.tokenizer.model)
+        alone.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        return alone
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype) for x in found]
 
-    def _spaced(self, part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _spaced(self, part: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, each with one space before it, and how many each has:
         they are joined, and the ids are cut again before each token that begins
-        with a space."""
+        with a space. ``plain``: all of them are plain words."""
         raw = b"".join(part)
-        ids = self.whole([raw.decode(errors="replace")])[0]
+        if plain:
+            ids = np.array(self.model.encode_batch_fast([cut_words(raw)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        else:
+            ids = self.whole([raw.decode(errors="replace")])[0]
         cuts = np.flatnonzero(self.spaced[ids])
         # words of different texts may only together make an added token
         if len(cuts) == len(part) and not (self.any_added and self.any_added.search(raw)):
@@ -84,16 +152,18 @@ class Encoder:
 
     def pieces_ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces one after the other, how many each has)."""
-        single = [i for i, p in enumerate(parts) if p[:1] == b" " and p[1:2] > b" " and len(p.split(None, 1)) == 1]
+        plain = plain_words(parts) if self.model else np.zeros(len(parts), bool)
+        words, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        single = [i for i in rest if (p := parts[i])[:1] == b" " and p[1:2] > b" " and len(p.split(None, 1)) == 1]
         spaced = set(single)
-        other = [i for i in range(len(parts)) if i not in spaced]
-        found = [self._spaced([parts[i] for i in single[at : at + JOINED_PIECES]]) for at in range(0, len(single), JOINED_PIECES)]
+        other = [i for i in rest if i not in spaced]
+        found = [self._spaced([parts[i] for i in those[at : at + JOINED_PIECES]], those is words) for those in (words, single) for at in range(0, len(those), JOINED_PIECES)]
         found.append(self._each([parts[i] for i in other]))
         ids, size = (np.concatenate(x) for x in zip(*found))
-        if not single or not other:
+        if len(parts) in (len(words), len(single), len(other)):
             return ids, size
         # back to the order of ``parts``
-        begin, order = np.cumsum(size) - size, np.argsort(np.array(single + other))
+        begin, order = np.cumsum(size) - size, np.argsort(np.array(words + single + other))
         size, begin = size[order], begin[order]
         return ids[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(len(ids))], size
 

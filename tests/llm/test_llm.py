@@ -232,6 +232,36 @@ def test_added_tokens_as_the_plain_library(spark, tmp_path):
     assert enc.dtype == "<u4" and [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_plain_words_need_no_pattern():
+    """Words of letters, digits and signs get the library's ids without its pattern."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    words = ["plain", "Wörter,", "x1y22..", "(ÀÿØß)", "--#%", "3.14", "a_b", "<|", "endoftext", "Ünïcödé" * 3]
+    odd = ["it's", "'", "²½", "a×b", "÷", "ж", "ªº", "Ā", "Â\xa0b", "\U0001f600", "\xad", "x\x7fy", "<|endoftext|>"]
+    for plain in (False, True):
+        enc = tokens.Encoder(path, plain=plain)
+        lib.encode_special_tokens = plain
+        through = []
+        whole = enc.whole
+        enc.whole = lambda texts, whole=whole, through=through: through.extend(t for t in texts if t) or whole(texts)
+        for chosen, by_pattern in ((words, False), (odd, True), (words + odd, True), ([], False)):
+            parts = [f" {w}".encode() for w in chosen]
+            ids, size = enc.pieces_ids(parts)
+            want = [lib.encode(p.decode(), add_special_tokens=False).ids for p in parts]
+            assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])][: len(want)] == want and size.tolist() == [len(x) for x in want]
+            assert bool(through) is by_pattern
+            through.clear()
+        for first in ("", "  ", "\n", "\r\n", "\t"):
+            texts = [first + first.join([a, f" {b}", f"{b}{a}"]) for a in words for b in odd]
+            got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)]
+            assert got == [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+    assert tokens.plain_words([b"", b" a", b"", b"a", b" ", b"  a", b" a b", b" \xc3", b"\xa9", b" \xc3\xa9", b""]).tolist() == [False, True] + [False] * 7 + [True, False]
+    assert tokens.plain_words([b" a", b" b"]).tolist() == [True, True] and tokens.plain_words([]).tolist() == []
+
+
 def test_packing(docs, empty):
     """Every id of every document, encoded by the plain library, in exactly one
     piece; sequences without gaps, of at most 1024 ids, little padded."""
